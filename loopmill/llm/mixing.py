@@ -74,19 +74,39 @@ def thresholds(docs: DataFrame, goals: DataFrame) -> DataFrame:
     return open_.withColumnRenamed("prefix", "below").drop("room")
 
 
+def slim_rows(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), hash60(F.col("doc_id")).alias("h"))
+
+
+def limits_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The narrow rows of docs, and thresholds(), both written out."""
+    slim = materialize(slim_rows(docs), "mix-docs")
+    goals = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")))
+    return slim, materialize(thresholds(slim.select("source", "size", "h"), goals), "mix-limits")
+
+
+def times_taken() -> Column:
+    times = F.col("passes") + F.when(F.col("passes") < MAX_PASSES, (F.col("h") < F.col("below")).cast("long")).otherwise(0)
+    return F.when(F.col("size") > 0, times).otherwise(0)
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, taken (words, repeats counted), passes_taken.
 
     A null or empty text has size 0 and is never taken; a null source is a source of its own; rows with one
     doc_id share a hash and enter or stay out together; an empty table gives no rows.
     """
-    slim = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), hash60(F.col("doc_id")).alias("h")), "mix-docs")
-    sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
-    limits = materialize(thresholds(slim.select("source", "size", "h"), targets(sizes)), "mix-limits")
-    out = join_small(slim, limits, "source")
-    times = F.col("passes") + F.when(F.col("passes") < MAX_PASSES, (F.col("h") < F.col("below")).cast("long")).otherwise(0)
-    times = F.when(F.col("size") > 0, times).otherwise(0)
-    return out.withColumn("passes_taken", times).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times).alias("taken"), "passes_taken")
+    slim, limits = limits_of(docs)
+    out = join_small(slim, limits, "source").withColumn("passes_taken", times_taken())
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("passes_taken")).alias("taken"), "passes_taken")
+
+
+def mixed_rows(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Columns `keep` of docs, a row as often as the mix takes it."""
+    _, limits = limits_of(docs)
+    rows = docs.select(F.struct(*keep).alias("_row"), F.col("source"), n_words(F.col("text")).alias("size"), hash60(F.col("doc_id")).alias("h"))
+    taken = join_small(rows, limits, "source").withColumn("_times", times_taken().cast("int")).where("_times > 0")
+    return taken.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select("_row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
