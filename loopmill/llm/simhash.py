@@ -2,7 +2,7 @@
 
 A 64-bit fingerprint is a ring of SEGMENTS segments. If two differ in at most D bits, then for some starting
 segment the differences of the next 1, 2, ... segments stay within 1, 2, ... shares of D / SEGMENTS. With D below
-SEGMENTS the first segment of such a chain agrees and the first two differ in CHAIN_BITS bits at most; a pair
+SEGMENTS the first segment of such a chain agrees and the first two differ in one bit at most; a pair
 becomes a candidate on exactly that, is tested on the longer chains, and only then by the full distance.
 
 Only distinct fingerprints are compared. Candidates meet by (first segment, second segment up to one changed
@@ -28,7 +28,7 @@ BITS = 4
 SHINGLE = 4
 SEED = 42
 #: Bit offsets and lengths of the segments of the ring.
-SEGMENTS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Fingerprints of one bucket that one task compares at a time; larger buckets are dealt out by pairs of blocks.
 BLOCK = 4096
 
@@ -76,9 +76,9 @@ def chain_keys(fp) -> list:
     out = []
     for k in range(len(SEGMENTS)):
         first, second, n = segment(fp, k), segment(fp, k + 1), SEGMENTS[(k + 1) % len(SEGMENTS)][1]
-        head = F.lit(k).cast("long") * (1 << 32) + first * (1 << 16)
+        head = F.lit(k).cast("long") * (1 << 40) + first * (1 << 20)
         for b in range(n):
-            out.append(head + second.bitwiseAND(F.lit(((1 << n) - 1) ^ (1 << b))) + F.lit((b + 1) << 11))
+            out.append(head + second.bitwiseAND(F.lit(((1 << n) - 1) ^ (1 << b))) + F.lit((b + 1) << 14))
     return out
 
 
