@@ -24,8 +24,8 @@ from pyspark.sql.types import StructType
 from .common import process_cache, table
 
 #: Bounds of the tables a process keeps; a full table is started anew, which costs time only.
-MAX_STATES = 200_000
-MAX_WORDS = 300_000
+MAX_STATES = 60_000
+MAX_WORDS = 120_000
 NEVER = 1 << 60
 
 
@@ -245,23 +245,26 @@ def tokenize(docs: DataFrame, path: str, pattern: str, keep: list[str] | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path, pattern)
         gc.disable()  # tens of thousands of live states make its passes the largest cost; reset() collects
-        for batch in batches:
-            n, first, second = [], [], []
-            for text in batch.column(batch.num_columns - 1):
-                ids = coder.encode(text.as_py())
-                n.append(len(ids) // 4)
-                decoded = coder.decode(np.frombuffer(ids, "<u4"))
-                if digests:
-                    read = hashlib.sha256()
-                    for part in decoded:
-                        read.update(part.encode("utf-8"))
-                    first.append(hashlib.sha256(ids).hexdigest())
-                    second.append(read.hexdigest())
-                else:
-                    first.append(ids)
-                    second.append("".join(decoded))
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(first, pa.string() if digests else pa.binary()), pa.array(second, pa.string())], names=out.names)
+        try:
+            for batch in batches:
+                n, first, second = [], [], []
+                for text in batch.column(batch.num_columns - 1):
+                    ids = coder.encode(text.as_py())
+                    n.append(len(ids) // 4)
+                    decoded = coder.decode(np.frombuffer(ids, "<u4"))
+                    if digests:
+                        read = hashlib.sha256()
+                        for part in decoded:
+                            read.update(part.encode("utf-8"))
+                        first.append(hashlib.sha256(ids).hexdigest())
+                        second.append(read.hexdigest())
+                    else:
+                        first.append(ids)
+                        second.append("".join(decoded))
+                columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(first, pa.string() if digests else pa.binary()), pa.array(second, pa.string())], names=out.names)
+        finally:
+            gc.enable()
 
     return rows.mapInArrow(run, out)
 

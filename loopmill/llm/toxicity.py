@@ -30,9 +30,9 @@ FIRST, LAST = 0, 27
 #: Words longer than this are scored in windows of that length that overlap by half.
 LONGEST = 40
 #: Documented bounds of the sample that the model is fitted on: labelled texts a class, words a class.
-TRAIN_ROWS, TRAIN_WORDS, LANDMARKS = 2500, 12_000, 240
+TRAIN_ROWS, TRAIN_WORDS, LANDMARKS = 1500, 8_000, 240
 #: Words that a process keeps the scores of.
-MAX_WORDS = 400_000
+MAX_WORDS = 150_000
 SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][\s.*_-]{1,3}){3,}[^\W\d_](?!\w)")
 NO_LETTER = re.compile(r"[\W\d_]+")
 
@@ -177,7 +177,8 @@ def nystrom_svm(positive: list[str], negative: list[str], landmarks: list[str])
 
 class Model:
     def __init__(self, texts: list[str], toxic: list[int]):
-        bags = [{p for w in words_of(t) for p in pieces(w)} for t in texts]
+        pool: dict[str, str] = {}
+        bags = [{pool.setdefault(p, p) for w in words_of(t) for p in pieces(w)} for t in texts]
         counts = [Counter(), Counter()]
         for bag, label in zip(bags, toxic, strict=True):
             counts[label].update(bag)
