@@ -1,4 +1,227 @@
-"""Registered queries and their DuckDB equivalents."""
+"""Registered queries over the derived street-network tables, and the DuckDB SQL of each."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loopmill.functions import draws, geo, text
+from loopmill.functions import tags as T
+from loopmill.operators import folds, graph, network, routes, spatial
+from loopmill.sources import tables
+from loopmill.streaming import live
+
+
+def parts(spark, d):
+    nodes, ways = tables.grid_nodes(spark, d), tables.order_ways(spark, d)
+    segments = network.way_segments(ways)
+    return nodes, segments, network.build_edges(segments, nodes)
+
+
+def network_edges(spark, d):
+    return parts(spark, d)[2].select("edge_key", "reverse_key", "highway", "is_trail", "is_busy", "name", F.round("distance", 2).alias("distance"))
+
+
+def network_nodes(spark, d):
+    nodes, segments, edges = parts(spark, d)
+    return network.build_nodes(segments, edges, nodes).select("node_id", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), "has_signal", "has_busy_road", "degree")
+
+
+def network_summary(spark, d):
+    return network.summary(parts(spark, d)[2])
+
+
+def turn_table(spark, d):
+    """Transitions by highway class: how many are turns, U-turns and unsafe crossings."""
+    nodes, segments, edges = parts(spark, d)
+    at = network.build_nodes(segments, edges, nodes).select("node_id", "lat", "lon", "has_signal", "has_busy_road")
+    a = edges.select(F.col("edge_key").alias("k1"), "reverse_key", F.col("way_id").alias("w1"), F.col("from_id").alias("f"), F.col("to_id").alias("via"), F.col("is_busy").alias("b1"), F.col("highway").alias("h"))
+    b = edges.select(F.col("edge_key").alias("k2"), F.col("from_id").alias("via"), F.col("is_busy").alias("b2"))
+    t = a.join(b, "via").join(at.select(F.col("node_id").alias("via"), "has_signal", "has_busy_road"), "via")
+    unsafe = F.col("has_busy_road") & ~F.col("has_signal") & ~F.col("b1") & ~F.col("b2")
+    return t.groupBy("h").agg(F.count("*").alias("n"), F.count_if(F.col("k2") == F.col("reverse_key")).alias("u_turns"), F.count_if(unsafe).alias("unsafe")).withColumnRenamed("h", "highway")
+
+
+def tag_rules(spark, d):
+    t = F.col("tags")
+    return tables.order_ways(spark, d).select("way_id", T.is_busy(t).alias("busy"), T.is_trail(t).alias("trail"), T.is_accessible(t).alias("accessible"), T.is_junk_service(t).alias("junk"), T.is_kept(t).alias("kept"), T.display_name(t).alias("name"))
+
+
+def points(spark, d):
+    k = F.col("c_custkey")
+    return tables.read(spark, d, "customer").select(k.alias("point_id"), (39.95 + (k % 101) * 0.00053).alias("lat"), (-75.16 + (k % 89) * 0.00061).alias("lon"), (39.951 + (k % 13) * 0.0007).alias("lat2"), (-75.158 + (k % 17) * 0.0009).alias("lon2"), "c_nationkey")
+
+
+def geo_scalars(spark, d):
+    e = [F.col(c) for c in ("lat", "lon", "lat2", "lon2")]
+    p = geo.project_to_segment(F.col("lat"), F.col("lon"), F.lit(39.95), F.lit(-75.16), F.col("lat2"), F.col("lon2"))
+    o = geo.offset_point(F.col("lat"), F.col("lon"), F.lit(60.0), F.lit(250.0))
+    return points(spark, d).select("point_id", F.round(geo.haversine(*e), 3).alias("metres"), F.round(geo.bearing(*e), 3).alias("bearing"), F.round(geo.radius_for_target((1 + F.col("c_nationkey") % 8).cast("double")), 3).alias("radius"), F.round(p["t"], 4).alias("t"), F.round(p["dist"], 2).alias("to_segment"), F.round(o["lat"], 6).alias("olat"), F.round(o["lon"], 6).alias("olon"))
+
+
+def nearest_nodes(spark, d):
+    return spatial.nearest_node(points(spark, d), tables.grid_nodes(spark, d)).select("point_id", "node_id", F.round("metres", 2).alias("metres"))
+
+
+def text_rules(spark, d):
+    n = F.concat(F.lit(" <"), F.col("p_name"), F.lit(">  & '"), F.col("p_brand"), F.lit('" '))
+    return tables.read(spark, d, "part").select("p_partkey", text.xml_escape(n).alias("escaped"), text.normalize_query(n).alias("normal"), text.has_house_number(F.concat((F.col("p_partkey") % 7).cast("string"), F.col("p_name"))).alias("house"))
+
+
+def route_summary(spark, d):
+    s = routes.route_summary(tables.order_routes(spark, d))
+    return s.select("route_id", "signal_count", "turn_count", "sharp_turn_count", "tiny_loop_count", *(F.round(c, 2).alias(c) for c in ("distance_m", "trail_m", "error_m", "size_score")), *(F.round(c, 4).alias(c) for c in ("trail_fraction", "new_street_fraction", "combined_score")))
+
+
+def route_reversals(spark, d):
+    return routes.no_reversal(tables.order_routes(spark, d))
+
+
+def route_passes(spark, d):
+    return routes.pass_stats(tables.order_routes(spark, d))
+
+
+def route_checks(spark, d):
+    return routes.route_checks(tables.order_routes(spark, d))
+
+
+def route_segments(spark, d):
+    return routes.segments(tables.order_routes(spark, d)).withColumn("distance_m", F.round("distance_m", 2))
+
+
+def route_render(spark, d):
+    return routes.render_segments(tables.order_routes(spark, d)).select("route_id", "step", "pass", *(F.round(c, 6).alias(c) for c in ("lat1", "lon1", "lat2", "lon2")))
+
+
+def route_cues(spark, d):
+    return routes.course_cues(tables.order_routes(spark, d)).withColumn("at_m", F.round("at_m", 2))
+
+
+def route_boxes(spark, d):
+    return routes.bounding_boxes(tables.order_routes(spark, d)).select("route_id", *(F.round(c, 4).alias(c) for c in ("min_lat", "max_lat", "min_lon", "max_lon", "span")))
+
+
+def route_gpx(spark, d):
+    return routes.to_gpx(tables.order_routes(spark, d))
+
+
+def route_elevation(spark, d):
+    profile = tables.order_routes(spark, d).select("route_id", F.col("step").alias("idx"), F.when(F.col("to_id") % 3 > 0, (F.col("to_id") % 50).cast("double")).alias("elev"))
+    return routes.elevation_totals(profile)
+
+
+def route_arrows(spark, d):
+    return folds.direction_arrows(tables.order_routes(spark, d)).groupBy("route_id").agg(F.count("*").alias("arrows"), F.round(F.sum("bearing"), 1).alias("bearings"))
+
+
+def route_points_kept(spark, d):
+    return folds.decimated_points(tables.order_routes(spark, d))
+
+
+def results(spark, d):
+    return tables.read(spark, d, "events").where("value is not null").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("error_m"))
+
+
+def recent_results(spark, d):
+    return folds.recent(results(spark, d)).select("key", "place", "seq")
+
+
+def best_results(spark, d):
+    return folds.best_results(results(spark, d))
+
+
+def debounced_queries(spark, d):
+    rows = results(spark, d).withColumnRenamed("error_m", "value")
+    return live.debounced(rows, "1 hour").groupBy("key").agg(F.count("*").alias("bursts"), F.round(F.sum("value"), 3).alias("total"))
+
+
+def seeded_draws(spark, d):
+    u = draws.uniform(F.col("o_orderkey"), F.lit(1).cast("long"))
+    return tables.read(spark, d, "orders").select("o_orderkey", F.round(u, 9).alias("u"))
+
+
+def links(spark, d):
+    return graph.undirected(parts(spark, d)[2].where("is_trail"))
+
+
+def trail_clusters(spark, d):
+    found, own = graph.components(links(spark, d)), links(spark, d)
+    metres = own.join(found, own["u"] == found["node_id"]).groupBy("cluster_id").agg(F.round(F.sum("distance"), 1).alias("trail_m"))
+    return metres.join(found.groupBy("cluster_id").agg(F.count("*").alias("n_nodes")), "cluster_id")
+
+
+def dead_ends(spark, d):
+    return graph.dead_end_spurs(links(spark, d)).select("way_id", "u", "v")
+
+
+def start_distances(spark, d):
+    starts = tables.read(spark, d, "supplier").select(F.col("s_suppkey").alias("request_id"), F.col("s_suppkey").alias("node_id"))
+    return graph.network_distances(starts, parts(spark, d)[2], 1500.0).withColumn("metres", F.round("metres", 2))
+
+
+def hav(a, b, c, e):
+    h = f"(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({e} - {b}) / 2), 2))"
+    return f"(2 * 6371000.0 * atan2(sqrt({h}), sqrt(1 - {h})))"
+
+
+def brg(a, b, c, e):
+    raw = f"(degrees(atan2(sin(radians({e} - {b})) * cos(radians({c})), cos(radians({a})) * sin(radians({c})) - sin(radians({a})) * cos(radians({c})) * cos(radians({e} - {b})))) + 360)"
+    return f"({raw} - 360 * floor({raw} / 360))"
+
+
+NODES = "side as (select ceil(sqrt(count(*)))::bigint as w from part), nodes as (select p_partkey as node_id, 39.95 + 0.0012 * (p_partkey // w) as lat, -75.16 + 0.0012 * (p_partkey % w) as lon, p_partkey % w > 0 and p_partkey // w > 0 and (p_partkey % w + p_partkey // w) % 5 = 0 as has_signal from part, side)"
+REFS = "refs as (select l_orderkey as way_id, list(l_partkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) as refs, list(l_suppkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) as supp from lineitem group by 1)"
+WAYS = """tagged as (select o_orderkey as way_id, case substr(o_orderpriority, 1, 1) when '1' then 'primary' when '2' then 'residential' when '3' then 'footway' when '4' then 'service' else 'track' end as highway,
+  case when o_orderstatus = 'P' then 'private' else '' end as access, case when o_orderkey % 5 = 0 then '' else 'Street ' || (o_orderkey % 97) end as name, o_orderkey % 11 = 0 as dirt from orders),
+ways as (select t.way_id, highway, highway = 'primary' as busy, highway in ('footway', 'track') or dirt as trail, access <> 'private' as accessible, highway = 'service' and t.name = '' as junk,
+  case when t.name <> '' then t.name when highway in ('footway', 'track') or dirt then 'Unnamed trail' else 'Unnamed road' end as name, refs from tagged t join refs using (way_id))"""
+EDGES = f"""segs as (select way_id, highway, busy, trail, name, pos, refs[pos] as a, refs[pos + 1] as b from (select *, unnest(range(1, len(refs))) as pos from ways where accessible and not junk and len(refs) > 1)),
+long as (select s.*, {hav('x.lat', 'x.lon', 'y.lat', 'y.lon')} as distance from segs s join nodes x on x.node_id = a join nodes y on y.node_id = b where x.lat <> y.lat or x.lon <> y.lon),
+edges as (select way_id, highway, busy, trail, name, distance, from_id, to_id, way_id || ':' || from_id || '>' || to_id as edge_key, way_id || ':' || to_id || '>' || from_id as reverse_key
+  from (select *, a as from_id, b as to_id, 2 * pos as seq from long union all select *, b, a, 2 * pos + 1 from long) where distance >= 0.5 qualify row_number() over (partition by way_id, from_id, to_id order by seq) = 1)"""
+NET = f"with {NODES}, {REFS}, {WAYS}, {EDGES}"
+STEPS = f"""with {NODES}, {REFS}, raw as (select way_id as route_id, refs, supp, unnest(range(1, len(refs) + 1)) as i from refs),
+steps as (select route_id, i - 1 as step, refs[i] as from_id, refs[case when i = len(refs) then 1 else i + 1 end] as to_id, supp[i] % 5 as way_id, 'Street ' || (supp[i] % 5) as name, supp[i] % 5 = 0 as is_trail from raw),
+placed as (select s.*, x.lat as lat1, x.lon as lon1, y.lat as lat2, y.lon as lon2, y.has_signal as to_signal, {hav('x.lat', 'x.lon', 'y.lat', 'y.lon')} as distance, {brg('x.lat', 'x.lon', 'y.lat', 'y.lon')} as bearing from steps s join nodes x on x.node_id = from_id join nodes y on y.node_id = to_id),
+lagged as (select *, lag(bearing) over w as before, lag(way_id) over w as way_before, sum(distance) over w as so_far from placed window w as (partition by route_id order by step rows unbounded preceding)),
+angled as (select *, case when way_before is null or way_before = way_id then 0 else least(abs(bearing - before), 360 - abs(bearing - before)) end as angle from lagged),
+measured as (select *, case when angle < 25 then 'straight' when angle < 45 then 'slight' when angle < 120 then 'turn' else 'sharp' end as turn from angled)"""
+RESULTS = "with results as (select user_id as key, ts, event_id as seq, value as error_m from events where value is not null)"
+CUST = "with pts as (select c_custkey as point_id, 39.95 + (c_custkey % 101) * 0.00053 as lat, -75.16 + (c_custkey % 89) * 0.00061 as lon, 39.951 + (c_custkey % 13) * 0.0007 as lat2, -75.158 + (c_custkey % 17) * 0.0009 as lon2, c_nationkey from customer)"
+SIDE = "radians(bearing + 90)"
+DELTA = "((pass - 1) * 3.5 / 6371000.0)"
+
+
+def shifted(i):
+    lat = f"asin(sin(radians(lat{i})) * cos({DELTA}) + cos(radians(lat{i})) * sin({DELTA}) * cos({SIDE}))"
+    return f"round(degrees({lat}), 6) as lat{i}, round(lon{i} + degrees(atan2(sin({SIDE}) * sin({DELTA}) * cos(radians(lat{i})), cos({DELTA}) - sin(radians(lat{i})) * sin({lat}))), 6) as lon{i}"
+
+
+ORACLE = {
+    "network_edges": f"{NET} select edge_key, reverse_key, highway, trail as is_trail, busy as is_busy, name, round(distance, 2) as distance from edges",
+    "network_nodes": f"{NET} select node_id, round(lat, 4) as lat, round(lon, 4) as lon, has_signal, coalesce(has_busy_road, false) as has_busy_road, coalesce(degree, 0) as degree from nodes left join (select from_id, count(*) as degree, bool_or(busy) as has_busy_road from edges group by 1) on from_id = node_id where node_id in (select a from segs union select b from segs)",
+    "network_summary": f"{NET} select highway, trail as is_trail, busy as is_busy, count(*) as n_edges, round(sum(distance), 1) as metres from edges group by all",
+    "turn_table": f"{NET}, busy_at as (select from_id as id, bool_or(busy) as b from edges group by 1) select x.highway, count(*) as n, count_if(y.edge_key = x.reverse_key) as u_turns, count_if(b and not has_signal and not x.busy and not y.busy) as unsafe from edges x join edges y on x.to_id = y.from_id join busy_at on id = x.to_id join nodes on node_id = x.to_id group by 1",
+    "tag_rules": f"with {REFS}, {WAYS} select way_id, busy, trail, accessible, junk, accessible and not junk as kept, name from ways",
+    "geo_scalars": f"""{CUST}, k as (select *, cos(radians((39.95 + lat2) / 2)) as k from pts), p as (select *, (lon2 + 75.16) * k as dx, lat2 - 39.95 as dy from k), q as (select *, case when dx * dx + dy * dy = 0 then 0 else least(1, greatest(0, ((lon + 75.16) * k * dx + (lat - 39.95) * dy) / (dx * dx + dy * dy))) end as t, asin(sin(radians(lat)) * cos(250 / 6371000.0) + cos(radians(lat)) * sin(250 / 6371000.0) * cos(radians(60))) as o from p)
+select point_id, round({hav('lat', 'lon', 'lat2', 'lon2')}, 3) as metres, round({brg('lat', 'lon', 'lat2', 'lon2')}, 3) as bearing, round(least(16000, greatest(900, (1 + c_nationkey % 8) * 1609.344 * 0.62)), 3)::double as radius, round(t, 4) as t, round({hav('lat', 'lon', '(39.95 + t * (lat2 - 39.95))', '(-75.16 + t * (lon2 + 75.16))')}, 2) as to_segment, round(degrees(o), 6) as olat, round(lon + degrees(atan2(sin(radians(60)) * sin(250 / 6371000.0) * cos(radians(lat)), cos(250 / 6371000.0) - sin(radians(lat)) * sin(o))), 6) as olon from q""",
+    "nearest_nodes": f"{CUST}, {NODES} select point_id, arg_min(node_id, struct_pack(m := m, i := node_id)) as node_id, round(min(m), 2) as metres from (select point_id, node_id, {hav('p.lat', 'p.lon', 'n.lat', 'n.lon')} as m from pts p, nodes n) group by 1",
+    "text_rules": r"""with n as (select p_partkey, p_name, ' <' || p_name || '>  & ''' || p_brand || '" ' as x from part) select p_partkey, replace(replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', '&apos;'), '"', '&quot;') as escaped, regexp_replace(lower(trim(x)), '\s+', ' ', 'g') as normal, regexp_matches((p_partkey % 7) || p_name, '(?i)^\s*\d+[a-z]?\b') as house from n""",
+    "route_summary": f"""{STEPS}, more as (select *, row_number() over (partition by route_id, way_id, from_id, to_id order by step) as again, min(so_far) over (partition by route_id, to_id order by step rows between unbounded preceding and 1 preceding) as seen, first_value(from_id) over (partition by route_id order by step) as start from measured),
+s as (select route_id, sum(distance) as distance_m, sum(case when is_trail then distance else 0 end) as trail_m, count(distinct case when to_signal then to_id end) as signal_count, case when sum(distance) > 0 then 1 - sum(case when again > 1 then distance else 0 end) / sum(distance) else 1 end as nsf, count_if(turn in ('turn', 'sharp')) as turn_count, count_if(turn = 'sharp') as sharp_turn_count, count_if(to_id <> start and so_far - seen < 160.9344) as tiny_loop_count from more group by 1),
+f as (select *, case when distance_m > 0 then trail_m / distance_m else 0 end as tf, abs(distance_m - 5000) as err from s)
+select route_id, signal_count, turn_count, sharp_turn_count, tiny_loop_count, round(distance_m, 2) as distance_m, round(trail_m, 2) as trail_m, round(err, 2) as error_m, round(0.02 * distance_m + 25 * tf - 2 * signal_count - 4 * turn_count - 5 * sharp_turn_count - 40 * tiny_loop_count, 2) as size_score, round(tf, 4) as trail_fraction, round(nsf, 4) as new_street_fraction, round(err / 1609.344 + 0.004 * (turn_count + sharp_turn_count) - 0.18 * tf + 1.2 * tiny_loop_count, 4) as combined_score from f""",
+    "route_reversals": f"{STEPS} select route_id, not exists (select 1 from placed b join placed c on b.route_id = c.route_id and b.way_id = c.way_id and b.from_id = c.to_id and b.to_id = c.from_id and b.step < c.step and b.from_id <> b.to_id where b.route_id = r.route_id) as clean from (select distinct route_id from placed) r",
+    "route_passes": f"{STEPS} select route_id, max(n) as max_passes, count(*) as n_segments from (select route_id, count(*) as n from placed group by route_id, way_id, least(from_id, to_id), greatest(from_id, to_id)) group by 1",
+    "route_checks": f"{STEPS} select route_id, bool_and(coalesce(came = from_id, true)) as contiguous, arg_min(from_id, step) = arg_max(to_id, step) as closed from (select *, lag(to_id) over (partition by route_id order by step) as came from placed) group by 1",
+    "route_segments": f"{STEPS}, marks as (select *, case when lag(name) over (partition by route_id order by step) = name then 0 else 1 end as fresh from measured) select route_id, seq, name, is_trail, round(sum(distance), 2) as distance_m, count(*) as n_steps from (select *, sum(fresh) over (partition by route_id order by step)::bigint as seq from marks) group by route_id, seq, name, is_trail",
+    "route_render": f"{STEPS}, passes as (select *, row_number() over (partition by route_id, way_id, least(from_id, to_id), greatest(from_id, to_id) order by step) as pass from measured) select route_id, step, pass, {shifted(1)}, {shifted(2)} from passes",
+    "route_cues": f"""{STEPS}, turns as (select route_id, step as seq, case when (bearing - before + 540) - 360 * floor((bearing - before + 540) / 360) - 180 < 0 then 'Left' else 'Right' end as kind, so_far - distance as at_m, name from measured where turn in ('turn', 'sharp')), ends as (select route_id, max(step) as last, max(so_far) as total from measured group by 1)
+select route_id, seq, kind, round(at_m, 2) as at_m, 'Turn ' || lower(kind) || ' onto ' || name as notes from turns union all select route_id, -1, 'Start', 0, 'Start' from ends union all select route_id, last + 1, 'Finish', round(total, 2), 'Finish' from ends""",
+    "route_boxes": f"{STEPS} select route_id, round(min(lat2), 4) as min_lat, round(max(lat2), 4) as max_lat, round(min(lon2), 4) as min_lon, round(max(lon2), 4) as max_lon, round(greatest(max(lat2) - min(lat2), max(lon2) - min(lon2), 1e-6), 4) as span from placed group by 1",
+    "route_gpx": f"""{STEPS} select route_id, '<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1"><metadata><name>' || arg_min(name, step) || '</name></metadata><rte><name>' || arg_min(name, step) || '</name>' || string_agg(format('<rtept lat="{{:.6f}}" lon="{{:.6f}}"></rtept>', lat2, lon2), '' order by step) || '</rte></gpx>' as document from placed group by 1""",
+    "route_elevation": f"{STEPS}, e as (select route_id, step, case when to_id % 3 > 0 then (to_id % 50)::double end as elev from placed), n as (select route_id, count(*) as n, count(elev) as known from e group by 1), g as (select route_id, elev - lag(elev) over (partition by route_id order by step) as d from e where elev is not null), s as (select route_id, sum(case when d > 1 then d else 0 end) as up, sum(case when d < -1 then -d else 0 end) as down from g group by 1) select route_id, known >= greatest(2, n / 2) as available, case when known >= greatest(2, n / 2) then up else 0 end::double as gain_m, case when known >= greatest(2, n / 2) then down else 0 end::double as loss_m from n left join s using (route_id)",
+    "recent_results": f"{RESULTS} select key, place, seq from (select *, row_number() over (partition by key order by ts desc, seq desc) as place from results) where place <= 8",
+    "best_results": f"{RESULTS} select key, list_reduce(list(error_m order by ts, seq), lambda a, x: case when (a <= 80.4672 and x > 80.4672) or x - a > 150 then a else x end) as error_m from results group by 1",
+    "debounced_queries": f"{RESULTS}, b as (select *, sum(case when ts - before <= interval 1 hour then 0 else 1 end) over (partition by key order by ts, seq) as burst from (select *, lag(ts) over (partition by key order by ts, seq) as before from results)) select key, count(*) as bursts, round(sum(v), 3) as total from (select key, burst, arg_max(error_m, struct_pack(t := ts, s := seq)) as v from b group by 1, 2) group by 1",
+}
+QUERIES = {f.__name__: f for f in (network_edges, network_nodes, network_summary, turn_table, tag_rules, geo_scalars, nearest_nodes, text_rules, route_summary, route_reversals, route_passes, route_checks, route_segments, route_render, route_cues, route_boxes, route_gpx, route_elevation, route_arrows, route_points_kept, recent_results, best_results, debounced_queries, seeded_draws, trail_clusters, dead_ends, start_distances)}
