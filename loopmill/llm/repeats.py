@@ -207,6 +207,7 @@ def runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
+NO_ID = -(1 << 63)
 FOUND = "doc_key long, doc_id long, start int, n int"
 
 
@@ -280,13 +281,15 @@ def remove(docs: DataFrame, digests: bool = False) -> DataFrame:
     else with U+FFFD) or only their SHA-256.
 
     Null text is empty. Texts under LENGTH bytes are kept whole. Repeated rows are copies, so each loses all
-    strings of LENGTH bytes. A null doc_id is allowed. Other columns are ignored.
+    strings of LENGTH bytes. A null doc_id is allowed (it stands as the least long meanwhile). Other columns are ignored.
+    The texts are dealt by document once: the join that cuts contexts and the last one share that exchange, since both
+    read the same three columns, none of which can be null.
     """
     text = F.coalesce("text", F.lit(""))
-    docs = docs.select(F.xxhash64(text).alias("doc_key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col("doc_id").alias("_id"), text.alias("text"))
-    found = repeated(docs.select("doc_key", "doc_id", "text"))
+    docs = docs.select(F.xxhash64(text).alias("doc_key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text.alias("text"))
+    found = repeated(docs)
     lists = found.distinct().groupBy("doc_key", "doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    rows = docs.join(lists, ["doc_key", "doc_id"], "left").select("_id", "text", F.col("runs.start").alias("starts"), F.col("runs.n").alias("ns"))
+    rows = docs.join(lists, ["doc_key", "doc_id"], "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("_id"), "text", F.col("runs.start").alias("starts"), F.col("runs.n").alias("ns"))
     out = StructType(rows.select(F.col("_id").alias("doc_id")).schema.fields + StructType.fromDDL(RESULT).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,6 +31,8 @@ FIRST, LAST = 0, 27
 LONGEST = 40
 #: Documented bounds of the sample that the model is fitted on: labelled texts a class, words a class.
 TRAIN_ROWS, TRAIN_WORDS, LANDMARKS = 1500, 8_000, 240
+#: A word starts as toxic if its number of toxic texts times the log of its lift reaches this (else chance will do).
+EVIDENCE = 8.0
 #: Words that a process keeps the scores of.
 MAX_WORDS = 150_000
 SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][\s.*_-]{1,3}){3,}[^\W\d_](?!\w)")
@@ -185,7 +187,7 @@ class Model:
         n = [max(1, toxic.count(0)), max(1, toxic.count(1))]
         lift = {w: (c / n[1] + 0.2 / n[1]) / ((counts[0][w] + 0.2) / n[0]) for w, c in counts[1].items()}
         ranked = sorted(lift, key=lambda w: (-(lift[w] ** 0.5) * counts[1][w], w))
-        seeds = [w for w in ranked if lift[w] >= 8 and counts[1][w] >= 3][:TRAIN_WORDS] or ranked[:20]
+        seeds = [w for w in ranked if lift[w] >= 8 and counts[1][w] * np.log(lift[w]) >= EVIDENCE][:TRAIN_WORDS] or ranked[:20]
         common = [w for w, _ in sorted(counts[0].items(), key=lambda x: (-x[1], x[0])) if lift.get(w, 0) < 2]
         rng = np.random.default_rng(5)
         negative = [common[i] for i in rng.permutation(len(common))[:TRAIN_WORDS]]
