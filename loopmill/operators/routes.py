@@ -9,15 +9,21 @@ from loopmill.functions import geo, text
 
 #: Fixed value: a tenth of a mile in metres.
 TINY_LOOP_M = 160.9344
-ALONG = Window.partitionBy("route_id").orderBy("step")
-SO_FAR = ALONG.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def along():
+    return Window.partitionBy("route_id").orderBy("step")
+
+
+def up_to_here():
+    return along().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def measured(steps: DataFrame) -> DataFrame:
     """Adds distance, bearing, previous way and turn, running distance."""
     ends = [F.col(c) for c in ("lat1", "lon1", "lat2", "lon2")]
     out = steps.withColumns({"distance": geo.haversine(*ends), "bearing": geo.bearing(*ends)})
-    out = out.withColumns({"before": F.lag("bearing").over(ALONG), "way_before": F.lag("way_id").over(ALONG), "so_far": F.sum("distance").over(SO_FAR)})
+    out = out.withColumns({"before": F.lag("bearing").over(along()), "way_before": F.lag("way_id").over(along()), "so_far": F.sum("distance").over(up_to_here())})
     return out.withColumn("turn", geo.turn_kind(geo.angle_diff(F.col("bearing"), F.col("before")), F.coalesce(F.col("way_before") == F.col("way_id"), F.lit(True))))
 
 
@@ -26,7 +32,7 @@ def route_summary(steps: DataFrame, target_m: float = 5000.0) -> DataFrame:
     m = measured(steps).withColumn("again", again)
     # a visit is tiny if its node was first reached less than a tenth of a mile before
     first = F.min("so_far").over(Window.partitionBy("route_id", "to_id").orderBy("step").rowsBetween(Window.unboundedPreceding, -1))
-    start = F.first("from_id").over(ALONG)
+    start = F.first("from_id").over(along())
     m = m.withColumns({"first_seen": first, "start": start})
     total, trail = F.sum("distance"), F.sum(F.when(F.col("is_trail"), F.col("distance")).otherwise(0.0))
     out = m.groupBy("route_id").agg(
@@ -58,15 +64,15 @@ def pass_stats(steps: DataFrame) -> DataFrame:
 
 
 def route_checks(steps: DataFrame) -> DataFrame:
-    s = steps.withColumn("came", F.lag("to_id").over(ALONG))
+    s = steps.withColumn("came", F.lag("to_id").over(along()))
     return s.groupBy("route_id").agg(F.bool_and(F.coalesce(F.col("came") == F.col("from_id"), F.lit(True))).alias("contiguous"), (F.min_by("from_id", "step") == F.max_by("to_id", "step")).alias("closed"))
 
 
 def segments(steps: DataFrame) -> DataFrame:
     """Consecutive steps of one name and trail flag, merged."""
     m = measured(steps)
-    new = ~((F.lag("name").over(ALONG) == F.col("name")) & (F.lag("is_trail").over(ALONG) == F.col("is_trail")))
-    m = m.withColumn("seq", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(SO_FAR))
+    new = ~((F.lag("name").over(along()) == F.col("name")) & (F.lag("is_trail").over(along()) == F.col("is_trail")))
+    m = m.withColumn("seq", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(up_to_here()))
     return m.groupBy("route_id", "seq", "name", "is_trail").agg(F.sum("distance").alias("distance_m"), F.count("*").alias("n_steps"))
 
 
