@@ -12,7 +12,7 @@ METRES_PER_DEGREE = 111_000.0
 
 
 def nearest_node(points: DataFrame, nodes: DataFrame, cell: float = 0.005) -> DataFrame:
-    """(point_id, node_id, metres) for points(point_id, lat, lon); ties go to the smaller node_id.
+    """(point_id, node_id, metres) for points(point_id, lat, lon); ties, to the micrometre, go to the smaller node_id.
 
     A point looks into the cells around its own. A node found no farther than the ring is wide is the nearest; the
     other points look again on a grid of cells four times as wide, until all have one.
@@ -24,7 +24,7 @@ def nearest_node(points: DataFrame, nodes: DataFrame, cell: float = 0.005) -> Da
         around = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i, j))))"))
         p = left.withColumn("_d", around).select("point_id", "lat", "lon", (F.floor(F.col("lat") / cell) + F.col("_d.i")).alias("cy"), (F.floor(F.col("lon") / cell) + F.col("_d.j")).alias("cx"))
         n = nodes.select("node_id", F.col("lat").alias("nlat"), F.col("lon").alias("nlon"), F.floor(F.col("lat") / cell).alias("cy"), F.floor(F.col("lon") / cell).alias("cx"))
-        best = p.join(n, ["cy", "cx"]).groupBy("point_id", "lat", "lon").agg(F.min(F.struct(geo.haversine(F.col("lat"), F.col("lon"), F.col("nlat"), F.col("nlon")).alias("metres"), "node_id")).alias("b"))
+        best = p.join(n, ["cy", "cx"]).groupBy("point_id", "lat", "lon").agg(F.min(F.struct(F.round(geo.haversine(F.col("lat"), F.col("lon"), F.col("nlat"), F.col("nlon")), 6).alias("metres"), "node_id")).alias("b"))
         # the ring is narrowest along longitude
         sure = F.col("b.metres") <= cell * METRES_PER_DEGREE * F.cos(F.radians(F.least(F.abs("lat") + cell, F.lit(89.0))))
         hit = settled(best.where(sure | F.lit(cell > 180)).select("point_id", "b.node_id", "b.metres"), "nearest")

@@ -204,7 +204,7 @@ ORACLE = {
     "tag_rules": f"with {REFS}, {WAYS} select way_id, busy, trail, accessible, junk, accessible and not junk as kept, name from ways",
     "geo_scalars": f"""{CUST}, k as (select *, cos(radians((39.95 + lat2) / 2)) as k from pts), p as (select *, (lon2 + 75.16) * k as dx, lat2 - 39.95 as dy from k), q as (select *, case when dx * dx + dy * dy = 0 then 0 else least(1, greatest(0, ((lon + 75.16) * k * dx + (lat - 39.95) * dy) / (dx * dx + dy * dy))) end as t, asin(sin(radians(lat)) * cos(250 / 6371000.0) + cos(radians(lat)) * sin(250 / 6371000.0) * cos(radians(60))) as o from p)
 select point_id, round({hav('lat', 'lon', 'lat2', 'lon2')}, 3) as metres, round({brg('lat', 'lon', 'lat2', 'lon2')}, 3) as bearing, round(least(16000, greatest(900, (1 + c_nationkey % 8) * 1609.344 * 0.62)), 3)::double as radius, round(t, 4) as t, round({hav('lat', 'lon', '(39.95 + t * (lat2 - 39.95))', '(-75.16 + t * (lon2 + 75.16))')}, 2) as to_segment, round(degrees(o), 6) as olat, round(lon + degrees(atan2(sin(radians(60)) * sin(250 / 6371000.0) * cos(radians(lat)), cos(250 / 6371000.0) - sin(radians(lat)) * sin(o))), 6) as olon from q""",
-    "nearest_nodes": f"{CUST}, {NODES} select point_id, arg_min(node_id, struct_pack(m := m, i := node_id)) as node_id, round(min(m), 2) as metres from (select point_id, node_id, {hav('p.lat', 'p.lon', 'n.lat', 'n.lon')} as m from pts p, nodes n) group by 1",
+    "nearest_nodes": f"{CUST}, {NODES} select point_id, arg_min(node_id, struct_pack(m := m, i := node_id)) as node_id, round(min(m), 2) as metres from (select point_id, node_id, round({hav('p.lat', 'p.lon', 'n.lat', 'n.lon')}, 6) as m from pts p, nodes n) group by 1",
     "text_rules": r"""with n as (select p_partkey, p_name, ' <' || p_name || '>  & ''' || p_brand || '" ' as x from part) select p_partkey, replace(replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', '&apos;'), '"', '&quot;') as escaped, regexp_replace(lower(trim(x)), '\s+', ' ', 'g') as normal, regexp_matches((p_partkey % 7) || p_name, '(?i)^\s*\d+[a-z]?\b') as house from n""",
     "route_summary": f"""{STEPS}, more as (select *, row_number() over (partition by route_id, way_id, from_id, to_id order by step) as again, min(so_far) over (partition by route_id, to_id order by step rows between unbounded preceding and 1 preceding) as seen, first_value(from_id) over (partition by route_id order by step) as start from measured),
 s as (select route_id, sum(distance) as distance_m, sum(case when is_trail then distance else 0 end) as trail_m, count(distinct case when to_signal then to_id end) as signal_count, case when sum(distance) > 0 then 1 - sum(case when again > 1 then distance else 0 end) / sum(distance) else 1 end as nsf, count_if(turn in ('turn', 'sharp'))::bigint as turn_count, count_if(turn = 'sharp')::bigint as sharp_turn_count, count_if(to_id <> start and so_far - seen < 160.9344)::bigint as tiny_loop_count from more group by 1),
