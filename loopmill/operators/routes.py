@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loopmill.functions import geo, text
 
 #: Fixed value: a tenth of a mile in metres.
 TINY_LOOP_M = 160.9344
+#: Fixed value: characters of a course point's name that devices show.
+COURSE_NAME_CHARS = 25
 
 
 def along():
@@ -108,6 +110,40 @@ def to_gpx(steps: DataFrame) -> DataFrame:
     return body.select("route_id", F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1"><metadata><name>'), name, F.lit("</name></metadata><rte><name>"), name, F.lit("</name>"), F.concat_ws("", F.col("p.x")), F.lit("</rte></gpx>")).alias("document"))
 
 
+def polyline_runs(steps: DataFrame) -> DataFrame:
+    """(route_id, seq, is_trail, points): consecutive steps of one trail flag; from of the first, then every to."""
+    new = F.coalesce(F.lag("is_trail").over(along()) != F.col("is_trail"), F.lit(True)).cast("int")
+    m = steps.withColumn("seq", F.sum(new).over(up_to_here()))
+    start = F.struct(F.col("lat1").alias("lat"), F.col("lon1").alias("lon"))
+    runs = m.groupBy("route_id", "seq", "is_trail").agg(F.min_by(start, "step").alias("s"), F.sort_array(F.collect_list(F.struct("step", F.col("lat2").alias("lat"), F.col("lon2").alias("lon")))).alias("p"))
+    return runs.select("route_id", "seq", "is_trail", F.concat(F.array("s"), F.transform("p", lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon")))).alias("points"))
+
+
+def position(tag: str, lat: str, lon: str) -> Column:
+    return F.format_string(f"<{tag}><LatitudeDegrees>%.6f</LatitudeDegrees><LongitudeDegrees>%.6f</LongitudeDegrees></{tag}>", F.col(lat), F.col(lon))
+
+
+def to_tcx(steps: DataFrame) -> DataFrame:
+    """(route_id, document): a course with a lap, a track point for each node and a course point for each cue.
+
+    Track and cue texts are made a row each and put together by route in step order.
+    """
+    m = measured(steps)
+    point = lambda place, metres: F.concat(F.lit("<Trackpoint>"), place, F.format_string("<DistanceMeters>%.1f</DistanceMeters></Trackpoint>", metres))
+    ends = m.groupBy("route_id").agg(F.max("so_far").alias("total"), F.min_by(position("BeginPosition", "lat1", "lon1"), "step").alias("begin"), F.max_by(position("EndPosition", "lat2", "lon2"), "step").alias("end"), F.min_by("name", "step").alias("name"), F.min_by(point(position("Position", "lat1", "lon1"), F.lit(0.0)), "step").alias("first"), F.sort_array(F.collect_list(F.struct("step", point(position("Position", "lat2", "lon2"), F.col("so_far")).alias("x")))).alias("t"))
+    # a cue stands where its step begins; the last one where the route ends
+    at = m.select("route_id", F.col("step").alias("seq"), position("Position", "lat1", "lon1").alias("at"))
+    bounds = m.groupBy("route_id").agg(F.min_by(position("Position", "lat1", "lon1"), "step").alias("at0"), F.max_by(position("Position", "lat2", "lon2"), "step").alias("at1"))
+    cues = course_cues(steps).join(at, ["route_id", "seq"], "left").join(bounds, "route_id")
+    place = F.when(F.col("kind") == "Start", F.col("at0")).when(F.col("kind") == "Finish", F.col("at1")).otherwise(F.col("at"))
+    kind = F.when(F.col("kind").isin("Left", "Right"), F.col("kind")).otherwise("Generic")
+    one = F.concat(F.lit("<CoursePoint><Name>"), text.xml_escape(F.substring("notes", 1, COURSE_NAME_CHARS)), F.lit("</Name>"), place, F.lit("<PointType>"), kind, F.lit("</PointType><Notes>"), text.xml_escape(F.col("notes")), F.lit("</Notes></CoursePoint>"))
+    cued = cues.groupBy("route_id").agg(F.sort_array(F.collect_list(F.struct("seq", one.alias("x")))).alias("c"))
+    head = '<?xml version="1.0" encoding="UTF-8"?><TrainingCenterDatabase xmlns="http://www.garmin.com/xmlschemas/TrainingCenterDatabase/v2"><Courses><Course><Name>'
+    lap = F.concat(F.lit("<Lap><TotalTimeSeconds>0</TotalTimeSeconds>"), F.format_string("<DistanceMeters>%.1f</DistanceMeters>", "total"), F.col("begin"), F.col("end"), F.lit("</Lap><Track>"))
+    return ends.join(cued, "route_id").select("route_id", F.concat(F.lit(head), text.xml_escape(F.col("name")), F.lit("</Name>"), lap, F.col("first"), F.concat_ws("", "t.x"), F.lit("</Track>"), F.concat_ws("", "c.x"), F.lit("</Course></Courses></TrainingCenterDatabase>")).alias("document"))
+
+
 def elevation_totals(profile: DataFrame) -> DataFrame:
     """profile(route_id, idx, elev): gain and loss over steps above a metre between known points, if half are known."""
     n = profile.groupBy("route_id").agg(F.count("*").alias("n"), F.count("elev").alias("known"))

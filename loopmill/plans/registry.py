@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loopmill.functions import draws, geo, text
 from loopmill.functions import tags as T
-from loopmill.operators import folds, graph, network, routes, spatial
+from loopmill.operators import choice, folds, graph, network, places, routes, spatial
 from loopmill.sources import tables
 from loopmill.streaming import live
 
@@ -158,6 +158,69 @@ def start_distances(spark, d):
     return graph.network_distances(starts, parts(spark, d)[2], 1500.0).withColumn("metres", F.round("metres", 2))
 
 
+def geocoded_requests(spark, d):
+    return places.geocode(tables.address_requests(spark, d), tables.gazetteer(spark, d))
+
+
+def address_suggestions(spark, d):
+    asked = tables.address_requests(spark, d).select(F.col("request_id").alias("query_id"), "query")
+    return places.suggest(asked, tables.address_features(spark, d))
+
+
+def route_point_elevation(spark, d):
+    points = tables.order_routes(spark, d).select("route_id", "step", F.col("lat2").alias("lat"), F.col("lon2").alias("lon"))
+    n = tables.grid_nodes(spark, d).where("node_id % 3 > 0")
+    ground = n.select(F.round(n["lat"] * 1000).cast("long").alias("cell_lat"), F.round(n["lon"] * 1000).cast("long").alias("cell_lon"), (n["node_id"] % 50).cast("double").alias("elev"))
+    return places.elevation_lookup(points, ground).select("route_id", "step", "elev")
+
+
+def route_runs(spark, d):
+    r = routes.polyline_runs(tables.order_routes(spark, d))
+    path = F.concat_ws(";", F.transform("points", lambda p: F.format_string("%.5f,%.5f", p["lat"], p["lon"])))
+    return r.select("route_id", "seq", "is_trail", F.size("points").cast("long").alias("n_points"), F.md5(path.cast("binary")).alias("path"))
+
+
+def route_tcx(spark, d):
+    return routes.to_tcx(tables.order_routes(spark, d))
+
+
+def snaps(spark, d):
+    at = points(spark, d).select("point_id", "lat", "lon")
+    return places.snap_to_network(at, tables.grid_streets(spark, d)).withColumn("t", F.round("t", 6))
+
+
+def snapped_points(spark, d):
+    return snaps(spark, d).select("point_id", "way_id", "node_id", F.round("t", 4).alias("t"), F.round("metres", 2).alias("metres"))
+
+
+def split_streets(spark, d):
+    pieces = places.split_segments(tables.grid_streets(spark, d), snaps(spark, d))
+    return pieces.select("way_id", "a", "b", *(F.round(c, 4).alias(c) for c in ("from_t", "to_t")))
+
+
+def seeds_compared(spark, d):
+    return choice.best_of_seeds(tables.order_candidates(spark, d))
+
+
+def elevation_choice(spark, d):
+    return choice.elevation_preferred(tables.order_candidates(spark, d)).withColumn("violation_ft", F.round("violation_ft", 3))
+
+
+def regenerated_routes(spark, d):
+    c = tables.order_candidates(spark, d)
+    return choice.regenerated(c.where("i = 0"), c.where("i > 0").withColumn("i", F.col("i") - 1))
+
+
+def search_stats(spark, d):
+    return choice.batch_stats(tables.order_candidates(spark, d)).withColumns({c: F.round(c, 4) for c in ("turns", "turns_per_mile")})
+
+
+def route_laps(spark, d):
+    steps = tables.order_routes(spark, d)
+    lengths = routes.measured(steps).groupBy("route_id").agg(F.sum("distance").alias("distance_m"), F.count("*").alias("n_steps"))
+    return choice.lap_steps(steps, lengths, 5000.0)
+
+
 def hav(a, b, c, e):
     h = f"(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({e} - {b}) / 2), 2))"
     return f"(2 * 6371000.0 * atan2(sqrt({h}), sqrt(1 - {h})))"
@@ -187,6 +250,13 @@ angled as (select *, case when way_before is null or way_before = way_id then 0
 measured as (select *, case when angle < 25 then 'straight' when angle < 45 then 'slight' when angle < 120 then 'turn' else 'sharp' end as turn from angled)"""
 RESULTS = "with results as (select user_id as key, ts, event_id as seq, value as error_m from events where value is not null)"
 CUST = "with pts as (select c_custkey as point_id, 39.95 + (c_custkey % 101) * 0.00053 as lat, -75.16 + (c_custkey % 89) * 0.00061 as lon, 39.951 + (c_custkey % 13) * 0.0007 as lat2, -75.158 + (c_custkey % 17) * 0.0009 as lon2, c_nationkey from customer)"
+CAND = "with c as (select o_custkey as request_id, row_number() over (partition by o_custkey order by o_orderkey) - 1 as i, ((o_orderkey * 37) % 400)::double as error_m, (o_orderkey * 37) % 400 <= 80.4672 as within_tolerance, (o_orderkey * 13) % 80 as turn_count, case when o_orderkey % 7 = 0 then 1 else 0 end::bigint as tiny_loop_count, (4000 + o_orderkey % 1000)::double as distance_m, o_orderkey % 5 > 0 as available, ((o_orderkey * 17) % 300)::double as gain_m, case when o_custkey % 2 = 0 then 100.0 end::double as min_ft, case when o_custkey % 3 > 0 then 400.0 end::double as max_ft from orders)"
+STREETS = f"{CUST}, {NODES}, e as (select 2 * p_partkey as way_id, p_partkey as a, p_partkey + 1 as b from part, side where p_partkey % w < w - 1 union all select 2 * p_partkey + 1, p_partkey, p_partkey + w from part, side), streets as (select way_id, a, b, x.lat as lat1, x.lon as lon1, y.lat as lat2, y.lon as lon2 from e join nodes x on x.node_id = a join nodes y on y.node_id = b)"
+SNAPS = f"""{STREETS}, sq as (select point_id, lat, lon, s.*, (lon2 - lon1) * cos(radians((lat1 + lat2) / 2)) as dx, lat2 - lat1 as dy, cos(radians((lat1 + lat2) / 2)) as k from (select point_id, lat, lon from pts), streets s),
+ft as (select *, case when dx * dx + dy * dy = 0 then 0 else least(1, greatest(0, ((lon - lon1) * k * dx + (lat - lat1) * dy) / (dx * dx + dy * dy))) end as t from sq),
+ms as (select *, round({hav('lat', 'lon', '(lat1 + t * (lat2 - lat1))', '(lon1 + t * (lon2 - lon1))')}, 4) as m from ft),
+snaps as (select point_id, way_id, a, b, round(t, 6) as t, m, case when t <= 0.015 then a::varchar when t >= 0.985 then b::varchar else 'snap:' || way_id || ':' || a || ':' || b end as node_id from ms qualify row_number() over (partition by point_id order by m, way_id, a, b) = 1)"""
+POS = "<LatitudeDegrees>{:.6f}</LatitudeDegrees><LongitudeDegrees>{:.6f}</LongitudeDegrees>"
 SIDE = "radians(bearing + 90)"
 DELTA = "((pass - 1) * 3.5 / 6371000.0)"
 
@@ -220,8 +290,33 @@ select route_id, seq, kind, round(at_m, 2) as at_m, 'Turn ' || lower(kind) || '
     "route_boxes": f"{STEPS} select route_id, round(min(lat2), 4) as min_lat, round(max(lat2), 4) as max_lat, round(min(lon2), 4) as min_lon, round(max(lon2), 4) as max_lon, round(greatest(max(lat2) - min(lat2), max(lon2) - min(lon2), 1e-6), 4) as span from placed group by 1",
     "route_gpx": f"""{STEPS} select route_id, '<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1"><metadata><name>' || arg_min(name, step) || '</name></metadata><rte><name>' || arg_min(name, step) || '</name>' || string_agg(format('<rtept lat="{{:.6f}}" lon="{{:.6f}}"></rtept>', lat2, lon2), '' order by step) || '</rte></gpx>' as document from placed group by 1""",
     "route_elevation": f"{STEPS}, e as (select route_id, step, case when to_id % 3 > 0 then (to_id % 50)::double end as elev from placed), n as (select route_id, count(*) as n, count(elev) as known from e group by 1), g as (select route_id, elev - lag(elev) over (partition by route_id order by step) as d from e where elev is not null), s as (select route_id, sum(case when d > 1 then d else 0 end) as up, sum(case when d < -1 then -d else 0 end) as down from g group by 1) select route_id, known >= greatest(2, n / 2) as available, case when known >= greatest(2, n / 2) then up else 0 end::double as gain_m, case when known >= greatest(2, n / 2) then down else 0 end::double as loss_m from n left join s using (route_id)",
+    "geocoded_requests": r"""with r as (select c_custkey as request_id, (case when c_custkey % 3 = 0 then '' else (c_custkey % 50) || ' ' end) || 'Street ' || (c_custkey % 97) as address from customer),
+g as (select *, row_number() over (partition by address order by k) as rank from (select o_orderkey as k, (case when o_orderkey % 3 = 0 then '' else (o_orderkey % 50) || ' ' end) || 'Street ' || (o_orderkey % 101) as address from orders)),
+best as (select address, min(k) as first, min(case when k % 4 > 0 then k end) as numbered from g where rank <= 5 group by 1),
+hit as (select request_id, first, numbered, regexp_matches(r.address, '^\s*\d+') as typed, case when typed then numbered else first end as k from r left join best using (address))
+select request_id, 'Place ' || k as display_name, (k % 90)::double as lat, (k % 180)::double as lon, case when first is null then 'not_found' when typed and numbered is null then 'no_house_number' end as reason from hit""",
+    "address_suggestions": """with q as (select c_custkey as query_id, 'ab' || (c_custkey % 300) as query from customer where c_custkey % 11 <> 0),
+f as (select *, row_number() over (partition by query order by k) as rank from (select o_orderkey as k, 'ab' || (o_orderkey % 311) as query from orders)),
+n as (select query, rank, case when k % 10 < 8 then (k % 9) || ' Street ' || (k % 3) else 'Name ' || (k % 4) end as head, case when k % 4 > 0 then 'Name ' || (k % 4) end as city, case when k % 8 < 4 then 'County' end as county, k from f where rank <= 15 and k % 5 > 0 and k % 6 > 0),
+l as (select query, rank, concat_ws(', ', head, case when city is not null and city <> head then city else county end, 'State ' || (k % 2), case when city is null and county is null then 'Land' end) as label from n),
+p as (select query, label, row_number() over (partition by query order by min(rank), label)::integer as place from l group by 1, 2)
+select query_id, place, label from q join p using (query) where place <= 5""",
+    "route_point_elevation": f"{STEPS}, g as (select round(lat * 1000)::bigint as y, round(lon * 1000)::bigint as x, max(node_id % 50)::double as elev from nodes where node_id % 3 > 0 group by 1, 2) select route_id, step::integer as step, elev from placed left join g on y = round(lat2 * 1000)::bigint and x = round(lon2 * 1000)::bigint",
+    "route_runs": f"{STEPS}, fresh as (select *, case when lag(is_trail) over (partition by route_id order by step) = is_trail then 0 else 1 end as f from placed) select route_id, seq, is_trail, count(*) + 1 as n_points, md5(format('{{:.5f}},{{:.5f}}', arg_min(lat1, step), arg_min(lon1, step)) || ';' || string_agg(format('{{:.5f}},{{:.5f}}', lat2, lon2), ';' order by step)) as path from (select *, sum(f) over (partition by route_id order by step)::bigint as seq from fresh) group by 1, 2, 3",
+    "route_tcx": f"""{STEPS}, points as (select route_id, '<Trackpoint>' || format('<Position>{POS}</Position>', lat2, lon2) || format('<DistanceMeters>{{:.1f}}</DistanceMeters></Trackpoint>', so_far) as x, step, so_far, lat1, lon1, lat2, lon2, name from measured),
+cues as (select route_id, step as seq, case when (bearing - before + 540) - 360 * floor((bearing - before + 540) / 360) - 180 < 0 then 'Left' else 'Right' end as kind, 'Turn ' || lower(kind) || ' onto ' || name as notes, lat1 as y, lon1 as x from measured where turn in ('turn', 'sharp') union all select route_id, -1, 'Generic', 'Start', arg_min(lat1, step), arg_min(lon1, step) from measured group by 1 union all select route_id, max(step) + 1, 'Generic', 'Finish', arg_max(lat2, step), arg_max(lon2, step) from measured group by 1),
+cued as (select route_id, string_agg('<CoursePoint><Name>' || substr(notes, 1, 25) || '</Name>' || format('<Position>{POS}</Position>', y, x) || '<PointType>' || kind || '</PointType><Notes>' || notes || '</Notes></CoursePoint>', '' order by seq) as c from cues group by 1)
+select route_id, '<?xml version="1.0" encoding="UTF-8"?><TrainingCenterDatabase xmlns="http://www.garmin.com/xmlschemas/TrainingCenterDatabase/v2"><Courses><Course><Name>' || arg_min(name, step) || '</Name><Lap><TotalTimeSeconds>0</TotalTimeSeconds>' || format('<DistanceMeters>{{:.1f}}</DistanceMeters>', max(so_far)) || format('<BeginPosition>{POS}</BeginPosition>', arg_min(lat1, step), arg_min(lon1, step)) || format('<EndPosition>{POS}</EndPosition>', arg_max(lat2, step), arg_max(lon2, step)) || '</Lap><Track><Trackpoint>' || format('<Position>{POS}</Position>', arg_min(lat1, step), arg_min(lon1, step)) || '<DistanceMeters>0.0</DistanceMeters></Trackpoint>' || string_agg(x, '' order by step) || '</Track>' || any_value(c) || '</Course></Courses></TrainingCenterDatabase>' as document from points join cued using (route_id) group by 1""",
+    "snapped_points": f"{SNAPS} select point_id, way_id, node_id, round(t, 4) as t, round(m, 2) as metres from snaps",
+    "split_streets": f"{SNAPS}, cuts as (select way_id, a, b, 0::double as t from streets union select way_id, a, b, 1 from streets union select way_id, a, b, t from snaps where t > 0.015 and t < 0.985), pieces as (select way_id, a, b, t as from_t, lead(t) over (partition by way_id, a, b order by t) as to_t from cuts) select way_id, a, b, round(from_t, 4) as from_t, round(to_t, 4) as to_t from pieces where to_t is not null",
+    "seeds_compared": f"""{CAND}, l as (select request_id, list(struct_pack(i := i, within_tolerance := within_tolerance, error_m := error_m, turn_count := turn_count, tiny_loop_count := tiny_loop_count, distance_m := distance_m) order by i) as r from c where i < 3 group by 1)
+select request_id, unnest(list_reduce(r, lambda a, x: case when not (a.within_tolerance and a.tiny_loop_count = 0 and a.turn_count / (a.distance_m / 1609.344) <= 14) and (case when a.within_tolerance <> x.within_tolerance then x.within_tolerance when abs(x.error_m - a.error_m) > 40 then x.error_m < a.error_m else x.turn_count < a.turn_count end) then x else a end)) from l""",
+    "elevation_choice": f"{CAND}, v as (select request_id, i, case when available then greatest(coalesce(min_ft - gain_m / 0.3048, 0), 0) + greatest(coalesce(gain_m / 0.3048 - max_ft, 0), 0) else 'infinity'::double end as v from c) select request_id, arg_min(i, struct_pack(v := v, i := i)) as i, round(min(v), 3) as violation_ft, case when min(v) = 'infinity'::double then 'unavailable' when min(v) > 0 then 'unmatched' else 'none' end as note from v group by 1",
+    "regenerated_routes": f"{CAND} select s.request_id, min(case when not ((s.within_tolerance and not a.within_tolerance) or a.error_m - s.error_m > 150) then a.i - 1 end) as i from c s left join c a on a.request_id = s.request_id and a.i between 1 and 4 where s.i = 0 group by 1",
+    "search_stats": f"{CAND} select request_id, count(*) as n, round(avg(turn_count), 4) as turns, round(avg(turn_count / greatest(distance_m / 1609.344, 0.1)), 4) as turns_per_mile, count_if(tiny_loop_count > 0)::bigint as with_tiny_loops from c group by 1",
+    "route_laps": f"{STEPS}, n as (select route_id, count(*) as n_steps, case when sum(distance) > 0 then floor(5000 / sum(distance)) else 0 end::integer as laps from placed group by 1), l as (select route_id, n_steps, unnest(range(1, laps + 1))::integer as lap from n) select route_id, lap, step::integer as step, (lap - 1) * n_steps + step as at from l join placed using (route_id)",
     "recent_results": f"{RESULTS} select key, place, seq from (select *, row_number() over (partition by key order by ts desc, seq desc) as place from results) where place <= 8",
     "best_results": f"{RESULTS} select key, list_reduce(list(error_m order by ts, seq), lambda a, x: case when (a <= 80.4672 and x > 80.4672) or x - a > 150 then a else x end) as error_m from results group by 1",
     "debounced_queries": f"{RESULTS}, b as (select *, sum(case when ts - before <= interval 1 hour then 0 else 1 end) over (partition by key order by ts, seq) as burst from (select *, lag(ts) over (partition by key order by ts, seq) as before from results)) select key, count(*) as bursts, round(sum(v), 3) as total from (select key, burst, arg_max(error_m, struct_pack(t := ts, s := seq)) as v from b group by 1, 2) group by 1",
 }
-QUERIES = {f.__name__: f for f in (network_edges, network_nodes, network_summary, turn_table, tag_rules, geo_scalars, nearest_nodes, text_rules, route_summary, route_reversals, route_passes, route_checks, route_segments, route_render, route_cues, route_boxes, route_gpx, route_elevation, route_arrows, route_points_kept, recent_results, best_results, debounced_queries, seeded_draws, trail_clusters, dead_ends, start_distances)}
+QUERIES = {f.__name__: f for f in (network_edges, network_nodes, network_summary, turn_table, tag_rules, geo_scalars, nearest_nodes, text_rules, route_summary, route_reversals, route_passes, route_checks, route_segments, route_render, route_cues, route_boxes, route_gpx, route_elevation, route_arrows, route_points_kept, recent_results, best_results, debounced_queries, seeded_draws, trail_clusters, dead_ends, start_distances, geocoded_requests, address_suggestions, route_point_elevation, route_runs, route_tcx, snapped_points, split_streets, seeds_compared, elevation_choice, regenerated_routes, search_stats, route_laps)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ELEMENTS = "elements array<struct<type string, id bigint, lat double, lon double, nodes array<bigint>, tags map<string,string>>>"
@@ -58,3 +58,56 @@ def order_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = nodes.select(F.col("node_id").alias("from_id"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
     b = nodes.select(F.col("node_id").alias("to_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("has_signal").alias("to_signal"))
     return steps.join(a, "from_id").join(b, "to_id").withColumns({"name": F.concat(F.lit("Street "), F.col("way_id").cast("string")), "is_trail": F.col("way_id") == 0})
+
+
+def grid_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """segments(way_id, a, b, lat1, lon1, lat2, lon2): each node of the grid joined to the next in its row and its column."""
+    nodes = grid_nodes(spark, sf_dir)
+    side = int(nodes.count() ** 0.5 - 1e-9) + 1
+    k = F.col("node_id")
+    right = F.when(k % side < side - 1, F.struct((2 * k).alias("way_id"), (k + 1).alias("b")))
+    ends = nodes.select(k.alias("a"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.explode(F.array(right, F.struct((2 * k + 1).alias("way_id"), (k + side).alias("b")))).alias("e"))
+    far = nodes.select(k.alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    return ends.where("e is not null").select("e.way_id", "a", "e.b", "lat1", "lon1").join(far, "b")
+
+
+def order_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """candidates(request_id, i, ...): the orders of a customer, in order, stand for the routes found from successive seeds."""
+    o, k = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("o_orderkey")
+    error = ((k * 37) % 400).cast("double")
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long") - 1
+    return o.select(
+        F.col("o_custkey").alias("request_id"), place.alias("i"), error.alias("error_m"), (error <= 80.4672).alias("within_tolerance"),
+        ((k * 13) % 80).alias("turn_count"), F.when(k % 7 == 0, 1).otherwise(0).cast("long").alias("tiny_loop_count"), (4000.0 + k % 1000).alias("distance_m"),
+        (k % 5 > 0).alias("available"), ((k * 17) % 300).cast("double").alias("gain_m"),
+        F.when(F.col("o_custkey") % 2 == 0, 100.0).alias("min_ft"), F.when(F.col("o_custkey") % 3 > 0, 400.0).alias("max_ft"),
+    )
+
+
+def street_address(number, is_plain, street) -> Column:
+    return F.concat(F.when(is_plain, "").otherwise(F.concat(number.cast("string"), F.lit(" "))), F.lit("Street "), street.cast("string"))
+
+
+def address_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """requests(request_id, address, query): a customer each."""
+    k = F.col("c_custkey")
+    query = F.when(k % 11 == 0, " ab ").otherwise(F.concat(F.lit(" Ab"), (k % 300).cast("string")))
+    return read(spark, sf_dir, "customer").select(k.alias("request_id"), street_address(k % 50, k % 3 == 0, k % 97).alias("address"), query.alias("query"))
+
+
+def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(address, rank, lat, lon, display_name, house_number): an order each, ranked within its address."""
+    k = F.col("o_orderkey")
+    rows = read(spark, sf_dir, "orders").select(k, street_address(k % 50, k % 3 == 0, k % 101).alias("address"))
+    rank = F.row_number().over(Window.partitionBy("address").orderBy("o_orderkey")) - 1
+    text = lambda x: x.cast("string")
+    return rows.select("address", rank.alias("rank"), text(k % 90).alias("lat"), text(k % 180).alias("lon"), F.concat(F.lit("Place "), text(k)).alias("display_name"), F.when(k % 4 > 0, text(k % 50)).alias("house_number"))
+
+
+def address_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query, rank, housenumber, street, name, city, county, state, country, lon, lat): an order each, ranked within its query."""
+    k = F.col("o_orderkey")
+    rows = read(spark, sf_dir, "orders").select(k, F.concat(F.lit("ab"), (k % 311).cast("string")).alias("query"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("o_orderkey")) - 1
+    numbered = lambda word, n: F.concat(F.lit(word), (k % n).cast("string"))
+    return rows.select("query", rank.alias("rank"), F.when(k % 5 > 0, (k % 9).cast("string")).alias("housenumber"), F.when(k % 10 < 8, numbered("Street ", 3)).otherwise("").alias("street"), numbered("Name ", 4).alias("name"), F.when(k % 4 > 0, numbered("Name ", 4)).alias("city"), F.when(k % 8 < 4, "County").alias("county"), numbered("State ", 2).alias("state"), F.lit("Land").alias("country"), F.lit(1.0).alias("lon"), F.when(k % 6 > 0, 2.0).alias("lat"))

@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from loopmill.functions import draws, geo
+from loopmill.functions import draws, geo, text
 from loopmill.functions import tags as T
-from loopmill.operators import folds, graph, network, routes, spatial
+from loopmill.operators import choice, folds, graph, network, places, routes, spatial
 from loopmill.plans import registry
 from loopmill.sources import tables
 
@@ -23,10 +23,10 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", ["network_summary", "turn_table", "route_summary", "route_checks", "nearest_nodes", "best_results"])
+@pytest.mark.parametrize("name", ["network_summary", "turn_table", "route_summary", "route_checks", "nearest_nodes", "best_results", "geocoded_requests", "address_suggestions", "route_tcx", "snapped_points", "split_streets", "seeds_compared", "elevation_choice", "search_stats", "route_laps"])
 def test_against_sql(spark, con, name):
     got, want = registry.QUERIES[name](spark, DATA).toPandas(), con.sql(registry.ORACLE[name]).df()
-    key = lambda d: sorted((tuple(round(float(v), 4) if isinstance(v, float) else str(v) for v in r) for r in d[sorted(d.columns)].itertuples(index=False)), key=str)
+    key = lambda d: sorted((tuple(None if v is None or v != v else round(float(v), 4) if isinstance(v, float) else str(v) for v in r) for r in d[sorted(d.columns)].itertuples(index=False)), key=str)
     assert key(got) == key(want)
 
 
@@ -98,3 +98,36 @@ def test_folds_against_loops(spark):
             want.setdefault(route, []).append(step)
             n[route] = 0.0
     assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_geocode_reasons(spark):
+    g = spark.createDataFrame([("main st", 0, "1", "2", "A", None), ("Main  St", 1, "3", "4", "B", "9"), ("9 main st", 0, "x", "4", "C", "")], "address string, rank int, lat string, lon string, display_name string, house_number string")
+    r = spark.createDataFrame([(1, " MAIN st"), (2, "9 Main St"), (3, "nowhere"), (4, None)], "request_id int, address string")
+    got = {x.request_id: (x.display_name, x.reason) for x in places.geocode(r, g).collect()}
+    assert got == {1: ("A", None), 2: (None, "no_house_number"), 3: (None, "not_found"), 4: (None, "not_found")}
+
+
+def test_suggestion_label(spark):
+    rows = [("1", "A St", "N", "Town", "C", "S", "L"), (None, "A St", "N", "A St", "C", "S", "L"), (None, None, "N", None, None, "S", "L"), ("", "", "", "", "", "", ""), ("1", None, "N", None, "C", None, "L")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, n string, s string, m string, t string, c string, a string, l string")
+    got = [r.x for r in df.orderBy("i").select(text.suggestion_label(*(F.col(c) for c in "nsmtcal")).alias("x")).collect()]
+    assert got == ["1 A St, Town, S", "A St, C, S", "N, S, L", "", "N, C"]
+
+
+def test_snap_far_ends_and_many_on_one_segment(spark):
+    seg = spark.createDataFrame([(7, 1, 2, 0.0, 0.0, 0.0, 0.004)], "way_id long, a long, b long, lat1 double, lon1 double, lat2 double, lon2 double")
+    p = spark.createDataFrame([(1, 0.0001, 0.001), (2, -0.0001, 0.003), (3, 40.0, -30.0), (4, 0.0, 0.00399), (5, None, 0.0)], "point_id long, lat double, lon double")
+    s = places.snap_to_network(p, seg)
+    assert {r.point_id: r.node_id for r in s.collect()} == {1: "snap:7:1:2", 2: "snap:7:1:2", 3: "1", 4: "2"}
+    assert sorted((round(r.from_t, 3), round(r.to_t, 3)) for r in places.split_segments(seg, s).collect()) == [(0.0, 0.25), (0.25, 0.75), (0.75, 1.0)]
+    assert places.snap_to_network(p, seg.limit(0)).count() == 0
+
+
+def test_choice_is_a_fold_in_seed_order(spark):
+    c = spark.createDataFrame([(1, 0, False, 100.0, 9), (1, 1, False, 70.0, 5), (1, 2, False, 35.0, 7), (2, 0, True, 60.0, 3), (2, 1, True, 1.0, 3)], "request_id int, i int, within_tolerance boolean, error_m double, turn_count int").withColumns({"tiny_loop_count": F.lit(0), "distance_m": F.lit(5000.0)})
+    assert {r.request_id: r.i for r in choice.best_of_seeds(c).collect()} == {1: 1, 2: 0}
+    e = spark.createDataFrame([(1, 0, False, 0.0, 10.0, None), (1, 1, True, 1.0, 10.0, None), (2, 0, False, 0.0, None, None), (3, 0, True, 9.0, None, None)], "request_id int, i int, available boolean, gain_m double, min_ft double, max_ft double")
+    assert {r.request_id: (r.i, r.note) for r in choice.elevation_preferred(e).collect()} == {1: (1, "unmatched"), 2: (0, "unavailable"), 3: (0, "none")}
+    shown = spark.createDataFrame([(1, True, 10.0), (2, True, 10.0), (3, False, 900.0)], "request_id int, within_tolerance boolean, error_m double")
+    tries = spark.createDataFrame([(1, 0, False, 0.0), (1, 1, True, 50.0), (2, 0, False, 0.0)], "request_id int, i int, within_tolerance boolean, error_m double")
+    assert {r.request_id: r.i for r in choice.regenerated(shown, tries).collect()} == {1: 1, 2: None, 3: None}
