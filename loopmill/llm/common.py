@@ -57,7 +57,9 @@ def join_small(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
     other = small.withColumnRenamed(key, "_key")
     if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(other), big[key].eqNullSafe(F.col("_key")), "left").drop("_key")
-    left = big.withColumn("_salt", F.floor(F.rand(7) * SALTS).cast("int"))
+    plain = [c for c, t in big.dtypes if not t.startswith(("map", "struct", "array", "variant"))]
+    # from the row's own values, so that a task that runs again deals each row as it did before
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int"))
     right = other.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     on = left[key].eqNullSafe(right["_key"]) & (left["_salt"] == right["_salt2"])
     return left.join(right, on, "left").drop("_key", "_salt", "_salt2")
