@@ -11,6 +11,7 @@ TRAIL_SURFACES = ["dirt", "unpaved", "ground", "gravel", "fine_gravel", "grass",
 BUSY_HIGHWAYS = ["primary", "secondary", "trunk", "primary_link", "secondary_link", "trunk_link"]
 JUNK_SERVICES = ["parking_aisle", "driveway", "drive-through", "bus"]
 CLOSED = ["no", "private"]
+RUNNABLE_HIGHWAYS = ["residential", "living_street", "unclassified", "tertiary", "tertiary_link", "secondary", "secondary_link", "primary", "primary_link", "pedestrian", "footway", "path", "track", "cycleway", "service", "steps"]
 
 
 def tag(tags: Column, key: str) -> Column:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loopmill.functions import draws, geo, text
+from loopmill.functions import draws, geo, text, weights
 from loopmill.functions import tags as T
-from loopmill.operators import choice, folds, graph, network, places, routes, spatial
+from loopmill.operators import backbone, bridges, choice, folds, graph, network, places, requests, routes, spatial
 from loopmill.sources import tables
-from loopmill.streaming import live
+from loopmill.streaming import history, live
 
 
 def parts(spark, d):
@@ -221,6 +222,93 @@ def route_laps(spark, d):
     return choice.lap_steps(steps, lengths, 5000.0)
 
 
+def step_weights(spark, d):
+    """What each route would cost a walker, and its share on the backbone (way 1 stands for it)."""
+    again = F.row_number().over(Window.partitionBy("route_id", "way_id", "from_id", "to_id").orderBy("step")) - 1
+    same = F.coalesce(F.lag("name").over(routes.along()) == F.col("name"), F.lit(False))
+    m = routes.measured(tables.order_routes(spark, d)).withColumns({"again": again, "same": same, "on": F.col("way_id") == 1})
+    w = weights.edge_weight(F.col("distance"), F.col("is_trail"), F.col("on"), F.col("to_signal"), F.col("again"), F.col("same"), F.col("turn"))
+    total = F.sum("distance")
+    return m.withColumn("w", w).groupBy("route_id").agg(F.round(F.sum("w"), 2).alias("weight"), F.round(F.when(total > 0, F.sum(F.when(F.col("on"), F.col("distance")).otherwise(0.0)) / total).otherwise(0.0), 4).alias("backbone_fraction"))
+
+
+def legal_steps(spark, d):
+    """How many steps of each route may be taken: way 3 stands for exempt edges, way 4 for excluded ones."""
+    s = tables.order_routes(spark, d).withColumn("up", F.col("from_id") <= F.col("to_id"))
+    w = Window.partitionBy("route_id", "way_id", F.least("from_id", "to_id"), F.greatest("from_id", "to_id")).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda on: F.coalesce(F.sum(on.cast("int")).over(w), F.lit(0))
+    s = s.withColumns({"ups": before(F.col("up")), "downs": before(~F.col("up"))})
+    uses, against = F.when(F.col("up"), F.col("ups")).otherwise(F.col("downs")), F.when(F.col("up"), F.col("downs")).otherwise(F.col("ups"))
+    return s.groupBy("route_id").agg(F.count_if(weights.is_legal(F.col("way_id") == 3, F.col("way_id") == 4, uses, against)).alias("legal"), F.count("*").alias("n"))
+
+
+def valid_requests(spark, d):
+    k = F.col("c_custkey")
+    miles = F.when(k % 7 == 0, "").when(k % 7 == 1, "abc").otherwise(F.concat((k % 30 - 3).cast("string"), F.lit(".5")))
+    typed = tables.read(spark, d, "customer").select(k.alias("request_id"), miles.alias("miles"), F.when(k % 3 == 0, " ").otherwise((k % 200).cast("string")).alias("min_ft"), F.when(k % 2 == 0, (k % 900).cast("string")).alias("max_ft"))
+    return requests.valid_requests(typed)
+
+
+def repeated_requests(spark, d):
+    k = F.col("o_orderkey")
+    asked = tables.read(spark, d, "orders").select(F.col("o_custkey").alias("session_id"), k.alias("seq"), F.col("o_orderstatus").alias("address"), (k % 2).cast("double").alias("miles"), F.when(k % 4 > 0, 1.0).alias("min_ft"), F.lit(None).cast("double").alias("max_ft"))
+    return requests.same_as_last(asked).select("session_id", "seq", "same")
+
+
+def located_requests(spark, d):
+    asked, k = tables.address_requests(spark, d), F.col("request_id")
+    picks = asked.where(k % 4 == 0).select("request_id", F.when(k % 8 == 0, F.col("address")).otherwise("elsewhere").alias("label"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"))
+    return requests.located(asked, places.geocode(asked, tables.gazetteer(spark, d)), picks)
+
+
+def target_points(spark, d):
+    return points(spark, d).select(F.col("point_id").alias("request_id"), "lat", "lon", (1 + F.col("c_nationkey") % 8).cast("double").alias("miles"))
+
+
+def near_ways(spark, d):
+    found = requests.ways_around(target_points(spark, d).withColumn("radius", geo.radius_for_target(F.col("miles"))), tables.grid_streets(spark, d))
+    return found.groupBy("request_id").agg(F.count("*").alias("n_ways"), F.sum("way_id").alias("ways"))
+
+
+def near_nodes(spark, d):
+    found = requests.nodes_around(target_points(spark, d).withColumn("radius", backbone.hull_reach(F.col("miles") * geo.METRES_PER_MILE)), tables.grid_nodes(spark, d))
+    return found.groupBy("request_id").agg(F.count("*").alias("n_nodes"), F.sum("node_id").alias("nodes"))
+
+
+def hull_corners(spark, d):
+    """Corners of the hull around each request, in order, beginning with the one nearest the start."""
+    at = target_points(spark, d).withColumn("radius", backbone.hull_reach(F.col("miles") * geo.METRES_PER_MILE))
+    return backbone.hull_nodes(backbone.convex_hull(requests.nodes_around(at, tables.grid_nodes(spark, d))), at)
+
+
+def bridge_links(spark, d):
+    return bridges.bridges(links(spark, d)).select("way_id", "u", "v", "worthwhile")
+
+
+def trail_edge_counts(spark, d):
+    """Trail edges by use: dead ends, those exempt (worthwhile bridges and ways out for each supplier's start), the rest."""
+    found = graph.settled(bridges.bridges(links(spark, d)), "bridges")
+    spurs = found.where("not worthwhile")
+    starts = tables.read(spark, d, "supplier").select(F.col("s_suppkey").alias("request_id"), F.col("s_suppkey").alias("node_id"))
+    exempt = found.where("worthwhile").select("way_id", "u", "v").unionByName(bridges.start_connectors(starts, spurs).select("way_id", "u", "v"))
+    return bridges.edge_counts(bridges.edge_sets(parts(spark, d)[2].where("is_trail"), spurs, exempt))
+
+
+def trail_targets(spark, d):
+    """For each supplier's start the trails most worth the way within 1.5 km."""
+    starts = tables.read(spark, d, "supplier").select(F.col("s_suppkey").alias("request_id"), F.col("s_suppkey").alias("node_id"))
+    own, members = links(spark, d), graph.components(links(spark, d))
+    size = own.join(members, own["u"] == members["node_id"]).groupBy("cluster_id").agg(F.sum("distance").alias("trail_m"))
+    far = graph.network_distances(starts, parts(spark, d)[2], 1500.0)
+    best = backbone.pick_target_cluster(starts.select("request_id", F.lit(1500.0).alias("reach")), size, members, far)
+    return best.select("request_id", "cluster_id", "node_id", F.round("metres", 2).alias("metres"), F.round("score", 2).alias("score"))
+
+
+def session_history(spark, d):
+    rows = tables.read(spark, d, "events").where("value is not null").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("request"), F.col("value").alias("error_m"))
+    return history.history(rows).withColumn("error_m", F.round("error_m", 4))
+
+
 def hav(a, b, c, e):
     h = f"(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({e} - {b}) / 2), 2))"
     return f"(2 * 6371000.0 * atan2(sqrt({h}), sqrt(1 - {h})))"
@@ -315,8 +403,16 @@ select request_id, unnest(list_reduce(r, lambda a, x: case when not (a.within_to
     "regenerated_routes": f"{CAND} select s.request_id, min(case when not ((s.within_tolerance and not a.within_tolerance) or a.error_m - s.error_m > 150) then a.i - 1 end) as i from c s left join c a on a.request_id = s.request_id and a.i between 1 and 4 where s.i = 0 group by 1",
     "search_stats": f"{CAND} select request_id, count(*) as n, round(avg(turn_count), 4) as turns, round(avg(turn_count / greatest(distance_m / 1609.344, 0.1)), 4) as turns_per_mile, count_if(tiny_loop_count > 0)::bigint as with_tiny_loops from c group by 1",
     "route_laps": f"{STEPS}, n as (select route_id, count(*) as n_steps, case when sum(distance) > 0 then floor(5000 / sum(distance)) else 0 end::integer as laps from placed group by 1), l as (select route_id, n_steps, unnest(range(1, laps + 1))::integer as lap from n) select route_id, lap, step::integer as step, (lap - 1) * n_steps + step as at from l join placed using (route_id)",
+    "step_weights": f"{STEPS}, w as (select route_id, distance, way_id, distance * case when is_trail then 0.5 else 1 end * case when way_id = 1 then 0.55 else 1 end * case when to_signal then 1.12 else 1 end * pow(2.3, row_number() over (partition by route_id, way_id, from_id, to_id order by step) - 1) * case when lag(name) over (partition by route_id order by step) = name and turn <> 'sharp' then 0.8 else 1 end * case turn when 'slight' then 1.15 when 'turn' then 1.55 when 'sharp' then 2.4 else 1 end as weight from measured) select route_id, round(sum(weight), 2) as weight, round(case when sum(distance) > 0 then sum(case when way_id = 1 then distance else 0 end) / sum(distance) else 0 end, 4) as backbone_fraction from w group by 1",
+    "legal_steps": f"{STEPS}, d as (select *, from_id <= to_id as up, coalesce(sum((from_id <= to_id)::int) over w, 0) as ups, coalesce(sum((from_id > to_id)::int) over w, 0) as downs from placed window w as (partition by route_id, way_id, least(from_id, to_id), greatest(from_id, to_id) order by step rows between unbounded preceding and 1 preceding)) select route_id, count_if(way_id = 3 or (way_id <> 4 and case when up then ups else downs end < 2 and case when up then downs else ups end = 0))::bigint as legal, count(*) as n from d group by 1",
+    "valid_requests": "select * from (select c_custkey as request_id, try_cast(case c_custkey % 7 when 0 then null when 1 then 'abc' else (c_custkey % 30 - 3) || '.5' end as double) as miles, case when c_custkey % 3 > 0 then (c_custkey % 200)::double end as min_ft, case when c_custkey % 2 = 0 then (c_custkey % 900)::double end as max_ft from customer) where miles > 0",
+    "repeated_requests": "select o_custkey as session_id, o_orderkey as seq, lag(o_orderkey) over w is not null and o_orderstatus is not distinct from lag(o_orderstatus) over w and o_orderkey % 2 is not distinct from lag(o_orderkey % 2) over w and (o_orderkey % 4 > 0) is not distinct from lag(o_orderkey % 4 > 0) over w as same from orders window w as (partition by o_custkey order by o_orderkey)",
+    "near_ways": f"{SNAPS} select point_id as request_id, count(*) as n_ways, sum(way_id)::bigint as ways from ms join (select point_id, least(16000, greatest(900, (1 + c_nationkey % 8) * 1609.344 * 0.62)) as radius from pts) using (point_id) where m <= radius group by 1",
+    "near_nodes": f"{CUST}, {NODES} select point_id as request_id, count(*) as n_nodes, sum(node_id)::bigint as nodes from pts p, nodes n where {hav('p.lat', 'p.lon', 'n.lat', 'n.lon')} <= greatest(500, 0.5 * (1 + c_nationkey % 8) * 1609.344) group by 1",
+    "session_history": "with e as (select user_id as key, ts, event_id as seq, event_type as request, value as error_m from events where value is not null), c as (select *, case when row_number() over o > 1 and request is distinct from lag(request) over o then 1 else 0 end as changed from e window o as (partition by key order by ts, seq)), r as (select *, sum(changed) over (partition by key order by ts, seq rows unbounded preceding) as run from c) select key, place, seq, round(error_m, 4) as error_m from (select *, (row_number() over (partition by key order by run desc, ts desc, seq desc))::integer as place, max(run) over (partition by key) as last from r) where run = last and place <= 8",
     "recent_results": f"{RESULTS} select key, place, seq from (select *, row_number() over (partition by key order by ts desc, seq desc) as place from results) where place <= 8",
     "best_results": f"{RESULTS} select key, list_reduce(list(error_m order by ts, seq), lambda a, x: case when (a <= 80.4672 and x > 80.4672) or x - a > 150 then a else x end) as error_m from results group by 1",
     "debounced_queries": f"{RESULTS}, b as (select *, sum(case when ts - before <= interval 1 hour then 0 else 1 end) over (partition by key order by ts, seq) as burst from (select *, lag(ts) over (partition by key order by ts, seq) as before from results)) select key, count(*) as bursts, round(sum(v), 3) as total from (select key, burst, arg_max(error_m, struct_pack(t := ts, s := seq)) as v from b group by 1, 2) group by 1",
 }
-QUERIES = {f.__name__: f for f in (network_edges, network_nodes, network_summary, turn_table, tag_rules, geo_scalars, nearest_nodes, text_rules, route_summary, route_reversals, route_passes, route_checks, route_segments, route_render, route_cues, route_boxes, route_gpx, route_elevation, route_arrows, route_points_kept, recent_results, best_results, debounced_queries, seeded_draws, trail_clusters, dead_ends, start_distances, geocoded_requests, address_suggestions, route_point_elevation, route_runs, route_tcx, snapped_points, split_streets, seeds_compared, elevation_choice, regenerated_routes, search_stats, route_laps)}
+ORACLE["located_requests"] = f"select g.request_id, case when g.request_id % 8 = 0 then 1.0 else lat end::double as lat, case when g.request_id % 8 = 0 then 2.0 else lon end::double as lon, case when g.request_id % 8 = 0 then 'picked' when lat is not null then 'geocoded' else 'none' end as source from ({ORACLE['geocoded_requests']}) g"
+QUERIES = {f.__name__: f for f in (network_edges, network_nodes, network_summary, turn_table, tag_rules, geo_scalars, nearest_nodes, text_rules, route_summary, route_reversals, route_passes, route_checks, route_segments, route_render, route_cues, route_boxes, route_gpx, route_elevation, route_arrows, route_points_kept, recent_results, best_results, debounced_queries, seeded_draws, trail_clusters, dead_ends, start_distances, geocoded_requests, address_suggestions, route_point_elevation, route_runs, route_tcx, snapped_points, split_streets, seeds_compared, elevation_choice, regenerated_routes, search_stats, route_laps, step_weights, legal_steps, valid_requests, repeated_requests, located_requests, near_ways, near_nodes, hull_corners, bridge_links, trail_edge_counts, trail_targets, session_history)}
