@@ -33,7 +33,7 @@ LONGEST = 40
 TRAIN_ROWS, TRAIN_WORDS, LANDMARKS = 1500, 8_000, 240
 #: A word starts as toxic if its number of toxic texts times the log of its lift reaches this (else chance will do).
 EVIDENCE = 8.0
-#: Words that a process keeps the scores of.
+#: Words that a process keeps the scores of, and words that are scored at once.
 MAX_WORDS = 150_000
 SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][\s.*_-]{1,3}){3,}[^\W\d_](?!\w)")
 NO_LETTER = re.compile(r"[\W\d_]+")
@@ -95,12 +95,28 @@ def words_of(text: str) -> set[str]:
     return found
 
 
+def portions(texts: list[str]) -> Iterator[list[tuple[int, list[str]]]]:
+    """Indexes of texts and their words, in portions of at most MAX_WORDS words; a text of more is cut."""
+    part, size = [], 0
+    for i, text in enumerate(texts):
+        words = list(words_of(text))
+        for k in range(0, len(words), MAX_WORDS):
+            some = words[k : k + MAX_WORDS]
+            if size + len(some) > MAX_WORDS:
+                yield part
+                part, size = [], 0
+            part.append((i, some))
+            size += len(some)
+    if part:
+        yield part
+
+
 class WordScores:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias, self.features, self.known = weights, bias, Subsequences(), {}
 
-    def fill(self, words: set[str]) -> None:
-        """Scores of words not met before; without a letter sequence the score is the least, -1."""
+    def rate(self, words: set[str]) -> dict[str, float]:
+        """Scores of words; without a letter sequence the score is the least, -1."""
         by_length: dict[int, list] = {}
         best: dict[str, float] = {}
         for w in words:
@@ -114,24 +130,27 @@ class WordScores:
                 score = (self.weights[code] * value).sum(1) + self.bias
                 for (w, _), s in zip(part, score.tolist(), strict=True):
                     best[w] = max(best[w], s)
-        if len(self.known) + len(best) > MAX_WORDS:
-            self.known.clear()
-        self.known.update(best)
+        return best
+
+    def fill(self, words: set[str]) -> None:
+        """Puts the scores of all of `words`, MAX_WORDS at most, into the table; others leave it if it would grow beyond that."""
+        missing = {w for w in words if w not in self.known}
+        if len(self.known) + len(missing) > MAX_WORDS:
+            self.known = {w: self.known[w] for w in words - missing}
+        self.known.update(self.rate(missing))
 
     def features_of(self, texts: list[str]) -> np.ndarray:
         """Per text: its three highest word scores, and how many words score above 0 (root of the share)."""
-        sets = [words_of(t) for t in texts]
-        self.fill({w for s in sets for w in s if w not in self.known})
-        out = np.full((len(texts), 4), -1.0)
-        for i, s in enumerate(sets):
-            missing = {w for w in s if w not in self.known}  # only after the table was cleared
-            if missing:
-                self.fill(missing)
-            scores = sorted(map(self.known.__getitem__, s), reverse=True) if len(s) < 64 else np.sort(np.fromiter(map(self.known.__getitem__, s), float, len(s)))[::-1]
-            top = list(scores[:3])
-            out[i, : len(top)] = np.clip(top, -1, 2)
-            out[i, 3] = np.sqrt(sum(x > 0 for x in scores[:200]) / (len(s) + 10))
-        return out
+        top, above, size = np.full((len(texts), 3), -1.0), np.zeros(len(texts)), np.zeros(len(texts))
+        for part in portions(texts):
+            self.fill(set().union(*(words for _, words in part)))
+            for i, words in part:
+                scores = np.fromiter(map(self.known.__getitem__, words), float, len(words))
+                best = np.concatenate((top[i], scores))
+                top[i] = np.sort(np.partition(best, len(best) - 3)[-3:])[::-1]
+                above[i] += np.count_nonzero(scores > 0)
+                size[i] += len(words)
+        return np.column_stack((np.clip(top, -1, 2), np.sqrt(np.minimum(above, 200) / (size + 10))))
 
 
 def nystrom_svm(positive: list[str], negative: list[str], landmarks: list[str]) -> tuple[np.ndarray, float]:
@@ -197,11 +216,11 @@ class Model:
         for _ in range(3 if positive and negative else 0):
             self.weights, self.bias = nystrom_svm(positive, negative, marks)
             score = WordScores(self.weights, self.bias)
-            score.fill(set().union(*bags))
+            known = score.rate(set().union(*bags))
             # the words of clean texts that look most toxic join the negatives; each toxic text names its witnesses
-            hard = sorted(common, key=lambda w: (-score.known.get(w, -1), w))[: TRAIN_WORDS // 3]
+            hard = sorted(common, key=lambda w: (-known.get(w, -1), w))[: TRAIN_WORDS // 3]
             negative = list(dict.fromkeys(hard + negative))[: 2 * TRAIN_WORDS]
-            witness = {w for bag, label in zip(bags, toxic, strict=True) if label for w in sorted(bag, key=lambda w: (-score.known.get(w, -1), w))[:1] if lift[w] >= 2}
+            witness = {w for bag, label in zip(bags, toxic, strict=True) if label for w in sorted(bag, key=lambda w: (-known.get(w, -1), w))[:1] if lift[w] >= 2}
             positive = list(dict.fromkeys(seeds + sorted(witness)))[:TRAIN_WORDS]
         x = WordScores(self.weights, self.bias).features_of(texts)
         x, y = np.hstack([x, np.ones((len(x), 1))]), np.array(toxic, float)

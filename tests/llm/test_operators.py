@@ -217,6 +217,17 @@ def test_toxicity(spark, docs, none):
     assert toxicity.fit(none, lab.limit(0)) is None
 
 
+def test_toxicity_scores_beyond_the_word_table(monkeypatch):
+    weights = np.random.default_rng(1).normal(size=1 << toxicity.HASH_BITS).astype(np.float32)
+    vocabulary = ["alpha", "bravo", "charlie", "delta", "echoes", "foxtrot", "golfer", "hotel", "india", "juliet", "kilogram"]
+    texts = ["", "12 34", "alpha bravo", "charlie delta alpha", " ".join(vocabulary), "alpha", "hotel india echoes golfer foxtrot juliet", "alpha bravo charlie kilogram"]
+    want = toxicity.WordScores(weights, 0.1).features_of(texts)
+    monkeypatch.setattr(toxicity, "MAX_WORDS", 5)
+    words = toxicity.WordScores(weights, 0.1)
+    assert np.allclose(words.features_of(texts[2:3]), want[2:3]) and np.allclose(words.features_of(texts), want)
+    assert len(words.known) <= 5
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in common.components(edges).collect()}
