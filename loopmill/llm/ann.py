@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by largest inner product: inverted file with product-quantised residuals.
 
 Coarse centroids and codebooks are fitted on a bounded sample; every vector is indexed. A query visits the
-cells whose centroids it agrees with most, as many as the sample needs for RECALL (few where vectors cluster, many where they don't); asymmetric distance tables rank a cell's codes, and the best RERANK of each block
+cells whose centroids it agrees with most, as many as hold RECALL of its own nearest vectors of the sample (few where vectors cluster, many
+where they don't) and ENOUGH times as many other vectors as it needs; asymmetric distance tables rank a cell's codes, and the best RERANK of each block
 are ranked again by the exact product of the original vectors. Cells and the queries that visit them are cut into
 blocks, so that no group outgrows a task, however many vectors are alike.
 """
@@ -15,12 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import join_small, materialize, table
 
 #: Documented bound of the sample the index is fitted on, and of the number of cells; vectors a cell.
 TRAIN_ROWS, MIN_CELLS, MAX_CELLS, CELL_ROWS = 20_000, 16, 4096, 3000
-#: Probes are chosen so that this share of the sample's own nearest neighbours is in the visited cells.
-RECALL, RECALL_QUERIES = 0.96, 500
+#: Each query visits so many cells that they hold this share of its nearest vectors of the sample, and so many times k others in all.
+RECALL, ENOUGH = 0.96, 4
 #: Bytes of a code, and centroids of each.
 PARTS, CENTROIDS = 16, 256
 RERANK = 128
@@ -47,11 +48,12 @@ def assign(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    def __init__(self, sample: np.ndarray, cells: int, seed: int = 2):
+    def __init__(self, sample: np.ndarray, ids: np.ndarray, cells: int, seed: int = 2):
         rng = np.random.default_rng(seed)
         self.width = sample.shape[1]
         self.coarse = kmeans(sample, cells, 8, rng)
-        rest = self.split(sample - self.coarse[assign(sample, self.coarse)])
+        self.sample, self.sample_ids, self.sample_cells = sample.astype(np.float32), ids, assign(sample, self.coarse)
+        rest = self.split(sample - self.coarse[self.sample_cells])
         self.books = [kmeans(rest[:, m], CENTROIDS, 6, rng) for m in range(PARTS)]
 
     def split(self, x: np.ndarray) -> np.ndarray:
@@ -63,17 +65,32 @@ class Index:
         rest = self.split(x - self.coarse[cell])
         return cell, np.stack([assign(rest[:, m], self.books[m]) for m in range(PARTS)], 1).astype(np.uint8)
 
-    def probes(self, q: np.ndarray, n: int) -> np.ndarray:
-        value = q.astype(np.float32) @ self.coarse.T
-        return np.argsort(-value, axis=1, kind="stable")[:, :n]
-
-    def probes_for(self, sample: np.ndarray, k: int) -> int:
-        """Least number of cells that hold RECALL of the k nearest of RECALL_QUERIES vectors of the sample."""
-        q = sample[: RECALL_QUERIES]
-        near = np.argsort(-(q @ sample.T), axis=1, kind="stable")[:, : k + 1]
-        place = np.argsort(self.probes(q, len(self.coarse)), axis=1)
-        seen = np.sort(np.take_along_axis(place, assign(sample, self.coarse)[near], 1).ravel())
-        return int(seen[min(len(seen) - 1, int(RECALL * len(seen)))]) + 1
+    def ranking(self, q: np.ndarray) -> np.ndarray:
+        """The cells, those a query agrees with most first."""
+        return np.argsort(-(q.astype(np.float32) @ self.coarse.T), axis=1, kind="stable")
+
+    def probes(self, q: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, counts: np.ndarray, fixed: int | None) -> list[np.ndarray]:
+        """The cells each query visits. ids: the queries' ids; own: how many vectors have that id; counts: vectors by cell.
+
+        A query goes down its ranked cells until they hold RECALL of its k nearest of the sample (or `fixed` cells),
+        and on until they hold ENOUGH * k vectors of other ids, or all there are.
+        """
+        out = []
+        for at in range(0, len(q), 256):
+            part, who = q[at : at + 256], ids[at : at + 256]
+            order = self.ranking(part)
+            least = np.full(len(part), fixed or 1)
+            if not fixed:
+                agree = part.astype(np.float32) @ self.sample.T
+                agree[who[:, None] == self.sample_ids] = -np.inf
+                n = min(k, agree.shape[1])
+                near = np.argpartition(-agree, n - 1, axis=1)[:, :n]
+                place = np.take_along_axis(np.argsort(order, axis=1), self.sample_cells[near], 1)
+                place[np.take_along_axis(agree, near, 1) == -np.inf] = 0
+                least = np.sort(place, axis=1)[:, int(RECALL * n) if n > 1 else 0] + 1
+            held = np.cumsum(counts[order], axis=1) < (own[at : at + 256] + ENOUGH * k)[:, None]
+            out += [o[:n] for o, n in zip(order, np.maximum(least, held.sum(1) + 1), strict=True)]
+        return out
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Products of each part of a query with each centroid of that part."""
@@ -114,10 +131,8 @@ def neighbours(vectors: DataFrame, k: int, is_query, probes: int | None = None)
     if n == 0:
         return spark.createDataFrame([], schema)
     every = -(-n // TRAIN_ROWS)
-    sample = data.where(F.pmod(F.xxhash64("vec_id"), F.lit(every)) == 0).orderBy(F.xxhash64("vec_id")).limit(TRAIN_ROWS).select("v").collect()
-    sample = np.array([r.v for r in sample]) if sample else np.array([data.first().v])
-    index = Index(sample, max(MIN_CELLS, min(MAX_CELLS, n // CELL_ROWS)))
-    probes = probes or index.probes_for(sample, k)
+    sample = data.where(F.pmod(F.xxhash64("vec_id"), F.lit(every)) == 0).orderBy(F.xxhash64("vec_id")).limit(TRAIN_ROWS).select("vec_id", "v").collect() or [data.first()]
+    index = Index(np.array([r.v for r in sample]), np.array([r.vec_id for r in sample]), max(MIN_CELLS, min(MAX_CELLS, n // CELL_ROWS)))
     model = spark.sparkContext.broadcast(index)
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,11 +142,17 @@ def neighbours(vectors: DataFrame, k: int, is_query, probes: int | None = None)
 
     def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            cells = model.value.probes(matrix(pdf["v"]), probes)
-            yield pd.DataFrame({"cell": list(cells.astype("int32")), "query_id": pdf["vec_id"], "q": pdf["v"]}).explode("cell").astype({"cell": "int32"})
+            cells = model.value.probes(matrix(pdf["v"]), pdf["vec_id"].to_numpy(), pdf["own"].to_numpy(), k, counts, probes) if len(pdf) else []
+            yield pd.DataFrame({"cell": [c.astype("int32") for c in cells], "query_id": pdf["vec_id"], "q": pdf["v"]}).explode("cell").astype({"cell": "int32"})
 
     index = materialize(data.mapInPandas(encoded, "cell int, vec_id long, v array<double>, code binary"), "ann-index")
-    visits = materialize(data.where(is_query).mapInPandas(probed, "cell int, query_id long, q array<double>"), "ann-visits")
+    counts = np.zeros(MAX_CELLS, np.int64)  # at most MAX_CELLS rows
+    for r in index.groupBy("cell").count().collect():
+        counts[r["cell"]] = r["count"]
+    # a query's own id is never its neighbour, so vectors that repeat it don't count as found
+    repeated = materialize(data.groupBy("vec_id").agg(F.count("*").alias("own")).where("own > 1"), "ann-repeated")
+    queries = join_small(data.where(is_query), repeated, "vec_id").select("vec_id", "v", F.coalesce("own", F.lit(1)).alias("own"))
+    visits = materialize(queries.mapInPandas(probed, "cell int, query_id long, q array<double>"), "ann-visits")
     # numbers of blocks by cell: at most MAX_CELLS rows each
     cuts = index.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).join(visits.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks")), "cell")
     cuts = F.broadcast(cuts)
@@ -149,11 +170,11 @@ def neighbours(vectors: DataFrame, k: int, is_query, probes: int | None = None)
                 part = q[at : at + 256]
                 tables = model.value.tables(part)
                 about = np.zeros((len(part), len(code)), np.float32)
-                for m in range(PARTS if len(code) > RERANK else 0):
+                for m in range(PARTS if len(code) > max(RERANK, k) else 0):
                     about += tables[:, m][:, code[:, m]]
                 for i in range(len(part)):
-                    found = top(about[i], RERANK + 1)
-                    found = found[ids[found] != who[at + i]]
+                    others = np.flatnonzero(ids != who[at + i])
+                    found = others[top(about[i, others], max(RERANK, k))]
                     score = (x[found] * part[i]).sum(1)
                     best = np.lexsort((ids[found], -score))[:k]
                     out += zip([who[at + i]] * len(best), ids[found][best].tolist(), score[best].tolist(), strict=True)

@@ -157,6 +157,28 @@ def test_ann_recall(spark):
     assert ann.neighbours(df.limit(0), 10, F.lit(True)).count() == 0
 
 
+def test_ann_completes_scattered_queries_beside_copies(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(5, 16))
+    x = np.vstack([centres[rng.integers(5, size=1940)] + rng.normal(scale=0.001, size=(1940, 16)), rng.normal(size=(60, 16))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids = np.arange(2000)
+    ids[:150] = 1990  # many rows of one query's own id
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    queries = [*range(1940, 1990, 2), 200, 201]
+    got = {}
+    for r in ann.neighbours(df, 20, F.col("vec_id").isin(queries)).collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    hit = []
+    for q in queries:
+        s = np.sort((x @ x[q])[ids != q])[::-1]
+        assert len(got.get(q, [])) == 20
+        hit.append(np.mean(np.array(sorted(got[q], reverse=True)) >= s[19] - 1e-9))
+    assert np.mean(hit[:25]) >= 0.9
+    few = spark.createDataFrame([(1, [1.0, 0.0])] * 300 + [(1, [2.0, 0.0]), (2, [0.0, 1.0]), (3, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert {r.vec_id for r in ann.neighbours(few, 5, F.expr("vec_id = 1 and v[0] = 2")).collect()} == {2, 3}
+
+
 def test_repeats_against_brute_force(spark, monkeypatch):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefgh é") for _ in range(rng.randint(1, 9)))
