@@ -83,7 +83,7 @@ def pieces(word: str) -> list[str]:
     """The letters of a word, in windows if it is long."""
     x = NO_LETTER.sub("", word)
     if len(x) <= LONGEST:
-        return [x] if len(x) >= ORDER else []
+        return [x] if len(x) + 2 >= ORDER else []  # with its two marks
     return [x[i : i + LONGEST] for i in range(0, len(x) - LONGEST // 2, LONGEST // 2)]
 
 
@@ -150,7 +150,7 @@ class WordScores:
                 top[i] = np.sort(np.partition(best, len(best) - 3)[-3:])[::-1]
                 above[i] += np.count_nonzero(scores > 0)
                 size[i] += len(words)
-        return np.column_stack((np.clip(top, -1, 2), np.sqrt(np.minimum(above, 200) / (size + 10))))
+        return np.column_stack((np.clip(top, -1, 2), np.sqrt(above / (size + 10))))
 
 
 def nystrom_svm(positive: list[str], negative: list[str], landmarks: list[str]) -> tuple[np.ndarray, float]:

@@ -250,6 +250,19 @@ def test_toxicity_scores_beyond_the_word_table(monkeypatch):
     assert len(words.known) <= 5
 
 
+def test_toxicity_of_short_words_and_long_texts():
+    rng = random.Random(6)
+    vocabulary = [a + b + c for a in "aeiou" for b in "lnrst" for c in "aeiou"]
+    texts = [" ".join(rng.choices(vocabulary, k=20) + ["zgk"] * (i % 2)) for i in range(200)]
+    model = toxicity.Model(texts, [i % 2 for i in range(200)])
+    x = toxicity.WordScores(model.weights, model.bias).features_of(["ala ene", "ala ene zgk", "ala ene z*gk"])
+    assert x[1, 0] > 0 and x[2, 0] > 0 and x[0, 0] < x[1, 0]
+    many = toxicity.WordScores(np.zeros(1 << toxicity.HASH_BITS, np.float32), 0.5)  # every word scores above 0
+    text = " ".join("w" + "".join(rng.choices("abcdefgh", k=9)) for _ in range(600))
+    n = len(toxicity.words_of(text))
+    assert n > 500 and np.isclose(many.features_of([text])[0, 3], np.sqrt(n / (n + 10)))
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in common.components(edges).collect()}
