@@ -1,11 +1,12 @@
-"""Removal of long repeated byte strings, with suffix order by merging shard Burrows-Wheeler transforms.
+"""Removal of long repeated byte strings, with suffix order by refining a Burrows-Wheeler transform of each portion.
 
 Two equal strings of LENGTH bytes hold the same least GRAM-byte hash at the same place (winnowing), so the
 starts of strings are gathered by that anchor, and equal strings always meet. Contexts that agree as a whole are counted
-before anything is compared. What is left of an anchor's contexts is ordered shard by shard: a shard's transform
-is the column of bytes before each suffix, and one step of refinement deals the suffixes stably by that column, which
-gives the order of the suffixes one byte longer and their common prefixes from those before. Shards are merged by
-their interleave, refined in the same way, so no suffix is sorted again. Intervals whose common prefixes reach LENGTH are
+before anything is compared. What is left of the anchors' contexts is ordered in portions of whole groups: a portion's suffixes at the
+anchors are sorted once, its transform is the column of bytes before each suffix, and one step of refinement deals the suffixes stably
+by that column, which gives the order of the suffixes one byte longer and their common prefixes from those before. Transforms of
+shards are not merged: an anchor of more than BLOCK contexts is dealt out by pairs of blocks, and every pair sorts its suffixes anew.
+Intervals whose common prefixes reach LENGTH are
 the repeated strings.
 """
 
@@ -30,7 +31,7 @@ GRAM = 32
 CHUNK, POSITION = 1 << 20, 24
 #: Contexts of one anchor that one group orders together; more are dealt out by pairs of blocks.
 BLOCK = 2048
-#: Contexts ordered in one step of refinement.
+#: A portion is ordered at once; it is closed at the first group's end with four times so many contexts.
 SHARD = 1024
 ROW = "key long, context long, doc_key long, doc_id long, start int, n int, anchor int"
 BASE = np.uint64(0x9E3779B97F4A7C15)
