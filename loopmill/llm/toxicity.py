@@ -232,11 +232,13 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """labels: (doc_id, toxic). The TRAIN_ROWS labelled rows of each class with the least hash of doc_id are read."""
+    """labels: (doc_id, toxic). The TRAIN_ROWS labelled rows of each class with the least hash of doc_id are read, one text for
+    each: of repeated ids the one with the least hash."""
     marked = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("_h")).distinct()
     some = marked.withColumn("_r", F.row_number().over(Window.partitionBy("toxic", F.pmod("_h", F.lit(64))).orderBy("_h"))).where(F.col("_r") <= 2 * TRAIN_ROWS // 64)
     some = some.withColumn("_r", F.row_number().over(Window.partitionBy("toxic").orderBy("_h"))).where(F.col("_r") <= TRAIN_ROWS).select("doc_id", "toxic")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").orderBy("doc_id", "text").collect()
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
+    rows = found.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text")).orderBy("doc_id", "toxic").collect()
     return Model([r.text for r in rows], [r.toxic for r in rows]) if {r.toxic for r in rows} == {0, 1} else None
 
 

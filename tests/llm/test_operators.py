@@ -250,6 +250,14 @@ def test_toxicity_scores_beyond_the_word_table(monkeypatch):
     assert len(words.known) <= 5
 
 
+def test_toxicity_fit_reads_one_text_an_id(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "Model", lambda texts, toxic: (texts, toxic))
+    df = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(1, "text 0"), (2, None), (3, "x")], "doc_id long, text string")
+    lab = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (3, 0)], "doc_id long, toxic int")
+    texts, toxic = toxicity.fit(df, lab)
+    assert len(texts) == 3 and texts[0].startswith("text ") and texts[1:] == ["", "x"] and toxic == [1, 0, 0]
+
+
 def test_toxicity_of_short_words_and_long_texts():
     rng = random.Random(6)
     vocabulary = [a + b + c for a in "aeiou" for b in "lnrst" for c in "aeiou"]
