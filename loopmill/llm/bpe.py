@@ -2,10 +2,11 @@
 
 The encoding of a string is the one path of tokens from the vocabulary in which every two neighbours are
 stable: merging their bytes by rank gives these two tokens back. That makes encoding a transduction: a
-hypothesis is (last token, place in the trie of tokens), and a determinised state is the set of hypotheses
-that the bytes so far allow, each with the tokens it has not emitted yet. Whatever all hypotheses agree on is
-emitted at once, so output lags by no more than the longest token. States and transitions are made when first
-needed and kept for the process.
+hypothesis is (last token, place in the trie of tokens), and a determinised state is the set of hypotheses that
+the bytes so far allow, without their outputs, so that states recur in other words. A transition names for each hypothesis of the next state the one
+it came from and the token it completed. Since every prefix has one encoding only, hypotheses differ in no token that
+ended further back than the longest token is long: what lies before is emitted, and the rest when the string ends.
+States and transitions are made when first needed and kept for the process.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql.types import StructType
 from .common import process_cache, table
 
 #: Bounds of the tables a process keeps; a full table is started anew, which costs time only.
-MAX_STATES = 60_000
-MAX_WORDS = 120_000
+MAX_STATES = 120_000
+MAX_WORDS = 250_000
 NEVER = 1 << 60
 
 
@@ -38,8 +39,10 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {i: b for b, i in ranks.items()}
-        # trie of the tokens that encode to themselves; a node is [children, token or None]
-        self.root: list = [{}, None]
+        self.longest = max(map(len, ranks))
+        # trie of the tokens that encode to themselves: children and token (or None) by node, the root first
+        self.kids: list[dict[int, int]] = [{}]
+        self.ends: list[int | None] = [None]
         self.parts: dict[int, list[bytes]] = {}
         self.edges_of: dict[int, tuple[list, list]] = {}
         for b, i in ranks.items():
@@ -47,18 +50,22 @@ class Transducer:
             if len(parts) == 2:
                 self.parts[i] = parts
             if len(parts) <= 2:
-                node = self.root
+                node = 0
                 for byte in b:
-                    node = node[0].setdefault(byte, [{}, None])
-                node[1] = i
+                    if byte not in self.kids[node]:
+                        self.kids[node][byte] = len(self.kids)
+                        self.kids.append({})
+                        self.ends.append(None)
+                    node = self.kids[node][byte]
+                self.ends[node] = i
         self.stable_pairs: dict[tuple, bool] = {}
         self.reset()
 
     def reset(self) -> None:
-        """A state is a list [transitions, hypotheses, tokens left if the string ends here]."""
-        self.states: dict[tuple, list] = {}
+        """A state is (transitions by byte, hypotheses); a transition is (next state, where each hypothesis comes from)."""
+        self.states: dict[tuple, tuple] = {}
         gc.collect()  # states refer to each other
-        self.start = self.state([((), None, self.root)])
+        self.start = self.state(((None, 0),))
 
     def last_merge(self, piece: bytes) -> list[bytes]:
         """Plain merging by rank down to two parts, or as far as it goes."""
@@ -106,36 +113,59 @@ class Transducer:
             self.stable_pairs[a, b] = known
         return known
 
-    def state(self, hypotheses: list[tuple]) -> list:
-        """hypotheses: (tokens not emitted yet, last token, trie node)."""
-        key = tuple(sorted((pending, -1 if last is None else last, id(node)) for pending, last, node in hypotheses))
-        known = self.states.get(key)
+    def state(self, hypotheses: tuple) -> tuple:
+        """hypotheses: (last token, trie node), those whose unfinished token began first coming first."""
+        known = self.states.get(hypotheses)
         if known is None:
-            ends = [pending for pending, _, node in hypotheses if node is self.root]
-            known = self.states[key] = [{}, hypotheses, ends[0] if ends else None]
+            known = self.states[hypotheses] = ({}, hypotheses)
         return known
 
-    def step(self, state: list, byte: int) -> tuple[tuple, list]:
-        """What is emitted on this byte, and the next state; kept in the state's transitions."""
-        hypotheses = []
-        for pending, last, node in state[1]:
-            child = node[0].get(byte)
+    def step(self, state: tuple, byte: int) -> tuple:
+        hypotheses, back, ended = [], [], None
+        for k, (last, node) in enumerate(state[1]):
+            child = self.kids[node].get(byte)
             if child is None:
                 continue
-            if child[0]:
-                hypotheses.append((pending, last, child))
-            if child[1] is not None and self.stable(last, child[1]):
-                hypotheses.append(((*pending, child[1]), child[1], self.root))
-        first = hypotheses[0][0]
-        same = min(len(x[0]) for x in hypotheses)
-        for k in range(same):
-            if any(x[0][k] != first[k] for x in hypotheses):
-                same = k
-                break
-        out = first[:same]
-        move = state[0][byte] = (out, self.state([(pending[same:], last, node) for pending, last, node in hypotheses]))
+            if self.kids[child]:
+                hypotheses.append((last, child))
+                back.append((k, None))
+            token = self.ends[child]
+            if token is not None and self.stable(last, token):
+                ended = (token, 0), (k, token)  # at most one: a prefix has one encoding
+        if ended:
+            hypotheses.append(ended[0])
+            back.append(ended[1])
+        move = state[0][byte] = (self.state(tuple(hypotheses)), back)
         return move
 
+    @staticmethod
+    def trace(path: list, k: int) -> list[int]:
+        """Tokens completed on the way to hypothesis k at the end of the path."""
+        out = []
+        for back in reversed(path):
+            k, token = back[k]
+            if token is not None:
+                out.append(token)
+        return out[::-1]
+
+    def settled(self, path: list, n: int) -> tuple[list[int], list]:
+        """Tokens that all n hypotheses have in common so far, and the path after the last of them."""
+        at = list(range(n))
+        same = None
+        for i in range(len(path) - 1, -1, -1):
+            came = {path[i][k] for k in at}
+            if len(came) == 1 and next(iter(came))[1] is not None:
+                same = i
+                break
+            at = list({k for k, _ in came})
+        if same is None:
+            return [], path
+        k, token = path[same][at[0]]
+        rest = path[same + 1 :]
+        if rest:  # what remains starts with the one hypothesis after that token
+            rest = [[(0, t) if k == at[0] else (-1, t) for k, t in rest[0]], *rest[1:]]
+        return [*self.trace(path[:same], k), token], rest
+
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:  # a piece that is a token stays one
@@ -143,11 +173,15 @@ class Transducer:
         if len(self.states) >= MAX_STATES:
             self.reset()
         out: list[int] = []
+        path: list = []
         state = self.start
         for byte in piece:
-            emitted, state = state[0].get(byte) or self.step(state, byte)
-            out += emitted
-        return out + list(state[2] or ())
+            state, back = state[0].get(byte) or self.step(state, byte)
+            path.append(back)
+            if len(path) > 4 * self.longest:
+                some, path = self.settled(path, len(state[1]))
+                out += some
+        return out + self.trace(path, len(state[1]) - 1)
 
 
 class Utf8Stream:
@@ -205,16 +239,15 @@ class Codec:
     def piece(self, piece: str) -> bytes:
         ids = self.older.get(piece) or np.array(self.transducer.encode(piece.encode("utf-8")), "<u4").tobytes()
         if len(self.words) >= MAX_WORDS:
-            self.older = dict(self.words)
-            self.words.clear()  # encode() holds on to this very dict
+            self.older, self.words = self.words, {}
         if len(piece) <= 64:
             self.words[piece] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        get = self.words.get
-        return b"".join([get(x) or self.piece(x) for x in self.split(text)])
+        words = self.words
+        return b"".join([words.get(x) or self.piece(x) for x in self.split(text)])
 
     def decode(self, ids: np.ndarray, portion: int = 65536) -> Iterator[str]:
         """Text of ids, in portions; a character may be split between tokens and portions."""
