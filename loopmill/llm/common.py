@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; one is made only where the session names none (tests, laptops)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="loopmill-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -65,6 +70,30 @@ def join_small(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
     return left.join(right, on, "left").drop("_key", "_salt", "_salt2")
 
 
+def without(keep: list[str], made: str) -> list[str]:
+    """The columns of keep whose names an operator's own columns (a DDL string) don't take; the others give way to those."""
+    taken = {part.split()[0].lower() for part in made.split(", ")}
+    return [c for c in dict.fromkeys(keep) if c.lower() not in taken]
+
+
+def fit_in_task(sample: DataFrame, make: Callable, kind: type):
+    """make(rows), a `kind`, for an iterator of the rows (dictionaries) of a bounded sample, computed in one task: rows and training
+    arrays never reach the driver, only the model's attributes do, a few MB. None if make gives None."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for at in range(0, batch.num_rows, 64) for row in batch.slice(at, 64).to_pylist())
+        model = make(rows)
+        if model is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(model))], pa.binary())], names=["model"])
+
+    found = sample.coalesce(1).mapInArrow(run, "model binary").collect()
+    if not found:
+        return None
+    model = kind.__new__(kind)
+    vars(model).update(pickle.loads(found[0]["model"]))
+    return model
+
+
 def process_cache(key: str, make):
     """A value kept for the life of this Python process, such as a tokenizer's tables."""
     kept = sys.__dict__.setdefault("_loopmill_kept", {})

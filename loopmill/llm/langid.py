@@ -1,14 +1,14 @@
 """Language identification with string kernels.
 
-A text is the set of its character n-grams of lengths 1 to N_MAX over lower-cased letters, white space folded;
-the kernel of two texts is the number of n-grams they share over the geometric mean of their own numbers
-(blended spectrum, presence). Landmark texts give the Nyström map, on which one ridge regressor per language is
-fitted. A batch is scored by matrix products: presence by landmark n-grams, then the map, then the regressors.
+A text is the set of its character n-grams of lengths 1 to N_MAX over lower-cased letters of any script, each run of
+other characters read as one space, hashed to HASH_BITS bits; the kernel of two texts is the number of n-grams they share over the
+geometric mean of their own numbers (blended spectrum, presence). Landmark texts give the Nyström map, on which one ridge regressor
+per language is fitted. A batch is scored by matrix products: presence by landmark n-grams, then the map, then the regressors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,48 +16,42 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import process_cache, table
+from .common import fit_in_task, process_cache, table, without
 
-N_MAX = 3
-#: Characters are folded to so many classes: frequent letters keep their own, the rest share by code point.
-CLASSES = 64
-#: Documented bounds of the sample a model is fitted on: rows a language, characters a row.
-TRAIN_ROWS, TRAIN_CHARS, LANDMARKS, RIDGE = 400, 2000, 64, 1e-3
+N_MAX, HASH_BITS = 3, 18
+#: Documented bounds of the sample a model is fitted on: rows a language, rows in all (a row a language at least). Texts are read whole.
+TRAIN_ROWS, TRAIN_TOTAL, LANDMARKS, RIDGE = 400, 40_000, 64, 1e-3
 
 
 def fold_table() -> np.ndarray:
-    """Class of each code point of the basic plane: 0 for what isn't a letter, else 1 and up."""
-    out = np.zeros(0x10000, np.uint8)
-    for c in range(0x10000):
+    """By code point: 0 for what isn't a letter, else the lower-case letter's code point."""
+    out = np.zeros(0x110000, np.uint64)
+    for c in range(0x110000):
         low = chr(c).lower()[:1]
         if low and low.isalpha():
-            out[c] = ord(low) - 96 if "a" <= low <= "z" else 27 + ord(low) % (CLASSES - 27)
+            out[c] = ord(low)
     return out
 
 
 class Kernel:
     def __init__(self):
         self.fold = fold_table()
-        self.seen = np.zeros(sum(CLASSES**n for n in range(1, N_MAX + 1)), bool)
+        self.seen = np.zeros(1 << HASH_BITS, bool)
 
-    def mark(self, text: str) -> None:
-        """Sets `seen` at the codes of the n-grams of a whole text, and only there."""
+    def mark(self, text: str) -> bool:
+        """Sets `seen` at the n-grams of a whole text, and only there; says whether it has a letter."""
         self.seen[:] = False
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-        if points.size and points.max() > 0xFFFF:
-            points = np.where(points > 0xFFFF, 0x4E00 + points % 0x5000, points)  # beyond the basic plane all count as letters
-        x = self.fold[points].astype(np.int32)
+        x = self.fold[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
         if x.size > 1:  # a run of non-letters is one
             x = x[np.concatenate(([True], (x[1:] != 0) | (x[:-1] != 0)))]
-        code = x = np.concatenate(([0], x, [0])).astype(np.int32)
-        base = 0
+        code = x = np.concatenate(([0], x, [0])).astype(np.uint64)
         for n in range(1, N_MAX + 1):
             if n > 1:
-                code = code[:-1] * CLASSES + x[n - 1 :]
-            self.seen[code + base] = True
-            base += CLASSES**n
+                code = (code[:-1] << np.uint64(21)) | x[n - 1 :]
+            self.seen[((code + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)] = True
             if code.size < 2:
                 break
+        return bool(x.any())
 
     def grams(self, text: str) -> np.ndarray:
         self.mark(text)
@@ -67,19 +61,17 @@ class Kernel:
         """Texts by vocabulary, their own numbers of n-grams, and whether they have a letter."""
         out, own, letters = np.zeros((len(texts), len(vocabulary)), np.float32), np.ones(len(texts), np.float32), np.zeros(len(texts), bool)
         for i, t in enumerate(texts):
-            self.mark(t)
+            letters[i] = self.mark(t)
             out[i] = self.seen[vocabulary]
             own[i] = np.count_nonzero(self.seen)
-            letters[i] = self.seen[1:CLASSES].any()
         return out, own, letters
 
 
 class Model:
     """Landmark n-grams and the product of Nyström map and ridge weights."""
 
-    def __init__(self, texts: list[str], labels: list[str], seed: int = 3):
-        kernel = Kernel()
-        sets = [kernel.grams(t) for t in texts]
+    def __init__(self, sets: list[np.ndarray], labels: list[str], seed: int = 3):
+        """sets: the n-grams of each text."""
         self.classes = sorted(set(labels))
         rng = np.random.default_rng(seed)
         y = np.array([self.classes.index(x) for x in labels])
@@ -89,11 +81,12 @@ class Model:
         for j, i in enumerate(marks):
             self.marks[np.searchsorted(self.vocabulary, sets[i]), j] = 1
         self.norm = np.sqrt(np.maximum(1, [len(sets[i]) for i in marks])).astype(np.float32)
-        km = self.kernel(*kernel.presence([texts[i] for i in marks], self.vocabulary)[:2])
-        value, vector = np.linalg.eigh(km.astype(float))
+        own = np.maximum(1, [len(s) for s in sets]).astype(np.float32)
+        every = np.vstack([self.kernel(self.rows(sets[k : k + 256]), own[k : k + 256]) for k in range(0, len(sets), 256)])
+        value, vector = np.linalg.eigh(every[marks].astype(float))
         keep = value > 1e-6 * value.max()
         self.map = vector[:, keep] / np.sqrt(value[keep])
-        phi = self.kernel(*kernel.presence(texts, self.vocabulary)[:2]) @ self.map
+        phi = every @ self.map
         mean = phi.mean(0)
         target = np.where(y[:, None] == np.arange(len(self.classes)), 1.0, -1.0)
         # every language weighs the same, however many rows it has
@@ -103,6 +96,13 @@ class Model:
         self.weights = (self.map @ solved).astype(np.float32)
         self.bias = target.mean(0) - mean @ solved
 
+    def rows(self, sets: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(sets), len(self.vocabulary)), np.float32)
+        for i, s in enumerate(sets):
+            at = np.minimum(np.searchsorted(self.vocabulary, s), len(self.vocabulary) - 1)
+            out[i, at[self.vocabulary[at] == s]] = 1
+        return out
+
     def kernel(self, presence: np.ndarray, own: np.ndarray) -> np.ndarray:
         return (presence @ self.marks) / np.sqrt(own)[:, None] / self.norm
 
@@ -114,22 +114,41 @@ class Model:
         return best, (e[np.arange(len(e)), best] / e.sum(1)).astype(float)
 
 
+def trained(rows: Iterable[dict]) -> Model | None:
+    kernel, sets, labels = Kernel(), [], []
+    for r in rows:
+        sets.append(kernel.grams(r["text"]).astype(np.int32))
+        labels.append(r["lang"])
+    return Model(sets, labels) if sets else None
+
+
 def fit(docs: DataFrame) -> Model | None:
-    """From (text, lang): the TRAIN_ROWS rows of each language with the least hash of the text, whole texts of
-    up to TRAIN_CHARS characters or that many of their first ones. None if no row has text and lang."""
+    """From (text, lang), whole texts: the rows of each language with the least hash of the text, TRAIN_ROWS a language and
+    TRAIN_TOTAL in all. Rows without text or lang teach nothing, repeated rows count once, of texts with equal hashes
+    the least is taken. None if no row has text and lang. Fitted in one task."""
     rows = docs.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("text").alias("_h"))
+    narrow = rows.select("lang", "_h").distinct()
+    languages = narrow.agg(F.count_distinct("lang")).first()[0]
+    each = max(1, min(TRAIN_ROWS, TRAIN_TOTAL // max(1, languages)))
     # a few candidates per task first, so that a hot language is never in one task
     part = Window.partitionBy("lang", F.pmod("_h", F.lit(64))).orderBy("_h")
-    narrow = rows.select("lang", "_h").distinct().withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= 2 * TRAIN_ROWS // 64 + 1).select("lang", "_h")
-    keep = narrow.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("_r") <= TRAIN_ROWS).select("lang", "_h")
-    chosen = rows.join(F.broadcast(keep), ["lang", "_h"]).select("lang", F.substring("text", 1, TRAIN_CHARS).alias("text")).dropDuplicates(["lang", "text"]).orderBy("lang", "text").collect()
-    return Model([r.text for r in chosen], [r.lang for r in chosen]) if chosen else None
+    narrow = narrow.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= 2 * each // 64 + 1).select("lang", "_h")
+    keep = narrow.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("_r") <= each).select("lang", "_h")
+    chosen = rows.join(F.broadcast(keep) if languages <= TRAIN_TOTAL else keep, ["lang", "_h"]).groupBy("lang", "_h").agg(F.min("text").alias("text"))
+    return fit_in_task(chosen.repartition(1).sortWithinPartitions("lang", "_h"), trained, Model)
+
+
+SCHEMA = "lang_pred string, score double"
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """Columns `keep`, lang_pred, score; `und` with score 0 if text is null or has no letter, or nothing was learned."""
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
-    out = StructType(rows.drop("_text").schema.fields + StructType.fromDDL("lang_pred string, score double").fields)
+    """Columns `keep`, lang_pred, score; `und` with score 0 if text is null or has no letter, or nothing was learned.
+
+    Whole texts are read, whatever their length. Rows are handled alone: repeated rows get equal results, an empty table
+    gives no rows; equal scores of two languages go to the first by name. Kept columns with a result's name give way.
+    """
+    rows = docs.select(*without(keep, SCHEMA), F.coalesce("text", F.lit("")).alias("_text"))
+    out = StructType(rows.drop("_text").schema.fields + StructType.fromDDL(SCHEMA).fields)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ from __future__ import annotations
 import itertools
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import table
+from .common import fit_in_task, table, without
 
 ORDER, SPAN, DECAY = 4, 7, 0.7
 #: Subsequences are hashed to so many bits.
@@ -33,8 +33,8 @@ LONGEST = 40
 TRAIN_ROWS, TRAIN_WORDS, LANDMARKS = 2500, 12_000, 240
 #: A word starts as toxic if its number of toxic texts times the log of its lift reaches this (else chance will do).
 EVIDENCE = 8.0
-#: Words that a process keeps the scores of, and words that are scored at once.
-MAX_WORDS = 150_000
+#: Words of a portion and of each of the two tables of scores that a process keeps.
+MAX_WORDS = 250_000
 SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][\s.*_-]{1,3}){3,}[^\W\d_](?!\w)")
 NO_LETTER = re.compile(r"[\W\d_]+")
 
@@ -95,11 +95,11 @@ def words_of(text: str) -> set[str]:
     return found
 
 
-def portions(texts: list[str]) -> Iterator[list[tuple[int, list[str]]]]:
+def portions(bags: Iterable[Collection[str]]) -> Iterator[list[tuple[int, list[str]]]]:
     """Indexes of texts and their words, in portions of at most MAX_WORDS words; a text of more is cut."""
     part, size = [], 0
-    for i, text in enumerate(texts):
-        words = list(words_of(text))
+    for i, bag in enumerate(bags):
+        words = list(bag)
         for k in range(0, len(words), MAX_WORDS):
             some = words[k : k + MAX_WORDS]
             if size + len(some) > MAX_WORDS:
@@ -113,7 +113,9 @@ def portions(texts: list[str]) -> Iterator[list[tuple[int, list[str]]]]:
 
 class WordScores:
     def __init__(self, weights: np.ndarray, bias: float):
-        self.weights, self.bias, self.features, self.known = weights, bias, Subsequences(), {}
+        self.weights, self.bias, self.features = weights, bias, Subsequences()
+        self.known: dict[str, float] = {}
+        self.older: dict[str, float] = {}
 
     def rate(self, words: set[str]) -> dict[str, float]:
         """Scores of words; without a letter sequence the score is the least, -1."""
@@ -133,16 +135,24 @@ class WordScores:
         return best
 
     def fill(self, words: set[str]) -> None:
-        """Puts the scores of all of `words`, MAX_WORDS at most, into the table; others leave it if it would grow beyond that."""
-        missing = {w for w in words if w not in self.known}
-        if len(self.known) + len(missing) > MAX_WORDS:
-            self.known = {w: self.known[w] for w in words - missing}
+        """Puts the scores of all of `words`, MAX_WORDS at most, into the table. A full table becomes the older one, from
+        which words still in use come back."""
+        if len(self.known) + len(words) > MAX_WORDS:
+            self.known, self.older = {}, self.known
+        missing = set()
+        for w in words:
+            if w not in self.known:
+                score = self.older.get(w)
+                if score is None:
+                    missing.add(w)
+                else:
+                    self.known[w] = score
         self.known.update(self.rate(missing))
 
-    def features_of(self, texts: list[str]) -> np.ndarray:
-        """Per text: its three highest word scores, and how many words score above 0 (root of the share)."""
-        top, above, size = np.full((len(texts), 3), -1.0), np.zeros(len(texts)), np.zeros(len(texts))
-        for part in portions(texts):
+    def features_of(self, bags: list[Collection[str]]) -> np.ndarray:
+        """Per text's words: its three highest word scores, and how many words score above 0 (root of the share)."""
+        top, above, size = np.full((len(bags), 3), -1.0), np.zeros(len(bags)), np.zeros(len(bags))
+        for part in portions(bags):
             self.fill(set().union(*(words for _, words in part)))
             for i, words in part:
                 scores = np.fromiter(map(self.known.__getitem__, words), float, len(words))
@@ -197,9 +207,10 @@ def nystrom_svm(positive: list[str], negative: list[str], landmarks: list[str])
 
 
 class Model:
-    def __init__(self, texts: list[str], toxic: list[int]):
+    def __init__(self, texts: Iterable[str], toxic: list[int]):
         pool: dict[str, str] = {}
-        bags = [{pool.setdefault(p, p) for w in words_of(t) for p in pieces(w)} for t in texts]
+        found = [[pool.setdefault(w, w) for w in words_of(t)] for t in texts]  # of the texts only their words stay
+        bags = [{pool.setdefault(p, p) for w in words for p in pieces(w)} for words in found]
         counts = [Counter(), Counter()]
         for bag, label in zip(bags, toxic, strict=True):
             counts[label].update(bag)
@@ -222,7 +233,7 @@ class Model:
             negative = list(dict.fromkeys(hard + negative))[: 2 * TRAIN_WORDS]
             witness = {w for bag, label in zip(bags, toxic, strict=True) if label for w in sorted(bag, key=lambda w: (-known.get(w, -1), w))[:1] if lift[w] >= 2}
             positive = list(dict.fromkeys(seeds + sorted(witness)))[:TRAIN_WORDS]
-        x = WordScores(self.weights, self.bias).features_of(texts)
+        x = WordScores(self.weights, self.bias).features_of(found)
         x, y = np.hstack([x, np.ones((len(x), 1))]), np.array(toxic, float)
         self.logistic = np.zeros(x.shape[1])
         for _ in range(50):
@@ -231,21 +242,39 @@ class Model:
             self.logistic += np.clip(step, -5, 5)
 
 
+def trained(rows: Iterable[dict]) -> Model | None:
+    toxic: list[int] = []
+
+    def texts() -> Iterator[str]:
+        for r in rows:
+            toxic.append(r["toxic"])
+            yield r["text"]
+
+    model_of = Model(texts(), toxic)
+    return model_of if set(toxic) == {0, 1} else None
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """labels: (doc_id, toxic). The TRAIN_ROWS labelled rows of each class with the least hash of doc_id are read, one text for
-    each: of repeated ids the one with the least hash."""
+    each: of repeated ids the one with the least hash. Null ids and labels other than 0 and 1 are left out, repeated labels
+    count once, a null text is empty; whole texts are read. None without rows of both classes. Fitted in one task."""
     marked = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("_h")).distinct()
     some = marked.withColumn("_r", F.row_number().over(Window.partitionBy("toxic", F.pmod("_h", F.lit(64))).orderBy("_h"))).where(F.col("_r") <= 2 * TRAIN_ROWS // 64)
     some = some.withColumn("_r", F.row_number().over(Window.partitionBy("toxic").orderBy("_h"))).where(F.col("_r") <= TRAIN_ROWS).select("doc_id", "toxic")
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
-    rows = found.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text")).orderBy("doc_id", "toxic").collect()
-    return Model([r.text for r in rows], [r.toxic for r in rows]) if {r.toxic for r in rows} == {0, 1} else None
+    rows = found.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
+    return fit_in_task(rows.repartition(1).sortWithinPartitions("doc_id", "toxic"), trained, Model)
+
+
+SCHEMA = "score double"
 
 
 def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """Columns `keep` and `score` for each row. Null text is scored as empty; with nothing learned all score 0."""
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
-    out = StructType(rows.drop("_text").schema.fields + StructType.fromDDL("score double").fields)
+    """Columns `keep` and `score` for each row; a kept column named score gives way. Null text is scored as empty; with
+    nothing learned all score 0. Rows are handled alone, so repeated rows and ties score alike, an empty table gives no rows,
+    and a text of any length is read as a whole, in portions of MAX_WORDS words."""
+    rows = docs.select(*without(keep, SCHEMA), F.coalesce("text", F.lit("")).alias("_text"))
+    out = StructType(rows.drop("_text").schema.fields + StructType.fromDDL(SCHEMA).fields)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +283,7 @@ def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                x = words.features_of(part.column(part.num_columns - 1).to_pylist()) if words else np.zeros((part.num_rows, 4))
+                x = words.features_of([words_of(t) for t in part.column(part.num_columns - 1).to_pylist()]) if words else np.zeros((part.num_rows, 4))
                 z = np.hstack([x, np.ones((len(x), 1))]) @ (model.logistic if model else np.zeros(5))
                 value = 1 / (1 + np.exp(-np.clip(z, -30, 30))) if model else np.zeros(len(x))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns - 1)), pa.array(value, pa.float64())], names=out.names)
