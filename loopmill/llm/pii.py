@@ -1,17 +1,18 @@
 """Personal data: patterns with checks, and a character-level bidirectional LSTM with CRF transitions.
 
 The network is trained in numpy on windows of documents whose spans the patterns label, with altered copies
-(other separators, no plus sign) so that it finds forms that the patterns miss. Every kind of span holds a digit or an
-at sign, so only text within REACH characters of one is read; it is read in overlapping windows. Each window is decoded, spans
-that another window sees farther from its edge are left to that one, and what remains is made free of overlap over the
-whole text. Spans of the patterns always stay; the network only adds spans beside them.
+(other separators, signs spelt out) so that it finds forms that the patterns miss. Every kind of span holds a digit, an
+at sign or one of the spelt-out signs of CUES, so only text within REACH characters of one is read, in overlapping windows. The windows are decoded
+and reconciled over the whole text: each character takes its label from the window in which it lies farthest from an edge, and spans
+are read from the joined labels, so a span may be longer than a window. Spans of the patterns always stay; the network only adds
+spans beside them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import table
+from .common import fit_in_task, table, without
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -28,11 +29,13 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
+#: Signs spelt out: `at` in brackets, `dot` as a word or in brackets.
+CUES = re.compile(r"[\[({<] ?(?:at|dot) ?[\])}>]|(?<!\w)dot(?!\w)", re.IGNORECASE)
 
-WINDOW, STRIDE, REACH = 64, 32, 24
+WINDOW, STRIDE, REACH = 64, 32, 40
 HIDDEN, LABELS = 16, 1 + 2 * len(KINDS)
 #: Documented bounds of the training sample: documents, windows; and updates of BATCH windows.
-TRAIN_DOCS, TRAIN_WINDOWS, UPDATES, BATCH = 1500, 4000, 450, 64
+TRAIN_DOCS, TRAIN_WINDOWS, UPDATES, BATCH = 1500, 6000, 600, 64
 #: Least mean probability of a span's labels for it to be added.
 SURE = 0.7
 
@@ -81,13 +84,15 @@ def classes_of(text: str) -> np.ndarray:
     return CHARS[np.minimum(points, 0xFFFF)]
 
 
-def window_starts(x: np.ndarray) -> np.ndarray:
-    """Starts of the windows that cover all text within REACH of a digit or an at sign; multiples of STRIDE, so that
-    any span of up to STRIDE characters lies in one window as a whole."""
+def window_starts(x: np.ndarray, text: str) -> np.ndarray:
+    """Starts of the windows that cover all text within REACH of a digit, an at sign or a cue; multiples of STRIDE."""
     hot = np.flatnonzero(((x >= 17) & (x <= 26)) | (x == 33))
+    cues = [m.start() for m in CUES.finditer(text)]
+    if cues:
+        hot = np.concatenate([hot, cues])
     if not hot.size:
         return hot
-    blocks = np.unique(np.concatenate([(hot - REACH) // STRIDE, hot // STRIDE, (hot + REACH) // STRIDE]))
+    blocks = np.unique(np.concatenate([(hot + d) // STRIDE for d in (-REACH, -STRIDE // 2, 0, STRIDE // 2, REACH)]))
     blocks = np.unique(np.concatenate([blocks - 1, blocks]))
     return STRIDE * blocks[(blocks >= 0) & (blocks * STRIDE < len(x))]
 
@@ -224,7 +229,13 @@ def altered(text: str, spans: list, rng: np.random.Generator) -> tuple[str, list
             continue
         piece = text[a:b]
         digits = NOT_DIGIT.sub("", piece)
-        if kind == 3:
+        if kind == 0:
+            name, domain = piece.split("@", 1)
+            at_sign, dot = ((" (at) ", " (dot) "), (" at ", " dot "), (" [at] ", "."), ("(at)", "(dot)"), (" @ ", "."), ("[at]", "[dot]"))[rng.integers(6)]
+            piece = name + at_sign + domain.replace(".", dot)
+        elif kind == 1:
+            piece = piece.replace(".", ("[.]", " . ", "-", "(dot)", " dot ")[rng.integers(5)])
+        elif kind == 3:
             piece = (f"({digits[-10:-7]}) {digits[-7:-4]}-{digits[-4:]}", f"{digits[-10:-7]}-{digits[-7:-4]}-{digits[-4:]}", f"00{digits}")[rng.integers(3)]
         elif kind == 2:
             piece = ".".join(digits[i : i + 4] for i in range(0, len(digits), 4))
@@ -240,28 +251,27 @@ def windows(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return padded[starts[:, None] + np.arange(WINDOW)]
 
 
-def train(texts: list[str]) -> Network | None:
-    """From whole texts with pattern labels; half of the windows with spans also appear altered."""
+def train(texts: Iterable[str], updates: int = UPDATES) -> Network | None:
+    """From whole texts with pattern labels; each text with spans also appears altered twice."""
     rng = np.random.default_rng(8)
     xs, ys, filled = [], [], []
     for text in texts:
         spans, _ = base_spans(text)
-        for copy, own in ((text, spans), altered(text, spans, rng) if spans else (None, None)):
-            if copy is None:
-                continue
+        for copy, own in [(text, spans)] + [altered(text, spans, rng) for _ in range(2 if spans else 0)]:
             x = classes_of(copy)
-            y = np.zeros(len(x) + WINDOW, np.int64)
+            starts = window_starts(x, copy)
+            if not starts.size:
+                continue
+            y = np.zeros(len(x) + WINDOW, np.int8)
             for kind, a, b in own:
                 y[a:b] = 2 + 2 * kind
                 y[a] = 1 + 2 * kind
-            starts = window_starts(x)
-            if starts.size:
-                starts = np.maximum(0, starts + rng.integers(-8, 9, len(starts)))
-                starts = starts[starts < len(x)]
-                part = y[starts[:, None] + np.arange(WINDOW)]
-                xs.append(windows(x, starts))
-                ys.append(part)
-                filled.append(part.any(1))
+            starts = np.maximum(0, starts + rng.integers(-8, 9, len(starts)))
+            starts = starts[starts < len(x)]
+            part = y[starts[:, None] + np.arange(WINDOW)]
+            xs.append(windows(x, starts))
+            ys.append(part)
+            filled.append(part.any(1))
     if not xs:
         return None
     x, y, filled = np.vstack(xs), np.vstack(ys), np.concatenate(filled)
@@ -269,14 +279,15 @@ def train(texts: list[str]) -> Network | None:
     at = np.concatenate([yes[: TRAIN_WINDOWS * 2 // 3], no[: TRAIN_WINDOWS // 3]])
     net = Network()
     if len(yes):
-        net.train(x[at], y[at])
+        net.train(x[at], y[at].astype(np.int64), updates)
     return net if len(yes) else None
 
 
 def plausible(kind: int, piece: str) -> bool:
+    """Whether a span found by the network can be of its kind at all."""
     digits = NOT_DIGIT.sub("", piece)
     if kind == 0:
-        return "@" in piece[1:-1] and "." in piece
+        return bool(re.search(r"[^\W_].*(?:@|(?<!\w)at(?!\w)).*[^\W_].*(?:\.|(?<!\w)dot(?!\w)).*[^\W_]", piece, re.IGNORECASE))
     if kind == 1:
         return len(parts := NOT_DIGIT.split(piece)) == 4 and all(p and len(p) < 4 and int(p) < 256 for p in parts)
     if kind == 2:
@@ -284,27 +295,28 @@ def plausible(kind: int, piece: str) -> bool:
     return 8 <= len(digits) <= 15 and not re.search(r"[A-Za-z@]", piece) and len(piece) > len(digits)
 
 
-def added_spans(text: str, starts: np.ndarray, labels: np.ndarray, sure: np.ndarray, taken: list) -> list[tuple[int, int, int]]:
-    """Spans of one text's decoded windows that don't meet `taken` (start, end) pairs."""
-    found: dict[tuple, tuple] = {}
-    for w in np.flatnonzero(labels.any(1)).tolist():
-        row = labels[w]
-        first = np.flatnonzero((row % 2 == 1)).tolist()
-        for a in first:
-            b = a + 1
-            while b < WINDOW and row[b] == row[a] + 1:
-                b += 1
-            edge = min(a if starts[w] else WINDOW, WINDOW - b if starts[w] + WINDOW < len(text) else WINDOW)
-            if edge == 0 or starts[w] + b > len(text):
-                continue  # cut by the window: another window holds it
-            key = (int(row[a]) // 2, int(starts[w]) + a, int(starts[w]) + b)
-            found[key] = max(found.get(key, (0, 0.0)), (edge, float(sure[w, a:b].mean())))
-    out, used = [], list(taken)
-    for (kind, a, b), (_, p) in sorted(found.items(), key=lambda x: (-x[1][0], -x[1][1], x[0])):
-        if p >= SURE and plausible(kind, text[a:b]) and all(b <= c or d <= a for c, d in used):
-            out.append((kind, a, b))
-            used.append((a, b))
-    return out
+def reconciled(n: int, starts: np.ndarray, labels: np.ndarray, sure: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labels and their probabilities for all n characters of a text: of two windows over a character the one decides in
+    which it lies farther from the edge. Unread characters have label 0."""
+    label, p = np.zeros(n + WINDOW, np.int8), np.zeros(n + WINDOW, np.float32)
+    edge = (WINDOW - STRIDE) // 2
+    for a, b in ((0, WINDOW), (edge, edge + STRIDE)):  # whole windows, then over them the middles
+        at = starts[:, None] + np.arange(a, b)
+        label[at], p[at] = labels[:, a:b], sure[:, a:b]
+    return label[:n], p[:n]
+
+
+def added_spans(text: str, label: np.ndarray, p: np.ndarray, taken: list) -> list[tuple[int, int, int]]:
+    """Spans of a text's reconciled labels that don't meet `taken` (start, end) pairs."""
+    kind = (label + 1) // 2
+    first = np.flatnonzero((kind > 0) & ((label % 2 == 1) | (kind != np.concatenate(([0], kind[:-1])))))
+    out, used = [], sorted(taken)
+    for a, end in zip(first.tolist(), [*first[1:].tolist(), len(label)], strict=True):
+        stop = np.flatnonzero(kind[a:end] != kind[a])
+        b = a + int(stop[0]) if stop.size else end
+        if p[a:b].mean() >= SURE and plausible(int(kind[a]) - 1, text[a:b]):
+            out.append((int(kind[a]) - 1, a, b))
+    return [s for s in out if all(s[2] <= c or d <= s[1] for c, d in used)]
 
 
 def spans_of(texts: list[str], net: Network | None) -> Iterator[tuple[list, list]]:
@@ -312,7 +324,7 @@ def spans_of(texts: list[str], net: Network | None) -> Iterator[tuple[list, list
     base, held = [base_spans(t) for t in texts], []
     for i, t in enumerate(texts):
         x = classes_of(t)
-        starts = window_starts(x) if net else np.zeros(0, int)
+        starts = window_starts(x, t) if net else np.zeros(0, int)
         if starts.size:
             held.append((i, starts, windows(x, starts)))
     added: dict[int, list] = {}
@@ -325,33 +337,36 @@ def spans_of(texts: list[str], net: Network | None) -> Iterator[tuple[list, list
             rows = slice(at, at + len(starts))
             at += len(starts)
             kept, failed = base[i]
-            added[i] = added_spans(texts[i], starts, labels[rows], sure[rows], [s[1:] for s in kept] + failed)
+            if labels[rows].any():
+                added[i] = added_spans(texts[i], *reconciled(len(texts[i]), starts, labels[rows], sure[rows]), [s[1:] for s in kept] + failed)
     for i, (kept, _) in enumerate(base):
         yield sorted(kept), sorted(kept + added.get(i, []))
 
 
 def fit(docs: DataFrame) -> Network | None:
-    """On the TRAIN_DOCS texts with a digit or an at sign whose hash is least."""
+    """On the TRAIN_DOCS texts with a digit or an at sign whose hash is least, each once and whole; in one task. Nulls and
+    repeats teach nothing, of texts with equal hashes the least is taken; None without a span to learn from."""
     rows = docs.where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("text").alias("_h"))
     some = rows.select("_h").distinct().orderBy("_h").limit(TRAIN_DOCS)
-    chosen = rows.join(F.broadcast(some), "_h").dropDuplicates(["_h"]).orderBy("_h").select("text").collect()
-    return train([r.text for r in chosen])
+    chosen = rows.join(F.broadcast(some), "_h").groupBy("_h").agg(F.min("text").alias("text"))
+    return fit_in_task(chosen.repartition(1).sortWithinPartitions("_h"), lambda found: train(r["text"] for r in found), Network)
 
 
 def joined(spans: list) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
-SCHEMA = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, masked string"
+SCHEMA = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, masked string"
 
 
 def detect(docs: DataFrame, net: Network | None, keep: list[str], mask: bool = True) -> DataFrame:
-    """Columns `keep`, numbers and digest of the patterns' spans, all spans, and the text with each span replaced by its
-    kind in brackets (overlapping spans by the one that starts first; null without `mask`).
+    """Columns `keep`, numbers and digest of the patterns' spans, all spans and their number, and the text with each span
+    replaced by its kind in brackets (overlapping spans by the one that starts first; null without `mask`).
 
-    Null text is empty (and stays null when masked). Rows are handled alone.
+    Null text is empty (and stays null when masked). Rows are handled alone: repeated rows get equal results, an empty table
+    gives no rows; texts of any length are read whole. Kept columns with a result's name give way.
     """
-    rows = docs.select(*keep, F.col("text").alias("_text"))
+    rows = docs.select(*without(keep, SCHEMA), F.col("text").alias("_text"))
     out = StructType(rows.drop("_text").schema.fields + StructType.fromDDL(SCHEMA).fields)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -360,15 +375,16 @@ def detect(docs: DataFrame, net: Network | None, keep: list[str], mask: bool = T
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = part.column(part.num_columns - 1).to_pylist()
-                n, digest, every, masked = [[] for _ in KINDS], [], [], []
+                n, digest, every, total, masked = [[] for _ in KINDS], [], [], [], []
                 for text, (base, spans) in zip(texts, spans_of([t or "" for t in texts], shared.value), strict=True):
                     for k in range(len(KINDS)):
                         n[k].append(sum(s[0] == k for s in base))
                     digest.append(hashlib.sha256(joined(base).encode()).hexdigest())
                     every.append(joined(spans))
+                    total.append(len(spans))
                     masked.append(masked_text(text, spans) if mask and text else text if mask else None)
                 columns = [part.column(i) for i in range(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.int64()) for c in n), *(pa.array(c, pa.string()) for c in (digest, every, masked))], names=out.names)
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.int64()) for c in n), pa.array(digest, pa.string()), pa.array(every, pa.string()), pa.array(total, pa.int64()), pa.array(masked, pa.string())], names=out.names)
 
     return rows.mapInArrow(run, out)
 
