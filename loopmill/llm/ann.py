@@ -99,12 +99,13 @@ class Index:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v array<double>) of the vectors that take part: those with an id, of the most frequent length, finite and not zero."""
+    """(vec_id, v array<double>) of the vectors that take part: those with an id, finite and not zero. Shorter vectors are
+    filled up with zeros to the length of the longest, which leaves all inner products as they are."""
     e = F.col("embedding").cast("array<double>")
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
     good = good.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0))
-    widths = good.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    return good.where(F.size("v") == (widths["w"] if widths else 0))
+    width = good.agg(F.max(F.size("v"))).first()[0] or 0
+    return good.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v"))))
 
 
 def matrix(column: pd.Series) -> np.ndarray:
@@ -122,7 +123,9 @@ def top(scores: np.ndarray, k: int) -> np.ndarray:
 
 def neighbours(vectors: DataFrame, k: int, is_query, probes: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) for the vectors of (vec_id, embedding) of which the column expression is_query
-    holds, against all others. Repeated ids are separate candidates, but never a query's own id.
+    holds, against all others. Repeated ids are separate candidates, but never a query's own id; each row that repeats a
+    query's id is a query of its own, with k rows. Vectors null, zero or with null or non-finite components, and null ids, take no
+    part; ties go to the smaller vec_id; an empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     data = materialize(usable(vectors), "ann-vectors")
@@ -143,7 +146,7 @@ def neighbours(vectors: DataFrame, k: int, is_query, probes: int | None = None)
     def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             cells = model.value.probes(matrix(pdf["v"]), pdf["vec_id"].to_numpy(), pdf["own"].to_numpy(), k, counts, probes) if len(pdf) else []
-            yield pd.DataFrame({"cell": [c.astype("int32") for c in cells], "query_id": pdf["vec_id"], "q": pdf["v"]}).explode("cell").astype({"cell": "int32"})
+            yield pd.DataFrame({"cell": [c.astype("int32") for c in cells], "query_id": pdf["vec_id"], "_q": pdf["_q"], "q": pdf["v"]}).explode("cell").astype({"cell": "int32"})
 
     index = materialize(data.mapInPandas(encoded, "cell int, vec_id long, v array<double>, code binary"), "ann-index")
     counts = np.zeros(MAX_CELLS, np.int64)  # at most MAX_CELLS rows
@@ -151,13 +154,13 @@ def neighbours(vectors: DataFrame, k: int, is_query, probes: int | None = None)
         counts[r["cell"]] = r["count"]
     # a query's own id is never its neighbour, so vectors that repeat it don't count as found
     repeated = materialize(data.groupBy("vec_id").agg(F.count("*").alias("own")).where("own > 1"), "ann-repeated")
-    queries = join_small(data.where(is_query), repeated, "vec_id").select("vec_id", "v", F.coalesce("own", F.lit(1)).alias("own"))
-    visits = materialize(queries.mapInPandas(probed, "cell int, query_id long, q array<double>"), "ann-visits")
+    queries = join_small(data.where(is_query), repeated, "vec_id").select("vec_id", "v", F.coalesce("own", F.lit(1)).alias("own"), F.monotonically_increasing_id().alias("_q"))
+    visits = materialize(queries.mapInPandas(probed, "cell int, query_id long, _q long, q array<double>"), "ann-visits")
     # numbers of blocks by cell: at most MAX_CELLS rows each
     cuts = index.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).join(visits.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks")), "cell")
     cuts = F.broadcast(cuts)
     left = index.join(cuts, "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1))).select("cell", "block", "q_block", "vec_id", "v", "code")
-    right = visits.join(cuts, "cell").withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.col("q_blocks")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "block", "q_block", "query_id", "q")
+    right = visits.join(cuts, "cell").withColumn("q_block", F.pmod(F.xxhash64("_q"), F.col("q_blocks")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "block", "q_block", "query_id", "_q", "q")
 
     def ranked(key: tuple, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
@@ -165,7 +168,7 @@ def neighbours(vectors: DataFrame, k: int, is_query, probes: int | None = None)
             rows = rows.sort_values("vec_id", kind="stable")
             ids, x = rows["vec_id"].to_numpy(), matrix(rows["v"])
             code = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(-1, PARTS)
-            who, q = queries["query_id"].to_numpy(), matrix(queries["q"])
+            who, row, q = queries["query_id"].to_numpy(), queries["_q"].to_numpy(), matrix(queries["q"])
             for at in range(0, len(q), 256):
                 part = q[at : at + 256]
                 tables = model.value.tables(part)
@@ -177,11 +180,11 @@ def neighbours(vectors: DataFrame, k: int, is_query, probes: int | None = None)
                     found = others[top(about[i, others], max(RERANK, k))]
                     score = (x[found] * part[i]).sum(1)
                     best = np.lexsort((ids[found], -score))[:k]
-                    out += zip([who[at + i]] * len(best), ids[found][best].tolist(), score[best].tolist(), strict=True)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                    out += zip([who[at + i]] * len(best), [row[at + i]] * len(best), ids[found][best].tolist(), score[best].tolist(), strict=True)
+        return pd.DataFrame(out, columns=["query_id", "_q", "vec_id", "score"]).astype({"query_id": "int64", "_q": "int64", "vec_id": "int64", "score": "float64"})
 
-    near = left.groupBy("cell", "block", "q_block").cogroup(right.groupBy("cell", "block", "q_block")).applyInPandas(ranked, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    near = left.groupBy("cell", "block", "q_block").cogroup(right.groupBy("cell", "block", "q_block")).applyInPandas(ranked, "query_id long, _q long, vec_id long, score double")
+    order = Window.partitionBy("_q").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
