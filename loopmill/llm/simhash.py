@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import components, materialize, table
+from .common import components, materialize, table, without
 
 BITS = 4
 SHINGLE = 4
@@ -53,8 +53,8 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns `keep` and fp (long, the 64 bits)."""
-    rows = docs.select(*keep, F.col("text").alias("_text"))
+    """Columns `keep` and fp (long, the 64 bits); a kept column named fp gives way."""
+    rows = docs.select(*without(keep, "fp long"), F.col("text").alias("_text"))
     out = StructType(rows.drop("_text").schema.fields + StructType.fromDDL("fp long").fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +98,7 @@ def passes_chains(difference: np.ndarray) -> np.ndarray:
 def near(one: np.uint64, others: np.ndarray) -> np.ndarray:
     """Indexes of `others` at most BITS from `one`: chains first, then the full distance."""
     difference = others ^ one
-    found = np.flatnonzero(passes_chains(difference)) if len(others) > 64 else np.arange(len(others))
+    found = np.flatnonzero(passes_chains(difference))
     return found[np.bitwise_count(difference[found]) <= BITS]
 
 
@@ -132,15 +132,16 @@ def links(distinct: DataFrame) -> DataFrame:
     groups = keyed.select("key", F.explode(pair).alias("pair"), "fp")
 
     def edges_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
         x = pdf["fp"].to_numpy().view(np.uint64)
         key, pair = pdf["key"].to_numpy(), pdf["pair"].to_numpy()
         cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (pair[1:] != pair[:-1]), [True])))
+        pairs = cuts[:-1][np.diff(cuts) == 2]  # most groups: all at once
+        difference = x[pairs] ^ x[pairs + 1]
+        pairs = pairs[passes_chains(difference)]
+        pairs = pairs[np.bitwise_count(x[pairs] ^ x[pairs + 1]) <= BITS]
+        out = list(zip(pairs.tolist(), (pairs + 1).tolist(), strict=True))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if b - a == 2:
-                if int(x[a] ^ x[a + 1]).bit_count() <= BITS:
-                    out.append((a, a + 1))
-            elif b > a:
+            if b - a > 2:
                 out += [(a + i, a + j) for i, j in forest(x[a:b])]
         i = np.array(out, np.int64).reshape(-1, 2)
         v = x.view(np.int64)
@@ -161,21 +162,43 @@ def links(distinct: DataFrame) -> DataFrame:
     return groups.repartition(n, "key", "pair").sortWithinPartitions("key", "pair", "fp").mapInPandas(run, "a long, b long")
 
 
+def members(distinct: DataFrame) -> DataFrame:
+    """(fp, component) from distinct values of fp; a component is named by its least fingerprint."""
+    found = components(links(distinct), "simhash-cc")
+    return distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def classes(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Columns `keep` (doc_id among them), fp and component_id: the least doc_id that links lead to.
 
     Null and empty texts and texts without words have fingerprint 0 and are linked like others; rows without a
-    doc_id never give the component's id unless all are without (then it is null). Repeated rows are repeated.
+    doc_id never give the component's id unless all are without (then it is null). Repeated rows are repeated, texts of any
+    length are read whole, ties can't matter; an empty table gives no rows. Kept columns named fp or component_id give way.
     """
-    prints = materialize(fingerprints(docs, keep), "simhash")
+    prints = materialize(fingerprints(docs, without(keep, "component_id long")), "simhash")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    found = components(links(distinct), "simhash-cc")
-    member = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    member = members(distinct.select("fp")).join(distinct, "fp")
     least = member.groupBy("component").agg(F.min("first").alias("component_id"))
     of = member.join(least, "component").select("fp", "component_id")
     return spread(prints, of)
 
 
+def one_of_each(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Columns `keep`, one row of each component: the least by doc_id (null last), then by the hash of the row.
+
+    Rows are compared by their links only: different texts under one doc_id that aren't linked both stay, and linked rows without
+    a doc_id leave one. Texts without words are one component. An empty table gives no rows.
+    """
+    plain = [c for c, t in docs.select(*keep).dtypes if not t.startswith(("map", "variant"))]
+    rows = docs.select(*keep, F.xxhash64(*plain).alias("_row"))
+    prints = materialize(fingerprints(rows, [*without(keep, "fp long"), "_row"]), "simhash")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_row")).alias("best")
+    distinct = materialize(prints.groupBy("fp").agg(best), "simhash-distinct")
+    first = members(distinct.select("fp")).join(distinct, "fp").groupBy("component").agg(F.min(F.struct("best", "fp")).alias("first"))
+    first = materialize(first.select(F.col("first.fp").alias("fp"), F.col("first.best._row").alias("_row")), "simhash-first")
+    return prints.join(first, ["fp", "_row"], "left_semi").dropDuplicates(["fp", "_row"]).drop("fp", "_row")
+
+
 def spread(prints: DataFrame, of: DataFrame) -> DataFrame:
     """Joins each fingerprint's class to the rows. A fingerprint of very many copies is salted."""
     salts = 16
