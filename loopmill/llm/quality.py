@@ -18,8 +18,9 @@ REPEAT_PERCENT = 30
 SYMBOL_PERCENT = 10
 #: ... and the line rule if more than so many of a hundred lines with words repeat an earlier one.
 LINE_PERCENT = 30
-#: A host is rejected on a rule if its shrunk failure rate less Z standard deviations is above this.
-HOST_RATE = 0.5
+#: A host is rejected on a rule if its shrunk failure rate less Z standard deviations is above HOST_TIMES the rate of all
+#: documents, and above HOST_LEAST (rare rules) in any case; above HOST_MOST it always is.
+HOST_TIMES, HOST_LEAST, HOST_MOST = 3.0, 0.15, 0.5
 Z = 1.645
 RULES = ("short", "repeats", "symbols", "lines")
 
@@ -72,15 +73,16 @@ def host_verdicts(base: DataFrame) -> DataFrame:
         total = F.col("n") + strength
         p = (F.col(r) + mean * strength) / total
         out = out.withColumn(f"host_rate_{r}", p)
-        bad = bad | (p - Z * F.sqrt(p * (1 - p) / (total + 1)) > HOST_RATE)
+        bad = bad | (p - Z * F.sqrt(p * (1 - p) / (total + 1)) > min(HOST_MOST, max(HOST_LEAST, HOST_TIMES * mean)))
     return out.withColumn("host_rejected", bad).select("host", "host_rejected", *(f"host_rate_{r}" for r in RULES))
 
 
 def judge(docs: DataFrame, host: str = "source") -> DataFrame:
     """One row per input row: doc_id, the features, base_failed, host_rejected, kept and the host's rates.
 
-    Null text counts as empty; a null host is a host of its own; other columns are ignored; an empty
-    table gives no rows; repeated rows are judged one by one.
+    Null text counts as empty; a null host is a host of its own; other columns are ignored, whatever their names; an empty
+    table gives no rows; repeated rows are judged one by one. Texts of any length are read whole, inside their row. A rate equal to
+    its limit doesn't reject, so ties are kept.
     """
     f = base_features(docs.select("doc_id", F.col(host).alias("host"), "text")).select("doc_id", "host", "_f.*")
     base = f.withColumns({

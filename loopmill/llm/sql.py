@@ -21,10 +21,10 @@ hosts as (
   select host, rule, count(*)::double as n, count_if(failed)::double as k
   from (select host, unnest(['short', 'repeats', 'symbols', 'lines']) as rule, unnest([short, repeats, symbols, lines]) as failed from rules) group by all),
 prior as (select rule, sum(k) / sum(n) as m0, sum(n * (k / n) * (k / n)) / sum(n) - (sum(k) / sum(n)) * (sum(k) / sum(n)) as v0 from hosts group by rule),
-beta as (select rule, m, least(greatest(m * (1 - m) / v - 1, 2.0), 1000.0) as s from (select rule, least(greatest(m0, 1e-4), 1 - 1e-4) as m, greatest(v0, 1e-6) as v from prior)),
+beta as (select rule, m, least(0.5, greatest(0.15, 3.0 * m)) as most, least(greatest(m * (1 - m) / v - 1, 2.0), 1000.0) as s from (select rule, least(greatest(m0, 1e-4), 1 - 1e-4) as m, greatest(v0, 1e-6) as v from prior)),
 verdicts as (
-  select host, bool_or(p - 1.645 * sqrt(p * (1 - p) / (n + s + 1)) > 0.5) as rejected
-  from (select host, n, s, (k + m * s) / (n + s) as p from hosts join beta using (rule)) group by host)
+  select host, bool_or(p - 1.645 * sqrt(p * (1 - p) / (n + s + 1)) > most) as rejected
+  from (select host, n, s, most, (k + m * s) / (n + s) as p from hosts join beta using (rule)) group by host)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short or repeats as base_failed, not (short or repeats) and not rejected as kept
 from rules join verdicts on rules.host is not distinct from verdicts.host
 """
