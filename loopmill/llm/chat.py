@@ -9,7 +9,7 @@ unescaped, so turns that agree one by one also agree when put together; the whol
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -49,25 +49,36 @@ def agrees(role: Column, text: Column, level: int) -> Column:
 
 
 def format_chats(rows: DataFrame) -> DataFrame:
-    """(conv_id, formatted, turns, same) from (conv_id, turn, role, text).
+    """(conv_id, formatted, turns, loss_mask, same) from (conv_id, turn, role, text).
 
-    Turns in order of turn, then role, then text; repeated rows stay. Null role or text reads as empty.
-    `turns` is what the parser recovered from `formatted`; `same` says that it equals the source.
-    A null conv_id is a conversation of its own. Rows are rendered and checked before they are gathered.
+    Turns in order of turn (null first), then role, then text; repeated rows stay. Null role or text reads as empty.
+    `turns` is what the parser recovered from `formatted`; `loss_mask` are the spans (start, length; in characters, from 0) of the
+    bodies of MASKED turns in `formatted`; `same` says that the turns equal the source. A null conv_id is a conversation of its own.
+    Rows are rendered and checked before they are gathered; texts of any length are rendered whole; other columns are ignored; an
+    empty table gives no rows.
     """
     r, t = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    rows = rows.select("conv_id", "turn", r.alias("role"), t.alias("text"))
+    rows = rows.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))).alias("turn"), r.alias("role"), t.alias("text"))
     body = F.when(agrees(F.col("role"), F.col("text"), 0), F.col("text")).when(agrees(F.col("role"), F.col("text"), 1), escape(F.col("text"), 1)).otherwise(escape(F.col("text"), 2))
-    rows = rows.withColumn("piece", render(F.col("role"), body))
-    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))).alias("turn"), "role", "text", "piece"))).alias("rows"))
-    chats = chats.select("conv_id", F.concat_ws("", F.col("rows.piece")).alias("formatted"), F.transform("rows", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("source"))
-    return chats.withColumn("turns", parse(F.col("formatted"))).select("conv_id", "formatted", "turns", (F.col("turns") == F.col("source")).alias("same"))
+    rows = rows.withColumn("body", body).withColumn("piece", render(F.col("role"), F.col("body")))
+    # where a body starts: the pieces before its own, and its own head
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = F.sum(F.length("piece").cast("long")).over(before)
+    rows = rows.withColumn("start", ends - F.length("body") - len(END)).withColumn("length", F.length("body").cast("long"))
+    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "start", "length", "piece"))).alias("rows"))
+    mask = F.transform(F.filter("rows", lambda x: x["role"] == MASKED), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
+    chats = chats.select("conv_id", F.concat_ws("", F.col("rows.piece")).alias("formatted"), F.transform("rows", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("source"), mask.alias("loss_mask"))
+    return chats.withColumn("turns", parse(F.col("formatted"))).select("conv_id", "formatted", "turns", "loss_mask", (F.col("turns") == F.col("source")).alias("same"))
+
+
+def masked_text(formatted: Column, mask: Column) -> Column:
+    """The text under the loss mask, unescaped."""
+    return F.concat_ws("", F.transform(mask, lambda m: unescape(F.substring(formatted, m["start"].cast("int") + 1, m["length"].cast("int")))))
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(MASKED).alias("role"), F.lit(EXTRA).alias("text"))
-    chats = format_chats(rows.unionByName(extra))
-    loss = F.concat_ws("", F.transform(F.filter("turns", lambda x: x["role"] == MASKED), lambda x: x["text"]))
+    chats = format_chats(rows.unionByName(extra)).withColumn("loss", masked_text(F.col("formatted"), F.col("loss_mask")))
     whole = F.concat_ws("", F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))))
-    return chats.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return chats.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
