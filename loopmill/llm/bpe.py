@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import process_cache, table
+from .common import process_cache, table, without
 
 #: Bounds of the tables a process keeps; a full table is started anew, which costs time only.
 MAX_STATES = 120_000
@@ -269,9 +269,10 @@ def tokenize(docs: DataFrame, path: str, pattern: str, keep: list[str] | None =
     """Columns `keep`, then n_tokens, ids (u32 little-endian) and decoded text; or the digests of the two.
 
     `path` is the rank file, found on every executor. A null or empty text has no tokens. Rows are handled
-    alone, so ties and repeated rows need no rule; an empty table gives an empty result.
+    alone, so ties and repeated rows need no rule; an empty table gives an empty result; texts of any length are coded whole.
+    Kept columns with a result's name give way.
     """
-    keep = keep if keep is not None else ["doc_id"]
+    keep = without(keep if keep is not None else ["doc_id"], DIGESTS if digests else SCHEMA)
     rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
     out = StructType(rows.drop("_text").schema.fields + StructType.fromDDL(DIGESTS if digests else SCHEMA).fields)
 

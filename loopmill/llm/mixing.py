@@ -94,7 +94,8 @@ def mix(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, taken (words, repeats counted), passes_taken.
 
     A null or empty text has size 0 and is never taken; a null source is a source of its own; rows with one
-    doc_id share a hash and enter or stay out together; an empty table gives no rows.
+    doc_id share a hash and enter or stay out together (so do ties of hashes); an empty table gives no rows. Of a text only its number
+    of words is used, counted over the whole text; other columns are ignored, whatever their names.
     """
     slim, limits = limits_of(docs)
     out = join_small(slim, limits, "source").withColumn("passes_taken", times_taken())

@@ -134,8 +134,8 @@ def test_pii_network_learns():
     hit = 0
     for t in texts[250:]:
         x = pii.classes_of(t)
-        starts = pii.window_starts(x)
-        found = pii.added_spans(t, starts, *net.decode(pii.windows(x, starts)), [])
+        starts = pii.window_starts(x, t)
+        found = pii.added_spans(t, *pii.reconciled(len(t), starts, *net.decode(pii.windows(x, starts))), [])
         hit += len(set(found) & set(pii.base_spans(t)[0]))
     assert hit >= 80  # of 100
 
@@ -243,19 +243,21 @@ def test_toxicity_scores_beyond_the_word_table(monkeypatch):
     weights = np.random.default_rng(1).normal(size=1 << toxicity.HASH_BITS).astype(np.float32)
     vocabulary = ["alpha", "bravo", "charlie", "delta", "echoes", "foxtrot", "golfer", "hotel", "india", "juliet", "kilogram"]
     texts = ["", "12 34", "alpha bravo", "charlie delta alpha", " ".join(vocabulary), "alpha", "hotel india echoes golfer foxtrot juliet", "alpha bravo charlie kilogram"]
-    want = toxicity.WordScores(weights, 0.1).features_of(texts)
+    bags = [toxicity.words_of(t) for t in texts]
+    want = toxicity.WordScores(weights, 0.1).features_of(bags)
     monkeypatch.setattr(toxicity, "MAX_WORDS", 5)
     words = toxicity.WordScores(weights, 0.1)
-    assert np.allclose(words.features_of(texts[2:3]), want[2:3]) and np.allclose(words.features_of(texts), want)
+    assert np.allclose(words.features_of(bags[2:3]), want[2:3]) and np.allclose(words.features_of(bags), want)
     assert len(words.known) <= 5
 
 
 def test_toxicity_fit_reads_one_text_an_id(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "Model", lambda texts, toxic: (texts, toxic))
+    taken = []
+    monkeypatch.setattr(toxicity, "fit_in_task", lambda rows, make, kind: taken.extend(rows.collect()))
     df = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(1, "text 0"), (2, None), (3, "x")], "doc_id long, text string")
     lab = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (3, 0)], "doc_id long, toxic int")
-    texts, toxic = toxicity.fit(df, lab)
-    assert len(texts) == 3 and texts[0].startswith("text ") and texts[1:] == ["", "x"] and toxic == [1, 0, 0]
+    toxicity.fit(df, lab)
+    assert [r.text for r in taken][1:] == ["", "x"] and taken[0].text.startswith("text ") and [r.toxic for r in taken] == [1, 0, 0]
 
 
 def test_toxicity_of_short_words_and_long_texts():
@@ -263,12 +265,12 @@ def test_toxicity_of_short_words_and_long_texts():
     vocabulary = [a + b + c for a in "aeiou" for b in "lnrst" for c in "aeiou"]
     texts = [" ".join(rng.choices(vocabulary, k=20) + ["zgk"] * (i % 2)) for i in range(200)]
     model = toxicity.Model(texts, [i % 2 for i in range(200)])
-    x = toxicity.WordScores(model.weights, model.bias).features_of(["ala ene", "ala ene zgk", "ala ene z*gk"])
+    x = toxicity.WordScores(model.weights, model.bias).features_of([t.split() for t in ("ala ene", "ala ene zgk", "ala ene z*gk")])
     assert x[1, 0] > 0 and x[2, 0] > 0 and x[0, 0] < x[1, 0]
     many = toxicity.WordScores(np.zeros(1 << toxicity.HASH_BITS, np.float32), 0.5)  # every word scores above 0
     text = " ".join("w" + "".join(rng.choices("abcdefgh", k=9)) for _ in range(600))
     n = len(toxicity.words_of(text))
-    assert n > 500 and np.isclose(many.features_of([text])[0, 3], np.sqrt(n / (n + 10)))
+    assert n > 500 and np.isclose(many.features_of([toxicity.words_of(text)])[0, 3], np.sqrt(n / (n + 10)))
 
 
 def test_components_of_a_path(spark):
