@@ -25,7 +25,7 @@ from pyspark.sql.types import StructType
 from .common import process_cache, table, without
 
 #: Bounds of the tables a process keeps; a full table is started anew, which costs time only.
-MAX_STATES = 120_000
+MAX_STATES = 300_000
 MAX_WORDS = 250_000
 NEVER = 1 << 60
 
@@ -58,14 +58,16 @@ class Transducer:
                         self.ends.append(None)
                     node = self.kids[node][byte]
                 self.ends[node] = i
-        self.stable_pairs: dict[tuple, bool] = {}
+        self.bits = len(self.kids).bit_length()
+        self.stable_pairs: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
         """A state is (transitions by byte, hypotheses); a transition is (next state, where each hypothesis comes from)."""
         self.states: dict[tuple, tuple] = {}
+        self.origins: dict[tuple, tuple] = {}
         gc.collect()  # states refer to each other
-        self.start = self.state(((None, 0),))
+        self.start = self.state((0,))
 
     def last_merge(self, piece: bytes) -> list[bytes]:
         """Plain merging by rank down to two parts, or as far as it goes."""
@@ -89,32 +91,33 @@ class Transducer:
             known = self.edges_of[token] = ([*left, (piece, NEVER)], [*right, (piece, NEVER)])
         return known
 
-    def stable(self, a: int | None, b: int) -> bool:
+    def stable(self, a: int, b: int) -> bool:
         """Whether no merge across the border of the two tokens comes before those inside them.
 
         Merges are applied in order of rank, the leftmost first among equals.
         """
-        if a is None:
-            return True
-        known = self.stable_pairs.get((a, b))
+        left, right, i, j = self.edges(a)[1], self.edges(b)[0], 0, 0
+        while True:
+            (x, x_until), (y, y_until) = left[i], right[j]
+            rank = self.ranks.get(x + y, NEVER)
+            if rank < x_until and rank <= y_until and rank != NEVER:
+                return False
+            if x_until == y_until == NEVER:
+                return True
+            i, j = (i + 1, j) if x_until <= y_until else (i, j + 1)
+
+    def follows(self, last: int, token: int) -> bool:
+        """stable() of the token numbered last - 1 and `token`, kept; nothing (0) comes before a string's first token."""
+        pair = last << 32 | token
+        known = self.stable_pairs.get(pair)
         if known is None:
-            if len(self.stable_pairs) >= 4 * MAX_STATES:
+            if len(self.stable_pairs) >= MAX_STATES:
                 self.stable_pairs.clear()
-            left, right, i, j, known = self.edges(a)[1], self.edges(b)[0], 0, 0, True
-            while True:
-                (x, x_until), (y, y_until) = left[i], right[j]
-                rank = self.ranks.get(x + y, NEVER)
-                if rank < x_until and rank <= y_until and rank != NEVER:
-                    known = False
-                    break
-                if x_until == y_until == NEVER:
-                    break
-                i, j = (i + 1, j) if x_until <= y_until else (i, j + 1)
-            self.stable_pairs[a, b] = known
+            known = self.stable_pairs[pair] = not last or self.stable(last - 1, token)
         return known
 
     def state(self, hypotheses: tuple) -> tuple:
-        """hypotheses: (last token, trie node), those whose unfinished token began first coming first."""
+        """hypotheses: last token plus 1 (0 at the start) and trie node, as one number, those whose unfinished token began first coming first."""
         known = self.states.get(hypotheses)
         if known is None:
             known = self.states[hypotheses] = ({}, hypotheses)
@@ -122,27 +125,30 @@ class Transducer:
 
     def step(self, state: tuple, byte: int) -> tuple:
         hypotheses, back, ended = [], [], None
-        for k, (last, node) in enumerate(state[1]):
-            child = self.kids[node].get(byte)
+        kids, ends, bits = self.kids, self.ends, self.bits
+        mask = (1 << bits) - 1
+        for k, h in enumerate(state[1]):
+            child = kids[h & mask].get(byte)
             if child is None:
                 continue
-            if self.kids[child]:
-                hypotheses.append((last, child))
+            if kids[child]:
+                hypotheses.append(h & ~mask | child)
                 back.append((k, None))
-            token = self.ends[child]
-            if token is not None and self.stable(last, token):
-                ended = (token, 0), (k, token)  # at most one: a prefix has one encoding
+            token = ends[child]
+            if token is not None and ended is None and self.follows(h >> bits, token):
+                ended = k, token  # at most one: a prefix has one encoding
         if ended:
-            hypotheses.append(ended[0])
-            back.append(ended[1])
-        move = state[0][byte] = (self.state(tuple(hypotheses)), back)
+            hypotheses.append((ended[1] + 1) << bits)
+            back.append(ended)
+        origin = tuple(back)
+        move = state[0][byte] = (self.state(tuple(hypotheses)), self.origins.setdefault(origin, origin))
         return move
 
     @staticmethod
     def trace(path: list, k: int) -> list[int]:
         """Tokens completed on the way to hypothesis k at the end of the path."""
         out = []
-        for back in reversed(path):
+        for back in path[::-1]:
             k, token = back[k]
             if token is not None:
                 out.append(token)
@@ -175,12 +181,13 @@ class Transducer:
         out: list[int] = []
         path: list = []
         state = self.start
-        for byte in piece:
-            state, back = state[0].get(byte) or self.step(state, byte)
-            path.append(back)
-            if len(path) > 4 * self.longest:
+        for at in range(0, len(piece), 4 * self.longest):
+            if path:
                 some, path = self.settled(path, len(state[1]))
                 out += some
+            for byte in piece[at : at + 4 * self.longest]:
+                state, back = state[0].get(byte) or self.step(state, byte)
+                path.append(back)
         return out + self.trace(path, len(state[1]) - 1)
 
 
