@@ -311,7 +311,8 @@ def added_spans(text: str, label: np.ndarray, p: np.ndarray, taken: list) -> lis
     kind = (label + 1) // 2
     first = np.flatnonzero((kind > 0) & ((label % 2 == 1) | (kind != np.concatenate(([0], kind[:-1])))))
     out, used = [], sorted(taken)
-    for a, end in zip(first.tolist(), [*first[1:].tolist(), len(label)], strict=True):
+    bounds = [*first.tolist(), len(label)]
+    for a, end in zip(bounds[:-1], bounds[1:], strict=True):
         stop = np.flatnonzero(kind[a:end] != kind[a])
         b = a + int(stop[0]) if stop.size else end
         if p[a:b].mean() >= SURE and plausible(int(kind[a]) - 1, text[a:b]):
