@@ -1,13 +1,15 @@
-"""Removal of long repeated byte strings, with suffix order by refining a Burrows-Wheeler transform of each portion.
-
-Two equal strings of LENGTH bytes hold the same least GRAM-byte hash at the same place (winnowing), so the
-starts of strings are gathered by that anchor, and equal strings always meet. Contexts that agree as a whole are counted
-before anything is compared. What is left of the anchors' contexts is ordered in portions of whole groups: a portion's suffixes at the
-anchors are sorted once, its transform is the column of bytes before each suffix, and one step of refinement deals the suffixes stably
-by that column, which gives the order of the suffixes one byte longer and their common prefixes from those before. Transforms of
-shards are not merged: an anchor of more than BLOCK contexts is dealt out by pairs of blocks, and every pair sorts its suffixes anew.
-Intervals whose common prefixes reach LENGTH are
-the repeated strings.
+"""Removal of long repeated byte strings by merging Burrows-Wheeler transforms of shards.
+
+Equal strings of SHORT bytes or more hold the same least GRAM-byte hash at the same place (winnowing), so the starts of strings are
+gathered by that anchor, and equal strings always meet. Contexts (the bytes that the starts of one anchor reach) that agree as a whole
+are counted before anything is compared. What is left of an anchor's contexts is dealt into shards. A shard's transform is, for one column after
+another from the right, the symbols before its suffixes in the order of those suffixes; dealing the suffixes stably by these symbols gives the order
+one column further left. Two shards are merged by refining their interleave (which shard the next suffix comes from) in the same
+way, from the two transforms alone: no suffix is sorted again. The last merge also carries the common prefixes of neighbours along;
+intervals whose common prefixes reach LENGTH (or SHORT) are the repeated strings.
+
+A merge of whole documents' transforms would refine every byte of the corpus several hundred times; here only strings that share
+an anchor take part. An anchor of more than BLOCK contexts is dealt out by pairs of blocks.
 """
 
 from __future__ import annotations
@@ -18,22 +20,24 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import materialize, process_cache, table
+from .common import materialize, table
 
-LENGTH = 400
-#: A power of two.
-GRAM = 32
+#: Bytes of the strings that are removed, and of those that are only reported.
+LENGTH, SHORT = 400, 272
+#: Both powers of two: bytes of a hash, and bytes that one symbol of the columns right of the anchor holds.
+GRAM, SYMBOL = 32, 8
 #: Bytes that are scanned at once (their positions fit in POSITION bits).
 CHUNK, POSITION = 1 << 20, 24
 #: Contexts of one anchor that one group orders together; more are dealt out by pairs of blocks.
 BLOCK = 2048
-#: A portion is ordered at once; it is closed at the first group's end with four times so many contexts.
+#: Contexts of a shard; a portion is closed at the first group's end with four times so many.
 SHARD = 1024
-ROW = "key long, context long, doc_key long, doc_id long, start int, n int, anchor int"
+ROW = "key long, context long, doc_key long, doc_id long, start int, n int, m int, anchor int"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,44 +65,37 @@ def least(x: np.ndarray, size: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """For a whole document's bytes: arrays (key, context hash, start, n, anchor offset from start), one entry for each
-    run of consecutive string starts with the same anchor."""
-    total = len(data) - LENGTH + 1
+    """For a whole document's bytes: arrays (key, context hash, start, n, m, anchor offset from start), one entry for each
+    run of consecutive starts of SHORT-byte strings with the same anchor; from the first m of the n starts LENGTH bytes can be read."""
+    size = len(data)
     salt = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
-    for at in range(0, max(0, total), CHUNK):
-        part = data[at : at + CHUNK + LENGTH - 1]
-        x = salt[part]
-        grams = mixed(window_hash(x, GRAM.bit_length() - 1))
+    digest = xxhash.xxh3_64_intdigest
+    for at in range(0, max(0, size - SHORT + 1), CHUNK):
+        part = data[at : at + CHUNK + SHORT - 1]
+        grams = mixed(window_hash(salt[part], GRAM.bit_length() - 1))
         packed = (grams & ~np.uint64((1 << POSITION) - 1)) | np.arange(len(grams), dtype=np.uint64)
-        low = least(packed, LENGTH - GRAM + 1)
+        low = least(packed, SHORT - GRAM + 1)
         first = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
         n = np.diff(np.append(first, len(low)))
         place = (low[first] & np.uint64((1 << POSITION) - 1)).astype(np.int64)
-        # hash of the bytes first .. first + n + LENGTH - 1, from prefix sums and the odd base's inverse powers
-        power, inverse = powers(len(x) + 1)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * power[: len(x)], dtype=np.uint64)))
-        context = mixed((sums[first + n + LENGTH - 1] - sums[first]) * inverse[first] + n.astype(np.uint64) * BASE + (place - first).astype(np.uint64))
-        yield grams[place].view(np.int64), context.view(np.int64), (first + at).astype(np.int32), n.astype(np.int32), (place - first).astype(np.int32)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the base and of its inverse; kept for the longest chunk."""
-    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-    make = lambda: tuple(np.cumprod(np.concatenate(([np.uint64(1)], np.full(CHUNK + LENGTH, b))), dtype=np.uint64) for b in (BASE, inverse))
-    power, back = process_cache("repeats powers", make)
-    return power[:n], back[:n]
+        start = first + at
+        m = np.clip(size - LENGTH + 1 - start, 0, n)
+        raw = data[at : at + CHUNK + LENGTH + SHORT].tobytes()
+        context = np.array([digest(raw[a:b]) for a, b in zip(first.tolist(), (first + n + LENGTH - 1).tolist(), strict=True)], np.uint64)
+        context = mixed(context ^ (n.astype(np.uint64) << np.uint64(32)) ^ (place - first).astype(np.uint64))
+        yield grams[place].view(np.int64), context.view(np.int64), start.astype(np.int32), n.astype(np.int32), m.astype(np.int32), (place - first).astype(np.int32)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string column without nulls."""
-    column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
+    """Bytes and offsets of a binary column without nulls."""
+    column = column.cast(pa.large_binary())
     _, offsets, data = column.buffers()
     o = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), o
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """docs: (doc_key, doc_id, text). One row of ROW for each run of string starts with one anchor."""
+    """docs: (doc_key, doc_id, raw). One row of ROW for each run of string starts with one anchor."""
 
     names = StructType.fromDDL(ROW).names
 
@@ -106,11 +103,11 @@ def scan(docs: DataFrame) -> DataFrame:
         for batch in batches:
             data, offsets = buffers(batch.column(2))
             keys, ids = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in names]
             for i in range(batch.num_rows):
-                for key, context, start, n, anchor in anchors(data[offsets[i] : offsets[i + 1]]):
+                for key, context, *rest in anchors(data[offsets[i] : offsets[i + 1]]):
                     k = len(key)
-                    for o, v in zip(out, (key, context, np.full(k, keys[i], np.int64), np.full(k, ids[i], np.int64), start, n, anchor), strict=True):
+                    for o, v in zip(out, (key, context, np.full(k, keys[i], np.int64), np.full(k, ids[i], np.int64), *rest), strict=True):
                         o.append(v)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=names)
@@ -118,36 +115,82 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, ROW)
 
 
-def shard_transform(x: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes x[i, at[i]:] within groups, and common prefixes with the one before (0 at a group's
-    first): the shard's transform before its first refinement. Only LENGTH bytes count. Rows of x end in zeros
-    beyond their lengths, which no string of LENGTH bytes reaches."""
-    lanes = np.lib.stride_tricks.sliding_window_view(x, LENGTH, axis=1)
-    tails = lanes[np.arange(len(x)), np.minimum(at, lanes.shape[1] - 1)]
-    words = np.ascontiguousarray(tails).view(">u8").astype(np.uint64)
-    order = np.lexsort((*words.T[::-1], group))
-    t = tails[order]
-    different = t[1:] != t[:-1]
-    common = np.where(different.any(1), different.argmax(1), LENGTH)
-    g = group[order]
-    return order, np.concatenate(([0], np.where(g[1:] == g[:-1], common, 0))).astype(np.int32)
-
-
-def refine(order: np.ndarray, common: np.ndarray, before: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One step: suffixes in `order` with `common` prefixes become those that start one byte earlier.
-
-    before: the transform, the byte before each suffix, by row. Dealing by it is stable, so order within a byte
-    stays, and the common prefix of two neighbours is one more than the least of those between them before.
-    """
-    key = group[order].astype(np.int64) << 8 | before[order]
-    move = np.argsort(key, kind="stable")
-    k = key[move]
-    # least common prefix between the old places of new neighbours: by doubling over the old column
-    a, b = move[:-1], move[1:]
-    same = k[1:] == k[:-1]
-    out = np.zeros(len(order), np.int32)
-    out[1:][same] = np.minimum(LENGTH, 1 + range_least(common, a[same] + 1, b[same] + 1))
-    return order[move], out
+def columns_of(texts: list[bytes], anchor: np.ndarray) -> list[np.ndarray]:
+    """The symbols of contexts, column by column from the right: LENGTH bytes from the anchor on, SYMBOL bytes a column, then the
+    bytes before the anchor one by one (GONE where a context has none). Contexts end in zeros, which no string of a start reaches."""
+    left, right = int(anchor.max()), LENGTH
+    x = np.zeros((len(texts), left + right), np.uint8)
+    gone = np.zeros(x.shape, bool)
+    for i, (t, a) in enumerate(zip(texts, anchor.tolist(), strict=True)):
+        part = t[: a + right]
+        x[i, left - a : left - a + len(part)] = np.frombuffer(part, np.uint8)
+        gone[i, : left - a] = True
+    wide = np.ascontiguousarray(x[:, left:]).view(">u8").astype(np.uint64)
+    out = [wide[:, k] for k in range(right // SYMBOL - 1, -1, -1)]
+    single = np.where(gone[:, :left], GONE, x[:, :left]).astype(np.uint64)
+    return out + [single[:, k] for k in range(left - 1, -1, -1)]
+
+
+GONE = 256
+
+
+class Transform:
+    """A shard: its contexts' groups in order, and for each column the symbols before the suffixes in the suffixes' order."""
+
+    def __init__(self, group: np.ndarray, columns: list[np.ndarray]):
+        self.group, self.columns = group, columns
+
+
+def deal(group: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """The stable order of suffixes by group and symbol; they come ordered by group."""
+    move = np.argsort(symbols, kind="stable")
+    return move[np.argsort(group[move], kind="stable")] if len(group) and group[0] != group[-1] else move
+
+
+def shard_transform(columns: list[np.ndarray], group: np.ndarray, members: np.ndarray) -> tuple[Transform, np.ndarray]:
+    """The transform of the contexts `members`, and those in their first order, by group."""
+    first = order = members[np.argsort(group[members], kind="stable")]
+    out, by = [], group[order]
+    for column in columns:
+        symbols = column[order]
+        out.append(symbols)
+        order = order[deal(by, symbols)]
+    return Transform(by, out), first
+
+
+def interleave(a: Transform, b: Transform):
+    """Refines which of the two shards each suffix comes from, one column a step, from their transforms alone. Yields the
+    merged symbols of each column and how the suffixes move."""
+    group = np.concatenate((a.group, b.group))
+    start = np.argsort(group, kind="stable")
+    group, from_b = group[start], start >= len(a.group)
+    for x, y in zip(a.columns, b.columns, strict=True):
+        symbols = np.empty(len(group), np.uint64)
+        symbols[~from_b], symbols[from_b] = x, y
+        move = deal(group, symbols)
+        yield symbols, move
+        from_b = from_b[move]
+
+
+def merge(a: Transform, b: Transform) -> Transform:
+    return Transform(np.sort(np.concatenate((a.group, b.group))), [symbols for symbols, _ in interleave(a, b)])
+
+
+def common_prefixes(common: np.ndarray, group: np.ndarray, symbols: np.ndarray, move: np.ndarray, width: int) -> np.ndarray:
+    """Common prefix of each suffix with the one before it after a step, from those before the step: where the symbols agree
+    the least between the old places and `width` bytes more, else the bytes that the symbols share. 0 at a group's first."""
+    s, g = symbols[move], group[move]
+    out = np.zeros(len(move), np.int32)
+    near = g[1:] == g[:-1]
+    same = near & (s[1:] == s[:-1]) & (s[1:] != GONE if width == 1 else True)
+    out[1:][same] = np.minimum(LENGTH, width + range_least(common, move[:-1][same] + 1, move[1:][same] + 1))
+    if width > 1:
+        part = near & ~same
+        differ, shared = s[1:][part] ^ s[:-1][part], np.zeros(int(part.sum()), np.int32)
+        for k in range(1, width):
+            shared += differ < np.uint64(1 << 8 * (width - k))
+        out[1:][part] = shared
+    return out
 
 
 def range_least(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -167,40 +210,46 @@ def range_least(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_starts(texts: list[bytes], n: np.ndarray, anchor: np.ndarray, group: np.ndarray) -> list[np.ndarray]:
-    """For contexts in groups of one anchor each: which of the n[i] string starts of context i occur in another context
-    of the group. Start s of context i lies anchor[i] - s bytes before the anchor.
+def repeated_starts(texts: list[bytes], n: np.ndarray, m: np.ndarray, anchor: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For contexts in groups of one anchor each, as two tables of context by start: which of the n[i] starts of context i begin
+    SHORT bytes, and which of the first m[i] begin LENGTH bytes, that another context of the group holds too.
 
-    All suffixes at the anchors are ordered first; then step by step those 1, 2, ... bytes before. A context takes part
-    as long as it has that start; its string is repeated if a neighbour shares LENGTH bytes at a start that it has.
+    Start s of context i lies anchor[i] - s bytes before the anchor, so it is found as many steps left of the anchor's column. A start's string is
+    repeated if a neighbour in order shares so many bytes at a start that it has.
     """
-    width = max(map(len, texts)) + LENGTH
-    x = np.frombuffer(b"".join([t.ljust(width, b"\0") for t in texts]), np.uint8).reshape(len(texts), width)
-    hit = [np.zeros(k, bool) for k in n.tolist()]
-    order, common = shard_transform(x, anchor, group)
-    rows = np.arange(len(texts))
-    for back in range(0, int(anchor.max()) + 1):
-        if back:
-            live = anchor[order] >= back
-            if not live.all():
-                # who leaves hands the common prefix on: the least over the gap
-                at = np.flatnonzero(live)
-                if len(at) < 2:
-                    break
-                common = np.concatenate(([0], range_least(common, at[:-1] + 1, at[1:] + 1))).astype(np.int32)
-                order = order[at]
-            before = x[rows, np.maximum(anchor - back, 0)]
-            order, common = refine(order, common, before, group)
+    columns = columns_of(texts, anchor)
+    shards = [shard_transform(columns, group, np.arange(k, len(texts), parts)) for parts in [-(-len(texts) // SHARD)] for k in range(parts)]
+    level, order = [t for t, _ in shards], [r for _, r in shards]
+    while len(level) > 2:  # by twos; the last two are merged below
+        level = [merge(*level[k : k + 2]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
+        order = [joined(group, *order[k : k + 2]) for k in range(0, len(order), 2)]
+    last = level if len(level) == 2 else [level[0], Transform(group[:0], [c[:0] for c in columns])]
+    order = joined(group, *order)
+    by, common = group[order], np.zeros(len(order), np.int32)  # nothing read yet
+    tables = np.zeros((len(texts), int(n.max())), bool), np.zeros((len(texts), int(n.max())), bool)
+    wide = LENGTH // SYMBOL
+
+    def mark(back: int) -> None:
         start = anchor[order] - back
-        has = start < n[order]
-        if not has.any():
-            continue
-        at = np.flatnonzero(has)
-        link = range_least(common, at[:-1] + 1, at[1:] + 1) >= LENGTH if len(at) > 1 else np.zeros(0, bool)
-        twice = np.concatenate((link, [False])) | np.concatenate(([False], link))
-        for i in order[at[twice]].tolist():
-            hit[i][anchor[i] - back] = True
-    return hit
+        for table_, limit, least_ in ((tables[0], n, SHORT), (tables[1], m, LENGTH)):
+            at = np.flatnonzero((start >= 0) & (start < limit[order]))
+            if len(at) > 1:
+                link = range_least(common, at[:-1] + 1, at[1:] + 1) >= least_
+                at = at[np.concatenate((link, [False])) | np.concatenate(([False], link))]
+                table_[order[at], start[at]] = True
+
+    for step, (symbols, move) in enumerate(interleave(*last)):
+        common = common_prefixes(common, by, symbols, move, SYMBOL if step < wide else 1)
+        order = order[move]
+        if step >= wide - 1:
+            mark(step - wide + 1)
+    return tables
+
+
+def joined(group: np.ndarray, *parts: np.ndarray) -> np.ndarray:
+    """Contexts of shards in the first order of their merge: by group, the earlier shard first."""
+    every = np.concatenate(parts)
+    return every[np.argsort(group[every], kind="stable")]
 
 
 def runs(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -209,11 +258,12 @@ def runs(mask: np.ndarray) -> list[tuple[int, int]]:
 
 
 NO_ID = -(1 << 63)
-FOUND = "doc_key long, doc_id long, start int, n int"
+FOUND = "doc_key long, doc_id long, start int, n int, m int"
 
 
 def search(contexts: DataFrame, partitions: int) -> DataFrame:
-    """contexts: (key, pair, doc_key, doc_id, start, n, anchor, bytes), grouped by (key, pair). Runs of repeated starts."""
+    """contexts: (key, pair, doc_key, doc_id, start, n, m, anchor, bytes), grouped by (key, pair). Runs of repeated starts: of n
+    starts of SHORT bytes, or of m starts of LENGTH bytes."""
     ordered = contexts.repartition(partitions, "key", "pair").sortWithinPartitions("key", "pair")
 
     def found(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -228,10 +278,12 @@ def search(contexts: DataFrame, partitions: int) -> DataFrame:
                     cut.append(e)
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 part = pdf.iloc[a:b]
-                hits = repeated_starts(part["bytes"].tolist(), part["n"].to_numpy(), part["anchor"].to_numpy(), group[a:b])
-                for key, doc, start, hit in zip(part["doc_key"], part["doc_id"], part["start"], hits, strict=True):
-                    out += [(key, doc, start + i, j - i) for i, j in runs(hit)]
-        return pd.DataFrame(out, columns=["doc_key", "doc_id", "start", "n"]).astype({"doc_key": "int64", "doc_id": "int64", "start": "int32", "n": "int32"})
+                tables = repeated_starts(part["bytes"].tolist(), part["n"].to_numpy(), part["m"].to_numpy(), part["anchor"].to_numpy(), group[a:b])
+                for long, table_ in enumerate(tables):
+                    for i in np.flatnonzero(table_.any(1)).tolist():
+                        key, doc, start = part["doc_key"].iat[i], part["doc_id"].iat[i], part["start"].iat[i]
+                        out += [(key, doc, start + f, 0 if long else t - f, t - f if long else 0) for f, t in runs(table_[i])]
+        return pd.DataFrame(out, columns=["doc_key", "doc_id", "start", "n", "m"]).astype({"doc_key": "int64", "doc_id": "int64", "start": "int32", "n": "int32", "m": "int32"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -247,26 +299,26 @@ def search(contexts: DataFrame, partitions: int) -> DataFrame:
 
 
 def cut_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Joins (doc_key, doc_id, list of runs) to the texts and cuts the contexts' bytes."""
-    lists = wanted.groupBy("doc_key", "doc_id").agg(F.collect_list(F.struct("key", "pairs", "start", "n", "anchor")).alias("runs"))
-    joined = docs.join(lists, ["doc_key", "doc_id"]).withColumn("raw", F.col("text").cast("binary"))
-    one = joined.select("doc_key", "doc_id", "raw", F.explode("runs").alias("r"))
-    one = one.select("doc_key", "doc_id", "r.*", F.substring(F.col("raw"), F.col("r.start") + 1, F.col("r.n") + LENGTH - 1).alias("bytes"))
-    return one.select("key", F.explode("pairs").alias("pair"), "doc_key", "doc_id", "start", "n", "anchor", "bytes")
+    """Joins (doc_key, doc_id, list of runs) to the texts and cuts the contexts' bytes, before a row is made of each."""
+    lists = wanted.groupBy("doc_key", "doc_id").agg(F.collect_list(F.struct("key", "pairs", "start", "n", "m", "anchor")).alias("runs"))
+    cut = lambda r: F.struct(*(r[c].alias(c) for c in ("key", "pairs", "start", "n", "m", "anchor")), F.substring(F.col("raw"), r["start"] + 1, r["n"] + LENGTH - 1).alias("bytes"))
+    one = docs.join(lists, ["doc_key", "doc_id"]).select("doc_key", "doc_id", F.explode(F.transform("runs", cut)).alias("r"))
+    return one.select("r.key", F.explode("r.pairs").alias("pair"), "doc_key", "doc_id", "r.start", "r.n", "r.m", "r.anchor", "r.bytes")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_key, doc_id, start, n): runs of starts of LENGTH-byte strings that also start elsewhere.
+    """(doc_key, doc_id, start, n, m): runs of n starts of SHORT-byte strings, and of m starts of LENGTH-byte strings, that also
+    start elsewhere.
 
-    docs: (doc_key, doc_id, text), the key a hash of the text. Rows that agree in both are copies of each other.
+    docs: (doc_key, doc_id, raw), the key a hash of the bytes. Rows that agree in both are copies of each other.
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = materialize(scan(docs), "repeats-anchors")
-    same = found.groupBy("key", "context").agg(F.count("*").alias("copies"), F.min(F.struct("doc_key", "doc_id", "start", "n", "anchor")).alias("first"))
+    same = found.groupBy("key", "context").agg(F.count("*").alias("copies"), F.min(F.struct("doc_key", "doc_id", "start", "n", "m", "anchor")).alias("first"))
     same = materialize(same, "repeats-contexts")
     twice = same.where("copies > 1").select(F.col("key").alias("k"), F.col("context").alias("c"))
-    whole = found.join(twice, (F.col("key") == F.col("k")) & (F.col("context") == F.col("c")), "left_semi").select("doc_key", "doc_id", "start", "n")
+    whole = found.join(twice, (F.col("key") == F.col("k")) & (F.col("context") == F.col("c")), "left_semi").select("doc_key", "doc_id", "start", "n", "m")
     shared = same.groupBy("key").agg(F.count("*").alias("m"), F.min("copies").alias("least")).where("m > 1 and least = 1").select(F.col("key").alias("k"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     lead = same.join(shared, F.col("key") == F.col("k")).withColumn("block", F.pmod("context", F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, F.col("block")) * F.col("blocks") + F.greatest(j, F.col("block")))
@@ -274,50 +326,56 @@ def repeated(docs: DataFrame) -> DataFrame:
     return whole.unionByName(search(cut_contexts(docs, wanted), partitions))
 
 
-RESULT = "n_bytes long, n_removed long, n_spans long, kept string, kept_sha256 string"
+RESULT = "n_bytes long, n_removed long, n_spans long, kept string, kept_sha256 string, n_shared long"
+
+
+def cover(size: int, start: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
+    """Which of `size` bytes lie in strings of `length` bytes that begin at runs of n starts."""
+    edge = np.zeros(size + 1, np.int32)
+    a, k = start[n > 0], n[n > 0]
+    np.add.at(edge, a, 1)
+    np.add.at(edge, a + k + length - 1, -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
 def remove(docs: DataFrame, digests: bool = False) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, and the kept bytes (as text where they are UTF-8,
-    else with U+FFFD) or only their SHA-256.
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, the kept bytes (as text where they are UTF-8,
+    else with U+FFFD) or only their SHA-256, and n_shared: bytes in strings of SHORT bytes that also start elsewhere.
 
     Null text is empty. Texts under LENGTH bytes are kept whole. Repeated rows are copies, so each loses all
-    strings of LENGTH bytes. A null doc_id is allowed (it stands as the least long meanwhile). Other columns are ignored.
-    The texts are dealt by document once: the join that cuts contexts and the last one share that exchange, since both
-    read the same three columns, none of which can be null.
+    strings of LENGTH bytes. Very long texts are scanned in chunks that overlap, none of it is left out; ties of hashes only mean that
+    strings meet that turn out to differ; an empty table gives no rows. A null doc_id is allowed (it stands as the least long
+    meanwhile). Other columns are ignored. The texts are dealt by document once: the join that cuts contexts and the last one
+    share that exchange, since both read the same three columns, none of which can be null.
     """
-    text = F.coalesce("text", F.lit(""))
-    docs = docs.select(F.xxhash64(text).alias("doc_key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text.alias("text"))
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    docs = docs.select(F.xxhash64(raw).alias("doc_key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), raw.alias("raw"))
     found = repeated(docs)
-    lists = found.distinct().groupBy("doc_key", "doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    rows = docs.join(lists, ["doc_key", "doc_id"], "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("_id"), "text", F.col("runs.start").alias("starts"), F.col("runs.n").alias("ns"))
+    lists = found.distinct().groupBy("doc_key", "doc_id").agg(F.collect_list(F.struct("start", "n", "m")).alias("runs"))
+    rows = docs.join(lists, ["doc_key", "doc_id"], "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("_id"), "raw", *(F.col(f"runs.{c}").alias(c) for c in ("start", "n", "m")))
     out = StructType(rows.select(F.col("_id").alias("doc_id")).schema.fields + StructType.fromDDL(RESULT).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, gone, spans, kept, digest = [], [], [], [], []
-            for text, starts, ns in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
-                data = text.as_py().encode("utf-8")
+            size, gone, spans, kept, digest, shared = [], [], [], [], [], []
+            for text, *lists in zip(*(batch.column(i) for i in range(1, 5)), strict=True):
+                data, removed, runs_, in_short = text.as_py(), 0, 0, 0
                 size.append(len(data))
-                if starts.is_valid and len(starts):
-                    a = np.asarray(starts.values, np.int64)
-                    b = a + np.asarray(ns.values, np.int64) + LENGTH - 1
-                    edge = np.zeros(len(data) + 1, np.int32)
-                    np.add.at(edge, a, 1)
-                    np.add.at(edge, b, -1)
-                    cover = np.cumsum(edge[:-1]) > 0
-                    gone.append(int(cover.sum()))
-                    spans.append(len(runs(cover)))
-                    data = np.frombuffer(data, np.uint8)[~cover].tobytes()
-                else:
-                    gone.append(0)
-                    spans.append(0)
+                if lists[0].is_valid and len(lists[0]):
+                    start, n, m = (np.asarray(x.values, np.int64) for x in lists)
+                    long = cover(len(data), start, m, LENGTH)
+                    removed, runs_, in_short = int(long.sum()), len(runs(long)), int(cover(len(data), start, n, SHORT).sum())
+                    data = np.frombuffer(data, np.uint8)[~long].tobytes()
+                gone.append(removed)
+                spans.append(runs_)
+                shared.append(in_short)
                 kept.append(None if digests else data.decode("utf-8", "replace"))
                 digest.append(hashlib.sha256(data).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string()), pa.array(digest, pa.string())], names=out.names)
+            numbers = [pa.array(c, pa.int64()) for c in (size, gone, spans, shared)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers[:3], pa.array(kept, pa.string()), pa.array(digest, pa.string()), numbers[3]], names=out.names)
 
     return rows.mapInArrow(run, out)
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove(table(spark, sf_dir, "documents"), digests=True).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove(table(spark, sf_dir, "documents"), digests=True).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared")

@@ -179,23 +179,70 @@ def test_ann_completes_scattered_queries_beside_copies(spark):
     assert {r.vec_id for r in ann.neighbours(few, 5, F.expr("vec_id = 1 and v[0] = 2")).collect()} == {2, 3}
 
 
-def test_repeats_against_brute_force(spark, monkeypatch):
+def repeats_by_brute_force(rows):
+    """Counter of (doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared)."""
+    raw = [(i, (t or "").encode()) for i, t in rows]
+    want = Counter()
+    seen = {k: Counter(b[s : s + k] for _, b in raw for s in range(len(b) - k + 1)) for k in (repeats.LENGTH, repeats.SHORT)}
+    for i, b in raw:
+        gone = {k: np.zeros(len(b), bool) for k in seen}
+        for k in seen:
+            for s in range(len(b) - k + 1):
+                if seen[k][b[s : s + k]] > 1:
+                    gone[k][s : s + k] = True
+        g = gone[repeats.LENGTH]
+        want[(i, len(b), int(g.sum()), len(repeats.runs(g)), hashlib.sha256(np.frombuffer(b, np.uint8)[~g].tobytes()).hexdigest(), int(gone[repeats.SHORT].sum()))] += 1
+    return want
+
+
+@pytest.mark.parametrize("shard", [3, 10, 1024])
+def test_merged_transforms_find_repeated_starts(monkeypatch, shard):
+    monkeypatch.setattr(repeats, "SHARD", shard)
+    rng = np.random.default_rng(shard)
+    middle = [rng.integers(97, 99, 700, dtype=np.uint8).tobytes() for _ in range(3)]
+    texts, n, m, anchor, group = [], [], [], [], []
+    for i in range(40):
+        g, before, after = i % 4, int(rng.integers(0, 200)), int(rng.integers(280, 600))
+        part = middle[g % 3][300 - before : 300 + after]
+        cut = int(rng.integers(0, len(part)))
+        part = part[:cut] + bytes([rng.integers(97, 99)]) + part[cut + 1 :]
+        starts = min(before + 1, len(part) - repeats.SHORT + 1)
+        texts.append(part)
+        n.append(starts)
+        m.append(max(0, min(starts, len(part) - repeats.LENGTH + 1)))
+        anchor.append(before)
+        group.append(g)
+    want = np.zeros((40, max(n)), bool), np.zeros((40, max(n)), bool)
+    for table, limit, size in ((want[0], n, repeats.SHORT), (want[1], m, repeats.LENGTH)):
+        for i in range(40):
+            for s in range(limit[i]):
+                for j in range(40):
+                    k = anchor[j] - anchor[i] + s
+                    if i != j and group[i] == group[j] and 0 <= k < limit[j] and texts[i][s : s + size] == texts[j][k : k + size]:
+                        table[i, s] = True
+    got = repeats.repeated_starts(texts, *map(np.array, (n, m, anchor, group)))
+    assert want[0].any() and want[1].any() and (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
+def test_anchors_in_chunks(monkeypatch):
+    data = np.random.default_rng(3).integers(97, 100, 5000, dtype=np.uint8)
+    whole = [x for part in repeats.anchors(data) for x in zip(*part)]
+    monkeypatch.setattr(repeats, "CHUNK", 700)
+    parts = [x for part in repeats.anchors(data) for x in zip(*part)]
+    at = lambda rows: {(int(r[2]) + i, int(r[0]), int(r[2] + r[5]), i < r[4]) for r in rows for i in range(r[3])}
+    assert at(whole) == at(parts) and len(at(whole)) == 5000 - repeats.SHORT + 1
+
+
+@pytest.mark.parametrize("block", [2048, 6])
+def test_repeats_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(repeats, "BLOCK", block)
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefgh é") for _ in range(rng.randint(1, 9)))
     passage = " ".join(word() for _ in range(160))
-    rows = [(i, " ".join(word() for _ in range(rng.randint(0, 200))) + passage[rng.randint(0, 90) : rng.randint(500, 800)] + word()) for i in range(25)]
-    rows += [(30, "ab " * 400), (31, None), (32, rows[0][1]), (32, rows[0][1]), (33, "short"), (34, "short")]
-    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove(spark.createDataFrame(rows, "doc_id long, text string"), digests=True).collect())
-    seen = Counter(b[i : i + 400] for _, t in rows for b in [(t or "").encode()] for i in range(len(b) - 399))
-    want = Counter()
-    for i, t in rows:
-        b = (t or "").encode()
-        gone = np.zeros(len(b), bool)
-        for s in range(len(b) - 399):
-            if seen[b[s : s + 400]] > 1:
-                gone[s : s + 400] = True
-        want[(i, len(b), int(gone.sum()), len(repeats.runs(gone)), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())] += 1
-    assert got == want
+    rows = [(i, " ".join(word() for _ in range(rng.randint(0, 200))) + passage[rng.randint(0, 90) : rng.randint(300, 800)] + word()) for i in range(25)]
+    rows += [(30, "ab " * 400), (31, None), (32, rows[0][1]), (32, rows[0][1]), (33, "short"), (34, "short"), (None, rows[1][1] + "!"), (35, "x" + passage[:285] + "y"), (36, "\0" * 300), (37, "a" + "\0" * 500)]
+    got = Counter(tuple(r) for r in repeats.remove(spark.createDataFrame(rows, "doc_id long, text string"), digests=True).drop("kept").collect())
+    assert got == repeats_by_brute_force(rows)
 
 
 def test_chat_round_trip(spark):
