@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -37,7 +37,8 @@ CHUNK, POSITION = 1 << 20, 24
 BLOCK = 2048
 #: Contexts of a shard; a portion is closed at the first group's end with four times so many.
 SHARD = 1024
-ROW = "key long, context long, doc_key long, doc_id long, start int, n int, m int, anchor int"
+#: `place` holds a run's start, its number n of starts (at most SHORT - GRAM + 1) and the anchor's offset (less than that) in one number.
+ROW = "key long, context long, doc_key long, doc_id long, place long"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,8 +66,8 @@ def least(x: np.ndarray, size: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """For a whole document's bytes: arrays (key, context hash, start, n, m, anchor offset from start), one entry for each
-    run of consecutive starts of SHORT-byte strings with the same anchor; from the first m of the n starts LENGTH bytes can be read."""
+    """For a whole document's bytes: arrays (key, context hash, place), one entry for each run of consecutive starts of
+    SHORT-byte strings with the same anchor."""
     size = len(data)
     salt = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
     digest = xxhash.xxh3_64_intdigest
@@ -78,12 +79,17 @@ def anchors(data: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         first = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
         n = np.diff(np.append(first, len(low)))
         place = (low[first] & np.uint64((1 << POSITION) - 1)).astype(np.int64)
-        start = first + at
-        m = np.clip(size - LENGTH + 1 - start, 0, n)
         raw = data[at : at + CHUNK + LENGTH + SHORT].tobytes()
         context = np.array([digest(raw[a:b]) for a, b in zip(first.tolist(), (first + n + LENGTH - 1).tolist(), strict=True)], np.uint64)
         context = mixed(context ^ (n.astype(np.uint64) << np.uint64(32)) ^ (place - first).astype(np.uint64))
-        yield grams[place].view(np.int64), context.view(np.int64), start.astype(np.int32), n.astype(np.int32), m.astype(np.int32), (place - first).astype(np.int32)
+        yield grams[place].view(np.int64), context.view(np.int64), (first + at) << 16 | n << 8 | (place - first)
+
+
+def unpacked(place) -> tuple:
+    """Start, n and anchor offset; of a column or of an array."""
+    if isinstance(place, Column):
+        return F.shiftright(place, 16).cast("int"), F.shiftright(place, 8).bitwiseAND(F.lit(255)).cast("int"), place.bitwiseAND(F.lit(255)).cast("int")
+    return place >> 16, place >> 8 & 255, place & 255
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -262,7 +268,7 @@ FOUND = "doc_key long, doc_id long, start int, n int, m int"
 
 
 def search(contexts: DataFrame, partitions: int) -> DataFrame:
-    """contexts: (key, pair, doc_key, doc_id, start, n, m, anchor, bytes), grouped by (key, pair). Runs of repeated starts: of n
+    """contexts: (key, pair, doc_key, doc_id, place, bytes), grouped by (key, pair). Runs of repeated starts: of n
     starts of SHORT bytes, or of m starts of LENGTH bytes."""
     ordered = contexts.repartition(partitions, "key", "pair").sortWithinPartitions("key", "pair")
 
@@ -278,10 +284,12 @@ def search(contexts: DataFrame, partitions: int) -> DataFrame:
                     cut.append(e)
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 part = pdf.iloc[a:b]
-                tables = repeated_starts(part["bytes"].tolist(), part["n"].to_numpy(), part["m"].to_numpy(), part["anchor"].to_numpy(), group[a:b])
+                texts, (starts, n, anchor) = part["bytes"].tolist(), unpacked(part["place"].to_numpy())
+                m = np.clip(np.array([len(t) for t in texts]) - LENGTH + 1, 0, n)
+                tables = repeated_starts(texts, n, m, anchor, group[a:b])
                 for long, table_ in enumerate(tables):
                     for i in np.flatnonzero(table_.any(1)).tolist():
-                        key, doc, start = part["doc_key"].iat[i], part["doc_id"].iat[i], part["start"].iat[i]
+                        key, doc, start = part["doc_key"].iat[i], part["doc_id"].iat[i], int(starts[i])
                         out += [(key, doc, start + f, 0 if long else t - f, t - f if long else 0) for f, t in runs(table_[i])]
         return pd.DataFrame(out, columns=["doc_key", "doc_id", "start", "n", "m"]).astype({"doc_key": "int64", "doc_id": "int64", "start": "int32", "n": "int32", "m": "int32"})
 
@@ -300,25 +308,25 @@ def search(contexts: DataFrame, partitions: int) -> DataFrame:
 
 def cut_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Joins (doc_key, doc_id, list of runs) to the texts and cuts the contexts' bytes, before a row is made of each."""
-    lists = wanted.groupBy("doc_key", "doc_id").agg(F.collect_list(F.struct("key", "pairs", "start", "n", "m", "anchor")).alias("runs"))
-    cut = lambda r: F.struct(*(r[c].alias(c) for c in ("key", "pairs", "start", "n", "m", "anchor")), F.substring(F.col("raw"), r["start"] + 1, r["n"] + LENGTH - 1).alias("bytes"))
+    lists = wanted.groupBy("doc_key", "doc_id").agg(F.collect_list(F.struct("key", "pairs", "place")).alias("runs"))
+    cut = lambda r: F.struct(*(r[c].alias(c) for c in ("key", "pairs", "place")), F.substring(F.col("raw"), unpacked(r["place"])[0] + 1, unpacked(r["place"])[1] + LENGTH - 1).alias("bytes"))
     one = docs.join(lists, ["doc_key", "doc_id"]).select("doc_key", "doc_id", F.explode(F.transform("runs", cut)).alias("r"))
-    return one.select("r.key", F.explode("r.pairs").alias("pair"), "doc_key", "doc_id", "r.start", "r.n", "r.m", "r.anchor", "r.bytes")
+    return one.select("r.key", F.explode("r.pairs").alias("pair"), "doc_key", "doc_id", "r.place", "r.bytes")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """(doc_key, doc_id, start, n, m): runs of n starts of SHORT-byte strings, and of m starts of LENGTH-byte strings, that also
-    start elsewhere.
+    start elsewhere; m is -1 for all of the n starts from which LENGTH bytes can be read.
 
     docs: (doc_key, doc_id, raw), the key a hash of the bytes. Rows that agree in both are copies of each other.
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = materialize(scan(docs), "repeats-anchors")
-    same = found.groupBy("key", "context").agg(F.count("*").alias("copies"), F.min(F.struct("doc_key", "doc_id", "start", "n", "m", "anchor")).alias("first"))
+    same = found.groupBy("key", "context").agg(F.count("*").alias("copies"), F.min(F.struct("doc_key", "doc_id", "place")).alias("first"))
     same = materialize(same, "repeats-contexts")
     twice = same.where("copies > 1").select(F.col("key").alias("k"), F.col("context").alias("c"))
-    whole = found.join(twice, (F.col("key") == F.col("k")) & (F.col("context") == F.col("c")), "left_semi").select("doc_key", "doc_id", "start", "n", "m")
+    whole = found.join(twice, (F.col("key") == F.col("k")) & (F.col("context") == F.col("c")), "left_semi").select("doc_key", "doc_id", *(c.alias(name) for c, name in zip(unpacked(F.col("place")), ("start", "n"), strict=False)), F.lit(-1).alias("m"))
     shared = same.groupBy("key").agg(F.count("*").alias("m"), F.min("copies").alias("least")).where("m > 1 and least = 1").select(F.col("key").alias("k"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     lead = same.join(shared, F.col("key") == F.col("k")).withColumn("block", F.pmod("context", F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, F.col("block")) * F.col("blocks") + F.greatest(j, F.col("block")))
@@ -363,6 +371,7 @@ def remove(docs: DataFrame, digests: bool = False) -> DataFrame:
                 size.append(len(data))
                 if lists[0].is_valid and len(lists[0]):
                     start, n, m = (np.asarray(x.values, np.int64) for x in lists)
+                    m = np.where(m < 0, np.clip(len(data) - LENGTH + 1 - start, 0, n), m)
                     long = cover(len(data), start, m, LENGTH)
                     removed, runs_, in_short = int(long.sum()), len(runs(long)), int(cover(len(data), start, n, SHORT).sum())
                     data = np.frombuffer(data, np.uint8)[~long].tobytes()

@@ -229,7 +229,7 @@ def test_anchors_in_chunks(monkeypatch):
     whole = [x for part in repeats.anchors(data) for x in zip(*part)]
     monkeypatch.setattr(repeats, "CHUNK", 700)
     parts = [x for part in repeats.anchors(data) for x in zip(*part)]
-    at = lambda rows: {(int(r[2]) + i, int(r[0]), int(r[2] + r[5]), i < r[4]) for r in rows for i in range(r[3])}
+    at = lambda rows: {(start + i, int(key), start + anchor) for key, _, place in rows for start, n, anchor in [repeats.unpacked(int(place))] for i in range(n)}
     assert at(whole) == at(parts) and len(at(whole)) == 5000 - repeats.SHORT + 1
 
 
