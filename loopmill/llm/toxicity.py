@@ -263,7 +263,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     some = some.withColumn("_r", F.row_number().over(Window.partitionBy("toxic").orderBy("_h"))).where(F.col("_r") <= TRAIN_ROWS).select("doc_id", "toxic")
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
     rows = found.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
-    return fit_in_task(rows.repartition(1).sortWithinPartitions("doc_id", "toxic"), trained, Model)
+    model = fit_in_task(rows.repartition(1).sortWithinPartitions("doc_id", "toxic"), trained, Model)
+    if model:  # the sample may hold the classes in other shares than all labels do
+        shares = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
+        model.logistic[-1] += np.log(shares[1] / shares[0]) - np.log(min(shares[1], TRAIN_ROWS) / min(shares[0], TRAIN_ROWS))
+    return model
 
 
 SCHEMA = "score double"
