@@ -23,7 +23,7 @@ def shift(x: Column, n: int) -> Column:
 
 def uniform(seed: Column, n: Column) -> Column:
     """Draw n (from 1) in [0, 1)."""
-    state = (seed.cast("long") + n * STATE_STEP).bitwiseAND(F.lit(MASK))
+    state = (seed.cast("long") + n.cast("long") * STATE_STEP).bitwiseAND(F.lit(MASK))
     t = multiply32(state.bitwiseXOR(shift(state, 15)), state.bitwiseOR(F.lit(FIRST_OR)))
     mixed = (t + multiply32(t.bitwiseXOR(shift(t, 7)), t.bitwiseOR(F.lit(SECOND_OR)))).bitwiseAND(F.lit(MASK))
     t = t.bitwiseXOR(mixed)

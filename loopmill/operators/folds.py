@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loopmill.functions import geo
 from loopmill.operators.routes import measured
 
 # Fixed values, in metres.
 ARROW_SPACING, ARROW_START, ARROW_LEAST_EDGE = 220.0, 110.0, 5.0
-POINT_SPACING = 25.0
+POINT_SPACING, PASS_OFFSET = 25.0, 3.5
 
 
 def ordered(steps: DataFrame) -> DataFrame:
@@ -32,15 +33,23 @@ def marked(rows: DataFrame, start: float, at_least: float, shortest: float, last
 
 
 def direction_arrows(steps: DataFrame) -> DataFrame:
-    """A midpoint and a bearing about every 220 m."""
-    m = measured(steps)
+    """A midpoint and a bearing about every 220 m, with the trail flag and the pass over the segment; later passes are shifted to the right."""
+    low, high = F.least("from_id", "to_id"), F.greatest("from_id", "to_id")
+    m = measured(steps).withColumn("pass", F.row_number().over(Window.partitionBy("route_id", "way_id", low, high).orderBy("step")))
     at = marked(ordered(steps), ARROW_START, ARROW_SPACING, ARROW_LEAST_EDGE, False)
-    return m.join(at, (m["route_id"] == at["route_id"]) & (m["step"] == at["mark"])).select(m["route_id"], "step", ((F.col("lat1") + F.col("lat2")) / 2).alias("lat"), ((F.col("lon1") + F.col("lon2")) / 2).alias("lon"), "bearing")
+    m = m.join(at.withColumnRenamed("mark", "step"), ["route_id", "step"])
+    lat, lon = (F.col("lat1") + F.col("lat2")) / 2, (F.col("lon1") + F.col("lon2")) / 2
+    moved = geo.offset_point(lat, lon, F.pmod(F.col("bearing") + 90, F.lit(360.0)), (F.col("pass") - 1) * PASS_OFFSET)
+    again = F.col("pass") > 1
+    return m.select("route_id", "step", F.when(again, moved["lat"]).otherwise(lat).alias("lat"), F.when(again, moved["lon"]).otherwise(lon).alias("lon"), "bearing", "is_trail", "pass")
 
 
 def decimated_points(steps: DataFrame) -> DataFrame:
-    """(route_id, step): ends of steps kept at least every 25 m; the first and the last step always count."""
-    return marked(ordered(steps), 1e18, POINT_SPACING, -1.0, True).withColumnRenamed("mark", "step")
+    """(route_id, step, lat, lon): the start (step -1), then ends of steps kept at least every 25 m; the first and the last step always count."""
+    kept = marked(ordered(steps), 1e18, POINT_SPACING, -1.0, True).withColumnRenamed("mark", "step")
+    ends = steps.join(kept, ["route_id", "step"]).select("route_id", F.col("step").cast("int").alias("step"), F.col("lat2").alias("lat"), F.col("lon2").alias("lon"))
+    start = steps.groupBy("route_id").agg(F.min_by(F.struct("lat1", "lon1"), "step").alias("s")).select("route_id", F.lit(-1).alias("step"), F.col("s.lat1").alias("lat"), F.col("s.lon1").alias("lon"))
+    return start.unionByName(ends)
 
 
 def best_results(results: DataFrame) -> DataFrame:
@@ -54,7 +63,5 @@ def best_results(results: DataFrame) -> DataFrame:
 
 def recent(results: DataFrame, n: int = 8) -> DataFrame:
     """The last n of each key."""
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("ts"), F.desc("seq")))
     return results.withColumn("place", rank).where(F.col("place") <= n)

@@ -94,3 +94,32 @@ def split_segments(segments: DataFrame, snaps: DataFrame) -> DataFrame:
     cuts = segments.select(*key, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t")).unionByName(inner.join(segments.select(*key), key, "left_semi")).distinct()
     after = F.lead("t").over(Window.partitionBy(*key).orderBy("t"))
     return cuts.select(*key, F.col("t").alias("from_t"), after.alias("to_t")).where("to_t is not null")
+
+
+def split_edges(edges: DataFrame, segments: DataFrame, snaps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges with each cut segment's two directions replaced by those of its pieces, and the new nodes.
+
+    Node ids are text in both. Several feet on one segment are chained in order, so a new node's id also holds its place: snap:way:a:b:t. Pieces keep the
+    way, its name and flags. New nodes (node_id, lat, lon, has_signal, has_busy_road, degree) have no signal, are busy as the way is and have degree 2.
+    edges(way_id, from_id, to_id, distance, name, is_trail, is_busy, ...); segments and snaps as in split_segments.
+    """
+    pieces = split_segments(segments, snaps).where((F.col("from_t") > 0) | (F.col("to_t") < 1))
+    p = pieces.join(segments.select("way_id", "a", "b", "lat1", "lon1", "lat2", "lon2"), ["way_id", "a", "b"])
+    text_of = lambda c: F.col(c).cast("string")
+    name = lambda t: F.when(F.col(t) <= 0, text_of("a")).when(F.col(t) >= 1, text_of("b")).otherwise(F.concat_ws(":", F.lit("snap"), text_of("way_id"), text_of("a"), text_of("b"), F.format_string("%.6f", t)))
+    at = lambda t, c: F.col(f"{c}1") + F.col(t) * (F.col(f"{c}2") - F.col(f"{c}1"))
+    p = p.withColumns({"m": name("from_t"), "n": name("to_t"), "mlat": at("from_t", "lat"), "mlon": at("from_t", "lon"), "nlat": at("to_t", "lat"), "nlon": at("to_t", "lon")})
+    p = p.withColumn("metres", geo.haversine(*(F.col(c) for c in ("mlat", "mlon", "nlat", "nlon"))))
+    low, high = F.least("from_id", "to_id"), F.greatest("from_id", "to_id")
+    e = edges.withColumns({"_a": low, "_b": high})
+    cut = p.select("way_id", F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"), F.col("a").alias("_from"), "m", "n", "metres", "nlat", "nlon", "to_t")
+    ends = [c for c in edges.columns if c not in ("edge_key", "reverse_key", "from_id", "to_id", "distance")]
+    key = lambda x, y: F.concat(text_of("way_id"), F.lit(":"), F.col(x), F.lit(">"), F.col(y))
+    whole = e.join(cut.select("way_id", "_a", "_b").distinct(), ["way_id", "_a", "_b"], "left_anti").select(*ends, text_of("from_id").alias("from_id"), text_of("to_id").alias("to_id"), "distance")
+    forth = F.col("from_id") == F.col("_from")
+    halves = e.join(cut, ["way_id", "_a", "_b"]).select(*ends, F.when(forth, F.col("m")).otherwise(F.col("n")).alias("from_id"), F.when(forth, F.col("n")).otherwise(F.col("m")).alias("to_id"), F.col("metres").alias("distance"))
+    both = whole.unionByName(halves)
+    busy = edges.groupBy("way_id").agg(F.bool_or("is_busy").alias("has_busy_road"))
+    nodes = cut.where("to_t < 1").select("way_id", F.col("n").alias("node_id"), F.col("nlat").alias("lat"), F.col("nlon").alias("lon")).join(busy, "way_id")
+    nodes = nodes.select("node_id", "lat", "lon", F.lit(False).alias("has_signal"), "has_busy_road", F.lit(2).alias("degree"))
+    return both.withColumns({"edge_key": key("from_id", "to_id"), "reverse_key": key("to_id", "from_id")}), nodes

@@ -30,6 +30,9 @@ def measured(steps: DataFrame) -> DataFrame:
 
 
 def route_summary(steps: DataFrame, target_m: float = 5000.0) -> DataFrame:
+    """Metrics of each route against its own `target_m`, or the given one where the steps have no such column; without a
+    target (0 or less) the error is 0."""
+    steps = steps if "target_m" in steps.columns else steps.withColumn("target_m", F.lit(target_m))
     again = F.row_number().over(Window.partitionBy("route_id", "way_id", "from_id", "to_id").orderBy("step"))
     m = measured(steps).withColumn("again", again)
     # a visit is tiny if its node was first reached less than a tenth of a mile before
@@ -38,26 +41,27 @@ def route_summary(steps: DataFrame, target_m: float = 5000.0) -> DataFrame:
     m = m.withColumns({"first_seen": first, "start": start})
     total, trail = F.sum("distance"), F.sum(F.when(F.col("is_trail"), F.col("distance")).otherwise(0.0))
     out = m.groupBy("route_id").agg(
-        total.alias("distance_m"), trail.alias("trail_m"),
+        F.max("target_m").alias("target_m"), total.alias("distance_m"), trail.alias("trail_m"),
         F.count_distinct(F.when(F.col("to_signal"), F.col("to_id"))).alias("signal_count"),
         F.when(total > 0, 1 - F.sum(F.when(F.col("again") > 1, F.col("distance")).otherwise(0.0)) / total).otherwise(1.0).alias("new_street_fraction"),
         F.count_if(F.col("turn").isin("turn", "sharp")).alias("turn_count"), F.count_if(F.col("turn") == "sharp").alias("sharp_turn_count"),
         F.count_if((F.col("to_id") != F.col("start")) & (F.col("so_far") - F.col("first_seen") < TINY_LOOP_M)).alias("tiny_loop_count"),
     )
     share = F.when(F.col("distance_m") > 0, F.col("trail_m") / F.col("distance_m")).otherwise(0.0)
-    out = out.withColumns({"trail_fraction": share, "error_m": F.abs(F.col("distance_m") - target_m)})
+    out = out.withColumns({"trail_fraction": share, "error_m": F.when(F.col("target_m") > 0, F.abs(F.col("distance_m") - F.col("target_m"))).otherwise(0.0)})
+    # fixed values: the coefficients of both scores
     size = 0.02 * F.col("distance_m") + 25 * share - 2 * F.col("signal_count") - 4 * F.col("turn_count") - 5 * F.col("sharp_turn_count") - 40 * F.col("tiny_loop_count")
     combined = F.col("error_m") / geo.METRES_PER_MILE + 0.004 * (F.col("turn_count") + F.col("sharp_turn_count")) - 0.18 * share + 1.2 * F.col("tiny_loop_count")
     return out.withColumns({"size_score": size, "combined_score": combined})
 
 
 def no_reversal(steps: DataFrame) -> DataFrame:
-    """(route_id, clean): no step runs a segment against an earlier step."""
+    """(route_id, clean): no step runs a segment against an earlier step, steps on edges that are `exempt` (if there is such a column) aside."""
     low, high = F.least("from_id", "to_id"), F.greatest("from_id", "to_id")
     w = Window.partitionBy("route_id", "way_id", "low", "high").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     s = steps.withColumns({"low": low, "high": high, "up": F.col("from_id") <= F.col("to_id")})
     s = s.withColumn("against", F.coalesce(F.when(F.col("up"), F.max((~F.col("up")).cast("int")).over(w)).otherwise(F.max(F.col("up").cast("int")).over(w)), F.lit(0)))
-    return s.groupBy("route_id").agg((F.max("against") == 0).alias("clean"))
+    return s.groupBy("route_id").agg((F.max(F.when(F.col("exempt"), 0).otherwise(F.col("against")) if "exempt" in steps.columns else F.col("against")) == 0).alias("clean"))
 
 
 def pass_stats(steps: DataFrame) -> DataFrame:
@@ -66,8 +70,9 @@ def pass_stats(steps: DataFrame) -> DataFrame:
 
 
 def route_checks(steps: DataFrame) -> DataFrame:
+    """(route_id, contiguous, closed), and uses_excluded where the steps have the flag `excluded`."""
     s = steps.withColumn("came", F.lag("to_id").over(along()))
-    return s.groupBy("route_id").agg(F.bool_and(F.coalesce(F.col("came") == F.col("from_id"), F.lit(True))).alias("contiguous"), (F.min_by("from_id", "step") == F.max_by("to_id", "step")).alias("closed"))
+    return s.groupBy("route_id").agg(F.bool_and(F.coalesce(F.col("came") == F.col("from_id"), F.lit(True))).alias("contiguous"), (F.min_by("from_id", "step") == F.max_by("to_id", "step")).alias("closed"), *([F.bool_or("excluded").alias("uses_excluded")] if "excluded" in steps.columns else []))
 
 
 def segments(steps: DataFrame) -> DataFrame:
@@ -102,12 +107,44 @@ def bounding_boxes(steps: DataFrame) -> DataFrame:
     return box.withColumn("span", F.greatest(F.col("max_lat") - F.col("min_lat"), F.col("max_lon") - F.col("min_lon"), F.lit(1e-6)))
 
 
+#: Side and padding of a thumbnail.
+THUMBNAIL, PADDING = 56.0, 5.0
+
+
+def fitted_points(steps: DataFrame, size: float = THUMBNAIL) -> DataFrame:
+    """(route_id, idx, x, y): the route's points in a square of `size`, one scale for both axes, centred, north up."""
+    p = route_points(steps)
+    box = p.groupBy("route_id").agg(*(f(c).alias(f"{n}_{c}") for c in ("lat", "lon") for n, f in (("min", F.min), ("max", F.max))))
+    span = lambda c: F.greatest(F.col(f"max_{c}") - F.col(f"min_{c}"), F.lit(1e-6))
+    room = size - 2 * PADDING
+    box = box.withColumns({"span_lat": span("lat"), "span_lon": span("lon")}).withColumn("scale", F.least(room / F.col("span_lon"), room / F.col("span_lat")))
+    x = (size - F.col("span_lon") * F.col("scale")) / 2 + (F.col("lon") - F.col("min_lon")) * F.col("scale")
+    y = size - ((size - F.col("span_lat") * F.col("scale")) / 2 + (F.col("lat") - F.col("min_lat")) * F.col("scale"))
+    return p.join(box, "route_id").select("route_id", "idx", x.alias("x"), y.alias("y"))
+
+
+def route_points(steps: DataFrame) -> DataFrame:
+    """(route_id, idx, lat, lon, at_m): the start at 0, then the end of each step with the distance so far."""
+    m = measured(steps)
+    point = lambda i, lat, lon, at: F.struct(i.alias("idx"), F.col(lat).alias("lat"), F.col(lon).alias("lon"), at.alias("at_m"))
+    end = point(F.col("place"), "lat2", "lon2", F.col("so_far"))
+    start = point(F.lit(0), "lat1", "lon1", F.lit(0.0))
+    m = m.withColumn("place", F.row_number().over(along()))
+    return m.select("route_id", F.explode(F.when(F.col("place") == 1, F.array(start, end)).otherwise(F.array(end))).alias("p")).select("route_id", "p.*")
+
+
+#: The head of a document and the schema's namespace.
+XML_HEAD, GPX_NAMESPACE = '<?xml version="1.0" encoding="UTF-8"?>', "http://www.topografix.com/GPX/1/1"
+
+
 def to_gpx(steps: DataFrame) -> DataFrame:
-    """(route_id, document) with one rtept for each point."""
-    point = F.format_string('<rtept lat="%.6f" lon="%.6f"></rtept>', F.col("lat2"), F.col("lon2"))
-    body = steps.groupBy("route_id").agg(F.sort_array(F.collect_list(F.struct("step", point.alias("x")))).alias("p"), F.min_by("name", "step").alias("name"))
+    """(route_id, document) with one rtept for each point, the start first."""
+    point = F.format_string('<rtept lat="%.6f" lon="%.6f"></rtept>', F.col("lat"), F.col("lon"))
+    body = route_points(steps).groupBy("route_id").agg(F.sort_array(F.collect_list(F.struct("idx", point.alias("x")))).alias("p"))
+    named = steps.groupBy("route_id").agg(F.min_by("name", "step").alias("name"))
     name = text.xml_escape(F.col("name"))
-    return body.select("route_id", F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1"><metadata><name>'), name, F.lit("</name></metadata><rte><name>"), name, F.lit("</name>"), F.concat_ws("", F.col("p.x")), F.lit("</rte></gpx>")).alias("document"))
+    head = F.lit(f'{XML_HEAD}<gpx version="1.1" creator="loopmill" xmlns="{GPX_NAMESPACE}"><metadata><name>')
+    return body.join(named, "route_id").select("route_id", F.concat(head, name, F.lit("</name></metadata><rte><name>"), name, F.lit("</name>"), F.concat_ws("", F.col("p.x")), F.lit("</rte></gpx>")).alias("document"))
 
 
 def polyline_runs(steps: DataFrame) -> DataFrame:

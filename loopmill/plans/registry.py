@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loopmill.functions import draws, geo, text, weights
+from loopmill.functions import geo, text, weights
 from loopmill.functions import tags as T
 from loopmill.operators import backbone, bridges, choice, folds, graph, network, places, requests, routes, spatial
+from loopmill.plans import town
+from loopmill.plans.sql import NODES, REFS, STEPS, brg, hav
 from loopmill.sources import tables
 from loopmill.streaming import history, live
 
@@ -110,14 +112,6 @@ def route_elevation(spark, d):
     return routes.elevation_totals(profile)
 
 
-def route_arrows(spark, d):
-    return folds.direction_arrows(tables.order_routes(spark, d)).groupBy("route_id").agg(F.count("*").alias("arrows"), F.round(F.sum("bearing"), 1).alias("bearings"))
-
-
-def route_points_kept(spark, d):
-    return folds.decimated_points(tables.order_routes(spark, d))
-
-
 def results(spark, d):
     return tables.read(spark, d, "events").where("value is not null").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("error_m"))
 
@@ -135,30 +129,10 @@ def debounced_queries(spark, d):
     return live.debounced(rows, "1 hour").groupBy("key").agg(F.count("*").alias("bursts"), F.round(F.sum("value"), 3).alias("total"))
 
 
-def seeded_draws(spark, d):
-    u = draws.uniform(F.col("o_orderkey"), F.lit(1).cast("long"))
-    return tables.read(spark, d, "orders").select("o_orderkey", F.round(u, 9).alias("u"))
-
-
 def links(spark, d):
     return graph.undirected(parts(spark, d)[2].where("is_trail"))
 
 
-def trail_clusters(spark, d):
-    found, own = graph.components(links(spark, d)), links(spark, d)
-    metres = own.join(found, own["u"] == found["node_id"]).groupBy("cluster_id").agg(F.round(F.sum("distance"), 1).alias("trail_m"))
-    return metres.join(found.groupBy("cluster_id").agg(F.count("*").alias("n_nodes")), "cluster_id")
-
-
-def dead_ends(spark, d):
-    return graph.dead_end_spurs(links(spark, d)).select("way_id", "u", "v")
-
-
-def start_distances(spark, d):
-    starts = tables.read(spark, d, "supplier").select(F.col("s_suppkey").alias("request_id"), F.col("s_suppkey").alias("node_id"))
-    return graph.network_distances(starts, parts(spark, d)[2], 1500.0).withColumn("metres", F.round("metres", 2))
-
-
 def geocoded_requests(spark, d):
     return places.geocode(tables.address_requests(spark, d), tables.gazetteer(spark, d))
 
@@ -281,10 +255,6 @@ def hull_corners(spark, d):
     return backbone.hull_nodes(backbone.convex_hull(requests.nodes_around(at, tables.grid_nodes(spark, d))), at)
 
 
-def bridge_links(spark, d):
-    return bridges.bridges(links(spark, d)).select("way_id", "u", "v", "worthwhile")
-
-
 def trail_edge_counts(spark, d):
     """Trail edges by use: dead ends, those exempt (worthwhile bridges and ways out for each supplier's start), the rest."""
     found = graph.settled(bridges.bridges(links(spark, d)), "bridges")
@@ -309,18 +279,6 @@ def session_history(spark, d):
     return history.history(rows).withColumn("error_m", F.round("error_m", 4))
 
 
-def hav(a, b, c, e):
-    h = f"(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({e} - {b}) / 2), 2))"
-    return f"(2 * 6371000.0 * atan2(sqrt({h}), sqrt(1 - {h})))"
-
-
-def brg(a, b, c, e):
-    raw = f"(degrees(atan2(sin(radians({e} - {b})) * cos(radians({c})), cos(radians({a})) * sin(radians({c})) - sin(radians({a})) * cos(radians({c})) * cos(radians({e} - {b})))) + 360)"
-    return f"({raw} - 360 * floor({raw} / 360))"
-
-
-NODES = "side as (select ceil(sqrt(count(*)))::bigint as w from part), nodes as (select p_partkey as node_id, 39.95 + 0.0012 * (p_partkey // w) as lat, -75.16 + 0.0012 * (p_partkey % w) as lon, p_partkey % w > 0 and p_partkey // w > 0 and (p_partkey % w + p_partkey // w) % 5 = 0 as has_signal from part, side)"
-REFS = "refs as (select l_orderkey as way_id, list(l_partkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) as refs, list(l_suppkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) as supp from lineitem group by 1)"
 WAYS = """tagged as (select o_orderkey as way_id, case substr(o_orderpriority, 1, 1) when '1' then 'primary' when '2' then 'residential' when '3' then 'footway' when '4' then 'service' else 'track' end as highway,
   case when o_orderstatus = 'P' then 'private' else '' end as access, case when o_orderkey % 5 = 0 then '' else 'Street ' || (o_orderkey % 97) end as name, o_orderkey % 11 = 0 as dirt from orders),
 ways as (select t.way_id, highway, highway = 'primary' as busy, highway in ('footway', 'track') or dirt as trail, access <> 'private' as accessible, highway = 'service' and t.name = '' as junk,
@@ -330,12 +288,6 @@ long as (select s.*, {hav('x.lat', 'x.lon', 'y.lat', 'y.lon')} as distance from
 edges as (select way_id, highway, busy, trail, name, distance, from_id, to_id, way_id || ':' || from_id || '>' || to_id as edge_key, way_id || ':' || to_id || '>' || from_id as reverse_key
   from (select *, a as from_id, b as to_id, 2 * pos as seq from long union all select *, b, a, 2 * pos + 1 from long) where distance >= 0.5 qualify row_number() over (partition by way_id, from_id, to_id order by seq) = 1)"""
 NET = f"with {NODES}, {REFS}, {WAYS}, {EDGES}"
-STEPS = f"""with {NODES}, {REFS}, raw as (select way_id as route_id, refs, supp, unnest(range(1, len(refs) + 1)) as i from refs),
-steps as (select route_id, i - 1 as step, refs[i] as from_id, refs[case when i = len(refs) then 1 else i + 1 end] as to_id, supp[i] % 5 as way_id, 'Street ' || (supp[i] % 5) as name, supp[i] % 5 = 0 as is_trail from raw),
-placed as (select s.*, x.lat as lat1, x.lon as lon1, y.lat as lat2, y.lon as lon2, y.has_signal as to_signal, {hav('x.lat', 'x.lon', 'y.lat', 'y.lon')} as distance, {brg('x.lat', 'x.lon', 'y.lat', 'y.lon')} as bearing from steps s join nodes x on x.node_id = from_id join nodes y on y.node_id = to_id),
-lagged as (select *, lag(bearing) over w as before, lag(way_id) over w as way_before, sum(distance) over w as so_far from placed window w as (partition by route_id order by step rows unbounded preceding)),
-angled as (select *, case when way_before is null or way_before = way_id then 0 else least(abs(bearing - before), 360 - abs(bearing - before)) end as angle from lagged),
-measured as (select *, case when angle < 25 then 'straight' when angle < 45 then 'slight' when angle < 120 then 'turn' else 'sharp' end as turn from angled)"""
 RESULTS = "with results as (select user_id as key, ts, event_id as seq, value as error_m from events where value is not null)"
 CUST = "with pts as (select c_custkey as point_id, 39.95 + (c_custkey % 101) * 0.00053 as lat, -75.16 + (c_custkey % 89) * 0.00061 as lon, 39.951 + (c_custkey % 13) * 0.0007 as lat2, -75.158 + (c_custkey % 17) * 0.0009 as lon2, c_nationkey from customer)"
 CAND = "with c as (select o_custkey as request_id, row_number() over (partition by o_custkey order by o_orderkey) - 1 as i, ((o_orderkey * 37) % 400)::double as error_m, (o_orderkey * 37) % 400 <= 80.4672 as within_tolerance, (o_orderkey * 13) % 80 as turn_count, case when o_orderkey % 7 = 0 then 1 else 0 end::bigint as tiny_loop_count, (4000 + o_orderkey % 1000)::double as distance_m, o_orderkey % 5 > 0 as available, ((o_orderkey * 17) % 300)::double as gain_m, case when o_custkey % 2 = 0 then 100.0 end::double as min_ft, case when o_custkey % 3 > 0 then 400.0 end::double as max_ft from orders)"
@@ -376,7 +328,8 @@ select route_id, signal_count, turn_count, sharp_turn_count, tiny_loop_count, ro
     "route_cues": f"""{STEPS}, turns as (select route_id, step as seq, case when (bearing - before + 540) - 360 * floor((bearing - before + 540) / 360) - 180 < 0 then 'Left' else 'Right' end as kind, so_far - distance as at_m, name from measured where turn in ('turn', 'sharp')), ends as (select route_id, max(step) as last, max(so_far) as total from measured group by 1)
 select route_id, seq, kind, round(at_m, 2) as at_m, 'Turn ' || lower(kind) || ' onto ' || name as notes from turns union all select route_id, -1, 'Start', 0, 'Start' from ends union all select route_id, last + 1, 'Finish', round(total, 2), 'Finish' from ends""",
     "route_boxes": f"{STEPS} select route_id, round(min(lat2), 4) as min_lat, round(max(lat2), 4) as max_lat, round(min(lon2), 4) as min_lon, round(max(lon2), 4) as max_lon, round(greatest(max(lat2) - min(lat2), max(lon2) - min(lon2), 1e-6), 4) as span from placed group by 1",
-    "route_gpx": f"""{STEPS} select route_id, '<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1"><metadata><name>' || arg_min(name, step) || '</name></metadata><rte><name>' || arg_min(name, step) || '</name>' || string_agg(format('<rtept lat="{{:.6f}}" lon="{{:.6f}}"></rtept>', lat2, lon2), '' order by step) || '</rte></gpx>' as document from placed group by 1""",
+    "route_gpx": f"""{STEPS}, pts as (select route_id, step + 1 as idx, lat2 as lat, lon2 as lon from placed union all select route_id, 0, lat1, lon1 from placed where step = 0), names as (select route_id, arg_min(name, step) as name from placed group by 1)
+  select route_id, '<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1" creator="loopmill" xmlns="http://www.topografix.com/GPX/1/1"><metadata><name>' || any_value(name) || '</name></metadata><rte><name>' || any_value(name) || '</name>' || string_agg(format('<rtept lat="{{:.6f}}" lon="{{:.6f}}"></rtept>', lat, lon), '' order by idx) || '</rte></gpx>' as document from pts join names using (route_id) group by 1""",
     "route_elevation": f"{STEPS}, e as (select route_id, step, case when to_id % 3 > 0 then (to_id % 50)::double end as elev from placed), n as (select route_id, count(*) as n, count(elev) as known from e group by 1), g as (select route_id, elev - lag(elev) over (partition by route_id order by step) as d from e where elev is not null), s as (select route_id, sum(case when d > 1 then d else 0 end) as up, sum(case when d < -1 then -d else 0 end) as down from g group by 1) select route_id, known >= greatest(2, n / 2) as available, case when known >= greatest(2, n / 2) then up else 0 end::double as gain_m, case when known >= greatest(2, n / 2) then down else 0 end::double as loss_m from n left join s using (route_id)",
     "geocoded_requests": r"""with r as (select c_custkey as request_id, (case when c_custkey % 3 = 0 then '' else (c_custkey % 50) || ' ' end) || 'Street ' || (c_custkey % 97) as address from customer),
 g as (select *, row_number() over (partition by address order by k) as rank from (select o_orderkey as k, (case when o_orderkey % 3 = 0 then '' else (o_orderkey % 50) || ' ' end) || 'Street ' || (o_orderkey % 101) as address from orders)),
@@ -415,4 +368,5 @@ select request_id, unnest(list_reduce(r, lambda a, x: case when not (a.within_to
     "debounced_queries": f"{RESULTS}, b as (select *, sum(case when ts - before <= interval 1 hour then 0 else 1 end) over (partition by key order by ts, seq) as burst from (select *, lag(ts) over (partition by key order by ts, seq) as before from results)) select key, count(*) as bursts, round(sum(v), 3) as total from (select key, burst, arg_max(error_m, struct_pack(t := ts, s := seq)) as v from b group by 1, 2) group by 1",
 }
 ORACLE["located_requests"] = f"select g.request_id, case when g.request_id % 8 = 0 then 1.0 else lat end::double as lat, case when g.request_id % 8 = 0 then 2.0 else lon end::double as lon, case when g.request_id % 8 = 0 then 'picked' when lat is not null then 'geocoded' else 'none' end as source from ({ORACLE['geocoded_requests']}) g"
-QUERIES = {f.__name__: f for f in (network_edges, network_nodes, network_summary, turn_table, tag_rules, geo_scalars, nearest_nodes, text_rules, route_summary, route_reversals, route_passes, route_checks, route_segments, route_render, route_cues, route_boxes, route_gpx, route_elevation, route_arrows, route_points_kept, recent_results, best_results, debounced_queries, seeded_draws, trail_clusters, dead_ends, start_distances, geocoded_requests, address_suggestions, route_point_elevation, route_runs, route_tcx, snapped_points, split_streets, seeds_compared, elevation_choice, regenerated_routes, search_stats, route_laps, step_weights, legal_steps, valid_requests, repeated_requests, located_requests, near_ways, near_nodes, hull_corners, bridge_links, trail_edge_counts, trail_targets, session_history)}
+QUERIES = {f.__name__: f for f in (network_edges, network_nodes, network_summary, turn_table, tag_rules, geo_scalars, nearest_nodes, text_rules, route_summary, route_reversals, route_passes, route_checks, route_segments, route_render, route_cues, route_boxes, route_gpx, route_elevation, recent_results, best_results, debounced_queries, geocoded_requests, address_suggestions, route_point_elevation, route_runs, route_tcx, snapped_points, split_streets, seeds_compared, elevation_choice, regenerated_routes, search_stats, route_laps, step_weights, legal_steps, valid_requests, repeated_requests, located_requests, near_ways, near_nodes, hull_corners, trail_edge_counts, trail_targets, session_history)} | town.QUERIES
+ORACLE |= town.ORACLE

@@ -71,6 +71,27 @@ def grid_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.where("e is not null").select("e.way_id", "a", "e.b", "lat1", "lon1").join(far, "b")
 
 
+def town_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both directions of about 70 % of the grid's streets: rows and columns with names, some trails, every sixth row busy.
+
+    Trails fall into many clusters with tails, cycles and bridges.
+    """
+    from loopmill.functions import geo
+
+    s = grid_streets(spark, sf_dir).where((F.col("way_id") * F.col("way_id") * 31 + F.col("way_id") * 7) % 1009 < 706)
+    side = int(read(spark, sf_dir, "part").count() ** 0.5 - 1e-9) + 1
+    w, row = F.col("way_id"), F.col("way_id") % 2 == 0
+    s = s.withColumns({
+        "name": F.when(row, F.concat(F.lit("Row "), F.floor(F.col("a") / side).cast("string"))).otherwise(F.concat(F.lit("Col "), (F.col("a") % side).cast("string"))),
+        "is_trail": (w * w * 17 + w * 5) % 997 < 560, "is_busy": row & (F.floor(F.col("a") / side) % 6 == 5),
+        "distance": geo.haversine(*(F.col(c) for c in ("lat1", "lon1", "lat2", "lon2"))),
+    })
+    end = lambda x, y, turn: F.struct(F.col(x).alias("from_id"), F.col(y).alias("to_id"), (2 * w + turn).alias("adj_seq"))
+    both = s.select("way_id", "name", "is_trail", "is_busy", "distance", F.explode(F.array(end("a", "b", 0), end("b", "a", 1))).alias("e")).select("way_id", "name", "is_trail", "is_busy", "distance", "e.*")
+    key = lambda x, y: F.concat(w.cast("string"), F.lit(":"), F.col(x).cast("string"), F.lit(">"), F.col(y).cast("string"))
+    return both.withColumns({"edge_key": key("from_id", "to_id"), "reverse_key": key("to_id", "from_id")})
+
+
 def order_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """candidates(request_id, i, ...): the orders of a customer, in order, stand for the routes found from successive seeds."""
     o, k = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("o_orderkey")

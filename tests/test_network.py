@@ -10,7 +10,7 @@ from loopmill.functions import draws, geo, text
 from loopmill.functions import tags as T
 from loopmill.operators import choice, folds, graph, network, places, routes, spatial
 from loopmill.plans import registry
-from loopmill.sources import tables
+from loopmill.sources import sinks, tables
 
 DATA = "/root/testdata/sf0.001"
 
@@ -18,12 +18,12 @@ DATA = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("part", "orders", "lineitem", "customer", "events"):
+    for t in ("part", "orders", "lineitem", "customer", "events", "supplier"):
         c.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     return c
 
 
-@pytest.mark.parametrize("name", ["network_summary", "turn_table", "route_summary", "route_checks", "nearest_nodes", "best_results", "geocoded_requests", "address_suggestions", "route_tcx", "snapped_points", "split_streets", "seeds_compared", "elevation_choice", "search_stats", "route_laps"])
+@pytest.mark.parametrize("name", ["network_summary", "turn_table", "route_summary", "route_checks", "nearest_nodes", "best_results", "geocoded_requests", "address_suggestions", "route_tcx", "snapped_points", "split_streets", "seeds_compared", "elevation_choice", "search_stats", "route_laps", "town_turns", "town_split", "trail_clusters", "dead_ends", "bridge_links", "start_distances", "town_loops", "route_choice", "route_arrows", "route_points_kept", "route_track", "route_thumbnails", "seeded_draws", "route_gpx"])
 def test_against_sql(spark, con, name):
     got, want = registry.QUERIES[name](spark, DATA).toPandas(), con.sql(registry.ORACLE[name]).df()
     key = lambda d: sorted((tuple(None if v is None or v != v else round(float(v), 4) if isinstance(v, float) else str(v) for v in r) for r in d[sorted(d.columns)].itertuples(index=False)), key=str)
@@ -88,7 +88,7 @@ def test_nearest_node_far_and_ties(spark):
 def test_folds_against_loops(spark):
     steps = tables.order_routes(spark, DATA)
     got = {}
-    for r in folds.decimated_points(steps).collect():
+    for r in folds.decimated_points(steps).where("step >= 0").collect():
         got.setdefault(r.route_id, []).append(r.step)
     rows = sorted((r.route_id, r.step, r.distance) for r in routes.measured(steps).collect())
     want, n = {}, {}
@@ -131,3 +131,17 @@ def test_choice_is_a_fold_in_seed_order(spark):
     shown = spark.createDataFrame([(1, True, 10.0), (2, True, 10.0), (3, False, 900.0)], "request_id int, within_tolerance boolean, error_m double")
     tries = spark.createDataFrame([(1, 0, False, 0.0), (1, 1, True, 50.0), (2, 0, False, 0.0)], "request_id int, i int, within_tolerance boolean, error_m double")
     assert {r.request_id: r.i for r in choice.regenerated(shown, tries).collect()} == {1: 1, 2: None, 3: None}
+
+
+def test_summary_without_target_and_exempt_reversal(spark):
+    steps = tables.order_routes(spark, DATA).where("route_id < 5").withColumn("target_m", F.lit(0.0))
+    assert routes.route_summary(steps).where("error_m <> 0").isEmpty()
+    there_and_back = spark.createDataFrame([(1, 0, 1, 2, 9, True), (1, 1, 2, 1, 9, True), (2, 0, 1, 2, 9, False), (2, 1, 2, 1, 9, False)], "route_id int, step int, from_id int, to_id int, way_id int, exempt boolean")
+    assert {r.route_id: r.clean for r in routes.no_reversal(there_and_back).collect()} == {1: True, 2: False}
+
+
+def test_sink_by_region(spark, tmp_path):
+    df = sinks.with_region(tables.grid_nodes(spark, DATA))
+    sinks.write_table(df, str(tmp_path / "nodes"), ["region"])
+    back = spark.read.parquet(str(tmp_path / "nodes"))
+    assert back.count() == df.count() and back.where("region is null").isEmpty() and len(list((tmp_path / "nodes").glob("region=*"))) == df.select("region").distinct().count()
