@@ -25,8 +25,10 @@ from pyspark.sql.types import StructType
 from .common import process_cache, table, without
 
 #: Bounds of the tables a process keeps; a full table is started anew, which costs time only.
-MAX_STATES = 300_000
+MAX_STATES = 200_000
 MAX_WORDS = 250_000
+#: Rows that are coded and passed on at once.
+ROWS = 500
 NEVER = 1 << 60
 
 
@@ -287,7 +289,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str, keep: list[str] | None =
         coder = codec(path, pattern)
         gc.disable()  # tens of thousands of live states make its passes the largest cost; reset() collects
         try:
-            for batch in batches:
+            for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
                 n, first, second = [], [], []
                 for text in batch.column(batch.num_columns - 1):
                     ids = coder.encode(text.as_py())

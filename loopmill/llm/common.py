@@ -81,6 +81,7 @@ def fit_in_task(sample: DataFrame, make: Callable, kind: type):
     arrays never reach the driver, only the model's attributes do, a few MB. None if make gives None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_here().clear()  # tables that this process keeps for other operators make room
         rows = (row for batch in batches for at in range(0, batch.num_rows, 64) for row in batch.slice(at, 64).to_pylist())
         model = make(rows)
         if model is not None:
@@ -94,12 +95,15 @@ def fit_in_task(sample: DataFrame, make: Callable, kind: type):
     return model
 
 
+def kept_here() -> dict:
+    return sys.__dict__.setdefault("_loopmill_kept", {})
+
+
 def process_cache(key: str, make):
     """A value kept for the life of this Python process, such as a tokenizer's tables."""
-    kept = sys.__dict__.setdefault("_loopmill_kept", {})
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    if key not in kept_here():
+        kept_here()[key] = make()
+    return kept_here()[key]
 
 
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:

@@ -178,29 +178,35 @@ def nystrom_svm(positive: list[str], negative: list[str], landmarks: list[str])
     for j, (code, value) in enumerate(rows):
         np.add.at(small[:, j], index[code], value)
 
-    def kernel(words: list[str]) -> np.ndarray:
-        out = []
+    def kernel(words: list[str], to_map: np.ndarray | None = None) -> np.ndarray:
+        """Products with the landmarks, or their image under to_map and a one."""
+        out, at = np.ones((len(words), len(marks) if to_map is None else to_map.shape[1] + 1), np.float32), 0
         for g in by(words):
-            for k in range(0, len(g), 256):
-                code, value = feature(g[k : k + 256])
+            for k in range(0, len(g), 128):
+                code, value = feature(g[k : k + 128])
                 part = np.zeros((len(code), len(used) + 1), np.float32)
                 np.add.at(part, (np.arange(len(code))[:, None], index[code]), value)
-                out.append(part @ small)
-        return np.vstack(out)
+                part = part @ small
+                out[at : at + len(part), : out.shape[1] - (to_map is not None)] = part if to_map is None else part @ to_map
+                at += len(part)
+        return out
 
     value, vector = np.linalg.eigh(kernel(marks).astype(float))
     keep = value > 1e-4 * value.max()
-    to_map = vector[:, keep] / np.sqrt(value[keep])
-    x = np.vstack([kernel(positive), kernel(negative)]) @ to_map
-    x = np.hstack([x, np.ones((len(x), 1))])
+    to_map = (vector[:, keep] / np.sqrt(value[keep])).astype(np.float32)
+    x = np.vstack([kernel(positive, to_map), kernel(negative, to_map)])
     y = np.repeat([1.0, -1.0], [len(positive), len(negative)])
     cost = np.repeat([0.3 * max(1.0, len(negative) / max(1, len(positive))), 1.0], [len(positive), len(negative)])
     w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-1)
     ridge[-1] = 1e-6
     for _ in range(40):  # Newton steps on the active set
-        on = y * (x @ w) < 1
-        a = x[on] * cost[on, None]
-        new = np.linalg.solve(a.T @ x[on] + np.diag(ridge), a.T @ y[on])
+        on = np.flatnonzero(y * (x @ w) < 1)
+        left, right = np.diag(ridge), np.zeros(x.shape[1])
+        for k in range(0, len(on), 4096):
+            part = x[on[k : k + 4096]].astype(float)
+            a = part * cost[on[k : k + 4096], None]
+            left, right = left + a.T @ part, right + a.T @ y[on[k : k + 4096]]
+        new = np.linalg.solve(left, right)
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
