@@ -25,8 +25,8 @@ from pyspark.sql.types import StructType
 from .common import process_cache, table, without
 
 #: Bounds of the tables a process keeps; a full table is started anew, which costs time only.
-MAX_STATES = 200_000
-MAX_WORDS = 250_000
+MAX_STATES = 100_000
+MAX_WORDS = 100_000
 #: Rows that are coded and passed on at once.
 ROWS = 500
 NEVER = 1 << 60

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
 import sys
 import tempfile
@@ -81,7 +82,7 @@ def fit_in_task(sample: DataFrame, make: Callable, kind: type):
     arrays never reach the driver, only the model's attributes do, a few MB. None if make gives None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_here().clear()  # tables that this process keeps for other operators make room
+        make_room()
         rows = (row for batch in batches for at in range(0, batch.num_rows, 64) for row in batch.slice(at, 64).to_pylist())
         model = make(rows)
         if model is not None:
@@ -99,9 +100,17 @@ def kept_here() -> dict:
     return sys.__dict__.setdefault("_loopmill_kept", {})
 
 
+def make_room() -> None:
+    """Frees the tables that this Python process keeps for other operators."""
+    if kept_here():
+        kept_here().clear()
+        gc.collect()
+
+
 def process_cache(key: str, make):
-    """A value kept for the life of this Python process, such as a tokenizer's tables."""
+    """A value kept in this Python process, such as a tokenizer's tables, until another operator needs the room."""
     if key not in kept_here():
+        make_room()
         kept_here()[key] = make()
     return kept_here()[key]
 

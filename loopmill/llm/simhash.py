@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import components, materialize, table, without
+from .common import components, make_room, materialize, table, without
 
 BITS = 4
 SHINGLE = 4
@@ -58,7 +58,8 @@ def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
     out = StructType(rows.drop("_text").schema.fields + StructType.fromDDL("fp long").fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        make_room()
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             values = np.array([fingerprint(t.as_py()) for t in batch.column(batch.num_columns - 1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(values, pa.int64())], names=out.names)
 

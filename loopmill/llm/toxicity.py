@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import fit_in_task, table, without
+from .common import fit_in_task, make_room, table, without
 
 ORDER, SPAN, DECAY = 4, 7, 0.7
 #: Subsequences are hashed to so many bits.
@@ -37,7 +37,7 @@ EVIDENCE = 8.0
 #: alike, 1 a missed and a wrongly flagged document.
 PRIOR_SHARE = 0.5
 #: Words of a portion and of each of the two tables of scores that a process keeps.
-MAX_WORDS = 250_000
+MAX_WORDS = 100_000
 SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][\s.*_-]{1,3}){3,}[^\W\d_](?!\w)")
 NO_LETTER = re.compile(r"[\W\d_]+")
 
@@ -291,6 +291,7 @@ def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         model = shared.value
         words = WordScores(model.weights, model.bias) if model else None
         for batch in batches:
