@@ -6,7 +6,7 @@ hypothesis is (last token, place in the trie of tokens), and a determinised stat
 the bytes so far allow, without their outputs, so that states recur in other words. A transition names for each hypothesis of the next state the one
 it came from and the token it completed. Since every prefix has one encoding only, hypotheses differ in no token that
 ended further back than the longest token is long: what lies before is emitted, and the rest when the string ends.
-States and transitions are made when first needed and kept for the process.
+States and transitions are made when first needed and kept for the task.
 """
 
 from __future__ import annotations
@@ -24,9 +24,9 @@ from pyspark.sql.types import StructType
 
 from .common import process_cache, table, without
 
-#: Bounds of the tables a process keeps; a full table is started anew, which costs time only.
-MAX_STATES = 100_000
-MAX_WORDS = 100_000
+#: Bounds of the tables a task fills; a full table is started anew, which costs time only.
+MAX_STATES = 250_000
+MAX_WORDS = 300_000
 #: Rows that are coded and passed on at once.
 ROWS = 500
 NEVER = 1 << 60
@@ -69,6 +69,7 @@ class Transducer:
         self.states: dict[tuple, tuple] = {}
         self.origins: dict[tuple, tuple] = {}
         gc.collect()  # states refer to each other
+        self.stable_pairs.clear()
         self.start = self.state((0,))
 
     def last_merge(self, piece: bytes) -> list[bytes]:
@@ -109,14 +110,11 @@ class Transducer:
             i, j = (i + 1, j) if x_until <= y_until else (i, j + 1)
 
     def follows(self, last: int, token: int) -> bool:
-        """stable() of the token numbered last - 1 and `token`, kept; nothing (0) comes before a string's first token."""
-        pair = last << 32 | token
-        known = self.stable_pairs.get(pair)
-        if known is None:
-            if len(self.stable_pairs) >= MAX_STATES:
-                self.stable_pairs.clear()
-            known = self.stable_pairs[pair] = not last or self.stable(last - 1, token)
-        return known
+        """stable() of the token numbered last - 1 and `token`, to be kept; nothing (0) comes before a string's first token."""
+        if len(self.stable_pairs) >= MAX_STATES:
+            self.stable_pairs.clear()
+        found = self.stable_pairs[last << 32 | token] = not last or self.stable(last - 1, token)
+        return found
 
     def state(self, hypotheses: tuple) -> tuple:
         """hypotheses: last token plus 1 (0 at the start) and trie node, as one number, those whose unfinished token began first coming first."""
@@ -127,7 +125,7 @@ class Transducer:
 
     def step(self, state: tuple, byte: int) -> tuple:
         hypotheses, back, ended = [], [], None
-        kids, ends, bits = self.kids, self.ends, self.bits
+        kids, ends, bits, pairs = self.kids, self.ends, self.bits, self.stable_pairs
         mask = (1 << bits) - 1
         for k, h in enumerate(state[1]):
             child = kids[h & mask].get(byte)
@@ -137,8 +135,11 @@ class Transducer:
                 hypotheses.append(h & ~mask | child)
                 back.append((k, None))
             token = ends[child]
-            if token is not None and ended is None and self.follows(h >> bits, token):
-                ended = k, token  # at most one: a prefix has one encoding
+            if token is not None and ended is None:
+                last = h >> bits
+                stable = pairs.get(last << 32 | token)
+                if self.follows(last, token) if stable is None else stable:
+                    ended = k, token  # at most one: a prefix has one encoding
         if ended:
             hypotheses.append((ended[1] + 1) << bits)
             back.append(ended)
@@ -244,9 +245,17 @@ class Codec:
         self.older: dict[str, bytes] = {}
         self.size = 1 + max(self.transducer.token)
         self.bytes_of = [self.transducer.token.get(i, b"") for i in range(self.size)]
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.size)]
+
+    def forget(self) -> None:
+        """Frees the tables a task filled, so that a waiting process holds little beside the ranks."""
+        self.words, self.older = {}, {}
+        self.transducer.reset()
 
     def piece(self, piece: str) -> bytes:
-        ids = self.older.get(piece) or np.array(self.transducer.encode(piece.encode("utf-8")), "<u4").tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = b"".join([self.id_bytes[i] for i in self.transducer.encode(piece.encode("utf-8"))])
         if len(self.words) >= MAX_WORDS:
             self.older, self.words = self.words, {}
         if len(piece) <= 64:
@@ -307,6 +316,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str, keep: list[str] | None =
                 columns = [batch.column(i) for i in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(first, pa.string() if digests else pa.binary()), pa.array(second, pa.string())], names=out.names)
         finally:
+            coder.forget()
             gc.enable()
 
     return rows.mapInArrow(run, out)
