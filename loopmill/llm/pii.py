@@ -45,8 +45,9 @@ def luhn(digits: str) -> bool:
     return (sum(map(int, odd)) + sum(sum(divmod(2 * int(d), 10)) for d in even)) % 10 == 0
 
 
-def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
-    """(kind, start, end) of the patterns' spans in order, and the matches that fail their check."""
+def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """(kind, start, end) of the patterns' spans in order, and the matches that fail their check; runs of fewer digits than a
+    card has are no such matches."""
     kept, failed = [], []
     at, end = text.find("@"), 0
     while at >= 0:
@@ -64,7 +65,10 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
         (3, PHONE, lambda x: 8 <= len(NOT_DIGIT.sub("", x)) <= 15),
     ):
         for m in pattern.finditer(text):
-            (kept if good(m.group()) else failed).append((kind, *m.span()) if good(m.group()) else m.span())
+            if good(m.group()):
+                kept.append((kind, *m.span()))
+            elif kind != 2 or len(NOT_DIGIT.sub("", m.group())) >= 16:
+                failed.append((kind, *m.span()))
     return kept, failed
 
 
@@ -306,18 +310,18 @@ def reconciled(n: int, starts: np.ndarray, labels: np.ndarray, sure: np.ndarray)
     return label[:n], p[:n]
 
 
-def added_spans(text: str, label: np.ndarray, p: np.ndarray, taken: list) -> list[tuple[int, int, int]]:
-    """Spans of a text's reconciled labels that don't meet `taken` (start, end) pairs."""
+def added_spans(text: str, label: np.ndarray, p: np.ndarray, kept: list, failed: Iterable = ()) -> list[tuple[int, int, int]]:
+    """Spans of a text's reconciled labels that meet none of `kept` and none of `failed` of their own kind."""
     kind = (label + 1) // 2
     first = np.flatnonzero((kind > 0) & ((label % 2 == 1) | (kind != np.concatenate(([0], kind[:-1])))))
-    out, used = [], sorted(taken)
+    out = []
     bounds = [*first.tolist(), len(label)]
     for a, end in zip(bounds[:-1], bounds[1:], strict=True):
         stop = np.flatnonzero(kind[a:end] != kind[a])
         b = a + int(stop[0]) if stop.size else end
         if p[a:b].mean() >= SURE and plausible(int(kind[a]) - 1, text[a:b]):
             out.append((int(kind[a]) - 1, a, b))
-    return [s for s in out if all(s[2] <= c or d <= s[1] for c, d in used)]
+    return [s for s in out if all(s[2] <= a or b <= s[1] for k, a, b in [*kept, *(f for f in failed if f[0] == s[0])])]
 
 
 def spans_of(texts: list[str], net: Network | None) -> Iterator[tuple[list, list]]:
@@ -339,7 +343,7 @@ def spans_of(texts: list[str], net: Network | None) -> Iterator[tuple[list, list
             at += len(starts)
             kept, failed = base[i]
             if labels[rows].any():
-                added[i] = added_spans(texts[i], *reconciled(len(texts[i]), starts, labels[rows], sure[rows]), [s[1:] for s in kept] + failed)
+                added[i] = added_spans(texts[i], *reconciled(len(texts[i]), starts, labels[rows], sure[rows]), kept, failed)
     for i, (kept, _) in enumerate(base):
         yield sorted(kept), sorted(kept + added.get(i, []))
 

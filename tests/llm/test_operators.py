@@ -140,6 +140,29 @@ def test_pii_network_learns():
     assert hit >= 80  # of 100
 
 
+class Labeller:
+    """Labels one passage as a span of one kind."""
+
+    def __init__(self, text, passage, kind):
+        self.y = np.zeros(len(text) + 2 * pii.WINDOW, np.int8)
+        a = text.index(passage)
+        self.y[a : a + len(passage)] = 2 + 2 * kind
+        self.y[a] = 1 + 2 * kind
+        self.starts = pii.window_starts(pii.classes_of(text), text)
+
+    def decode(self, x):
+        y = self.y[self.starts[:, None] + np.arange(pii.WINDOW)]
+        return y, np.ones(y.shape, np.float32)
+
+
+@pytest.mark.parametrize("passage,kind,added", [("bob.25(at)mail6(dot)org", 0, True), ("46[.]35[.]149[.]125", 1, True), ("4111.1111.1111.1111", 2, True), ("(216) 555-4155", 3, True), ("99.1.1.1", 1, False)])
+def test_pii_failed_matches_block_their_own_kind_only(passage, kind, added):
+    text = "some words and " + ("9" if not added else "") + passage + " then more words"
+    base, every = next(pii.spans_of([text], Labeller(text, passage, kind)))
+    a = text.index(passage)
+    assert base == [] and every == ([(kind, a, a + len(passage))] if added else [])
+
+
 def test_ann_recall(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(1500, 16))
