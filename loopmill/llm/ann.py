@@ -9,6 +9,7 @@ blocks, so that no group outgrows a task, however many vectors are alike.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, materialize, table
+from .common import fit_in_task, join_small, materialize, process_cache, share, table
 
 #: Documented bound of the sample the index is fitted on, and of the number of cells; vectors a cell.
 TRAIN_ROWS, MIN_CELLS, MAX_CELLS, CELL_ROWS = 20_000, 16, 4096, 3000
@@ -134,18 +135,27 @@ def neighbours(vectors: DataFrame, k: int, is_query, probes: int | None = None)
     if n == 0:
         return spark.createDataFrame([], schema)
     every = -(-n // TRAIN_ROWS)
-    sample = data.where(F.pmod(F.xxhash64("vec_id"), F.lit(every)) == 0).orderBy(F.xxhash64("vec_id")).limit(TRAIN_ROWS).select("vec_id", "v").collect() or [data.first()]
-    index = Index(np.array([r.v for r in sample]), np.array([r.vec_id for r in sample]), max(MIN_CELLS, min(MAX_CELLS, n // CELL_ROWS)))
-    model = spark.sparkContext.broadcast(index)
+    sample = data.where(F.pmod(F.xxhash64("vec_id"), F.lit(every)) == 0).orderBy(F.xxhash64("vec_id")).limit(TRAIN_ROWS).select("vec_id", "v")
+    cells = max(MIN_CELLS, min(MAX_CELLS, n // CELL_ROWS))
+
+    def trained(rows) -> Index | None:
+        part = [(r["vec_id"], r["v"]) for r in rows]
+        return Index(np.array([v for _, v in part]), np.array([i for i, _ in part]), cells) if part else None
+
+    name = f"ann {uuid.uuid4().hex}"
+    shared = share(spark, fit_in_task(sample, trained, Index) or fit_in_task(data.limit(1).select("vec_id", "v"), trained, Index))
+
+    def model() -> Index:
+        return process_cache(name, shared)
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            cell, code = model.value.encode(matrix(pdf["v"]))
+            cell, code = model().encode(matrix(pdf["v"]))
             yield pd.DataFrame({"cell": cell.astype("int32"), "vec_id": pdf["vec_id"], "v": pdf["v"], "code": [c.tobytes() for c in code]})
 
     def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            cells = model.value.probes(matrix(pdf["v"]), pdf["vec_id"].to_numpy(), pdf["own"].to_numpy(), k, counts, probes) if len(pdf) else []
+            cells = model().probes(matrix(pdf["v"]), pdf["vec_id"].to_numpy(), pdf["own"].to_numpy(), k, counts, probes) if len(pdf) else []
             yield pd.DataFrame({"cell": [c.astype("int32") for c in cells], "query_id": pdf["vec_id"], "_q": pdf["_q"], "q": pdf["v"]}).explode("cell").astype({"cell": "int32"})
 
     index = materialize(data.mapInPandas(encoded, "cell int, vec_id long, v array<double>, code binary"), "ann-index")
@@ -171,7 +181,7 @@ def neighbours(vectors: DataFrame, k: int, is_query, probes: int | None = None)
             who, row, q = queries["query_id"].to_numpy(), queries["_q"].to_numpy(), matrix(queries["q"])
             for at in range(0, len(q), 256):
                 part = q[at : at + 256]
-                tables = model.value.tables(part)
+                tables = model().tables(part)
                 about = np.zeros((len(part), len(code)), np.float32)
                 for m in range(PARTS if len(code) > max(RERANK, k) else 0):
                     about += tables[:, m][:, code[:, m]]

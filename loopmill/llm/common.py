@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +97,13 @@ def fit_in_task(sample: DataFrame, make: Callable, kind: type):
     return model
 
 
+def share(spark: SparkSession, model) -> Callable:
+    """A function that gives the model inside tasks. Broadcast values are pickled by reference to this package, which executors may lack;
+    so its bytes are broadcast, with their classes by value."""
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+    return lambda: pickle.loads(shared.value)
+
+
 def kept_here() -> dict:
     return sys.__dict__.setdefault("_loopmill_kept", {})
 

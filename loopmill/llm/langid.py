@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import fit_in_task, process_cache, table, without
+from .common import fit_in_task, process_cache, share, table, without
 
 N_MAX, HASH_BITS = 3, 18
 #: Documented bounds of the sample a model is fitted on: rows a language, rows in all (a row a language at least). Texts are read whole.
@@ -149,10 +149,10 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """
     rows = docs.select(*without(keep, SCHEMA), F.coalesce("text", F.lit("")).alias("_text"))
     out = StructType(rows.drop("_text").schema.fields + StructType.fromDDL(SCHEMA).fields)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, kernel = shared.value, process_cache("langid kernel", Kernel)
+        model, kernel = shared(), process_cache("langid kernel", Kernel)
         vocabulary = model.vocabulary if model else np.zeros(0, int)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import fit_in_task, make_room, table, without
+from .common import fit_in_task, make_room, share, table, without
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -373,16 +373,17 @@ def detect(docs: DataFrame, net: Network | None, keep: list[str], mask: bool = T
     """
     rows = docs.select(*without(keep, SCHEMA), F.col("text").alias("_text"))
     out = StructType(rows.drop("_text").schema.fields + StructType.fromDDL(SCHEMA).fields)
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = share(docs.sparkSession, net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room()
+        net = shared()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = part.column(part.num_columns - 1).to_pylist()
                 n, digest, every, total, masked = [[] for _ in KINDS], [], [], [], []
-                for text, (base, spans) in zip(texts, spans_of([t or "" for t in texts], shared.value), strict=True):
+                for text, (base, spans) in zip(texts, spans_of([t or "" for t in texts], net), strict=True):
                     for k in range(len(KINDS)):
                         n[k].append(sum(s[0] == k for s in base))
                     digest.append(hashlib.sha256(joined(base).encode()).hexdigest())

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import fit_in_task, make_room, table, without
+from .common import fit_in_task, make_room, share, table, without
 
 ORDER, SPAN, DECAY = 4, 7, 0.7
 #: Subsequences are hashed to so many bits.
@@ -288,11 +288,11 @@ def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     and a text of any length is read as a whole, in portions of MAX_WORDS words."""
     rows = docs.select(*without(keep, SCHEMA), F.coalesce("text", F.lit("")).alias("_text"))
     out = StructType(rows.drop("_text").schema.fields + StructType.fromDDL(SCHEMA).fields)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room()
-        model = shared.value
+        model = shared()
         words = WordScores(model.weights, model.bias) if model else None
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
