@@ -5,15 +5,16 @@ from __future__ import annotations
 from .ann import op6_ann
 from .bpe import op4_bpe
 from .chat import op8_chat
+from .infill import op12_infill
 from .langid import op2_language
 from .mixing import op9_mixing
 from .pii import op5_pii
 from .quality import op1_quality
 from .repeats import op7_repeats
 from .simhash import op3_simhash
-from .sql import MIXING, QUALITY, CHAT
+from .sql import CHAT, INFILL, MIXING, QUALITY
 from .toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_simhash, op4_bpe, op5_pii, op6_ann, op7_repeats, op8_chat, op9_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_simhash, op4_bpe, op5_pii, op6_ann, op7_repeats, op8_chat, op9_mixing, op10_toxicity, op12_infill)}
 
-ORACLE = {"op1_quality": QUALITY, "op8_chat": CHAT, "op9_mixing": MIXING}
+ORACLE = {"op1_quality": QUALITY, "op8_chat": CHAT, "op9_mixing": MIXING, "op12_infill": INFILL}

@@ -74,3 +74,15 @@ select doc_id, size, source_size, target,
        (size * (case when size = 0 then 0 else passes + case when passes < 3 and h < coalesce(first_over, 1152921504606846976) then 1 else 0 end end))::bigint as taken
 from docs join ends on docs.source is not distinct from ends.source
 """
+
+INFILL = r"""
+with d as (select doc_id, coalesce(text,'') as text, sha256('42:'||coalesce(doc_id::varchar,'')) as x from documents),
+h as (select doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as u,
+  ('0x'||substr(x,1,8))::bigint as h1, ('0x'||substr(x,9,8))::bigint as h2, ('0x'||substr(x,17,8))::bigint as h3, ('0x'||substr(x,25,8))::bigint as h4 from d),
+c as (select doc_id, text, u, len(u)::bigint as n, least(h1 % (len(u)+1), h2 % (len(u)+1)) as lo, greatest(h1 % (len(u)+1), h2 % (len(u)+1)) as hi,
+  case when text = '' or contains(text,'<P>') or contains(text,'<S>') or contains(text,'<M>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form from h),
+p as (select *, array_to_string(u[1:lo],'') as pre, array_to_string(u[lo+1:hi],'') as mid, array_to_string(u[hi+1:],'') as suf from c)
+select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix_chars, case when form <> 'plain' then length(mid) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>'||pre||'<S>'||suf||'<M>'||mid else '<S>'||suf||'<P>'||pre||'<M>'||mid end) as output_sha256,
+  sha256(case form when 'plain' then text else pre||mid||suf end) as restored_sha256 from p
+"""
