@@ -13,10 +13,10 @@ from .pii import op5_pii
 from .quality import op1_quality
 from .repeats import op7_repeats
 from .simhash import op3_simhash
-from .sql import CHAT, INFILL, MIXING, QUALITY, VARIANTS
+from .sql import CHAT, INFILL, MINHASH, MIXING, QUALITY, VARIANTS
 from .toxicity import op10_toxicity
 from .variants import op11_variants
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_simhash, op4_bpe, op5_pii, op6_ann, op7_repeats, op8_chat, op9_mixing, op10_toxicity, op11_variants, op12_infill, op13_minhash)}
 
-ORACLE = {"op1_quality": QUALITY, "op8_chat": CHAT, "op9_mixing": MIXING, "op11_variants": VARIANTS, "op12_infill": INFILL}
+ORACLE = {"op1_quality": QUALITY, "op8_chat": CHAT, "op9_mixing": MIXING, "op11_variants": VARIANTS, "op12_infill": INFILL, "op13_minhash": MINHASH}

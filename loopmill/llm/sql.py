@@ -119,3 +119,28 @@ chain as (
 ends as (select c.word, c.upto from chain c join forms f on f.word = c.upto where f.form is null)
 select f.word, form, coalesce(upto, f.word) as root, n, n_near, form_n from forms f left join ends e on e.word = f.word
 """
+
+MINHASH = r"""
+with recursive w as (
+  select row_number() over () as rid, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words
+  from documents),
+grams as (
+  select distinct rid, case when len(words) < 5 then array_to_string(words, ' ') else array_to_string(list_slice(words, i, i + 4), ' ') end as g
+  from (select rid, words, unnest(range(1, greatest(len(words) - 3, 2))) as i from w where len(words) > 0)),
+sets as materialized (select rid, count(*) as n, md5(string_agg(g, chr(10) order by g)) as key from grams group by rid),
+one as materialized (select key, min(rid) as rid, any_value(n) as n from sets group by key),
+shared as (
+  select a.rid as a, b.rid as b, count(*) as common_n from grams a join grams b on a.g = b.g and a.rid < b.rid
+  where a.rid in (select rid from one) and b.rid in (select rid from one) group by 1, 2),
+links as materialized (
+  select a, b from shared join one x on x.rid = a join one y on y.rid = b where 100 * common_n >= 85 * (x.n + y.n - common_n)),
+two as materialized (select a, b from links union all select b, a from links),
+reach as (select rid as node, rid as root from one union select b, root from reach join two on a = node),
+class as (select node, min(root) as component from reach group by node),
+member as (select s.rid, s.n, c.component, w.doc_id from sets s join one o using (key) join class c on c.node = o.rid join w on w.rid = s.rid),
+least as (select component, min(doc_id) as component_id from member group by component)
+select w.doc_id, coalesce(m.n, 0) as n_shingles, case when m.rid is null then w.doc_id else l.component_id end as component_id,
+       coalesce(w.doc_id = case when m.rid is null then w.doc_id else l.component_id end, false) as kept
+from w left join member m using (rid) left join least l using (component)
+"""

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -133,7 +134,7 @@ def near_long(vocabulary: DataFrame) -> DataFrame:
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pdf[[one_edit(x, y) for x, y in zip(pdf["a"], pdf["b"], strict=True)]]
+            yield pdf[np.array([one_edit(x, y) for x, y in zip(pdf["a"], pdf["b"], strict=True)], bool)]
 
     pairs = met.mapInPandas(check, "a string, a_n long, b string, b_n long").distinct()
     one = F.lit(1).cast("long").alias("n_near")
