@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -185,6 +186,7 @@ def near_signatures(nodes: tuple, sizes: tuple, symbols: tuple) -> list[tuple[in
 def near_sets(nodes: tuple, words: tuple) -> list[tuple[int, int]]:
     """A spanning forest of the links. Sets are compared by their shingles' hashes; each link found is confirmed on the shingles themselves."""
     digest = xxhash.xxh3_64_intdigest
+    words = [zstandard.decompress(w) for w in words]
     hashes = [np.array([digest(s) for s in shingles(w)], np.uint64) for w in words]
     n = np.array([len(h) for h in hashes])
     values, ids = np.unique(np.concatenate(hashes), return_inverse=True)
@@ -216,13 +218,13 @@ def confirmed(one: bytes, other: bytes) -> bool:
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, words) for wanted(node, digest, first): one row a text, of the row that names it; so copies aren't moved together."""
+    """(node, words) for wanted(node, digest, first): one row a text, of the row that names it; so copies aren't moved together. words are packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room()
         for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             words = [normal(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha256(w).digest()[:16] for w in words], pa.binary()), pa.array(words, pa.binary())], names=["doc_id", "digest", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha256(w).digest()[:16] for w in words], pa.binary()), pa.array([zstandard.compress(w) for w in words], pa.binary())], names=["doc_id", "digest", "words"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").mapInArrow(run, "doc_id long, digest binary, words binary")
     w = wanted.select("node", F.col("digest").alias("_digest"), "first")
