@@ -227,7 +227,8 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha256(w).digest()[:16] for w in words], pa.binary()), pa.array([zstandard.compress(w) for w in words], pa.binary())], names=["doc_id", "digest", "words"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").mapInArrow(run, "doc_id long, digest binary, words binary")
-    w = wanted.select("node", F.col("digest").alias("_digest"), "first")
+    # a list that grows with the texts isn't broadcast, whatever size is guessed for it
+    w = wanted.select("node", F.col("digest").alias("_digest"), "first").hint("merge")
     found = rows.join(w, (rows["digest"] == w["_digest"]) & rows["doc_id"].eqNullSafe(w["first"])).select("node", "words")
     return found.dropDuplicates(["node"])
 
