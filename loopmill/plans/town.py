@@ -1,4 +1,4 @@
-"""Queries over a town's streets (turns, splits, clusters, searched routes) and over routes' points, with the DuckDB SQL of each."""
+"""Queries over a town's streets (turns, splits, clusters) and over routes' points, with the DuckDB SQL of each."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ from loopmill.operators import bridges, choice, folds, graph, places, routes, se
 from loopmill.plans.sql import NODES, STEPS, brg, hav
 from loopmill.sources import tables
 
-#: Metres that distances reach, and the length wanted of each loop.
-NEAR_M, LOOP_M = 420.0, 900.0
+#: Metres that distances reach.
+NEAR_M = 420.0
 
 
 def trails(spark, d):
@@ -58,23 +58,6 @@ def start_distances(spark, d):
     return graph.network_distances(starts, tables.town_edges(spark, d), NEAR_M).withColumn("metres", F.round("metres", 2))
 
 
-def town_requests(spark, d):
-    k = F.col("s_suppkey")
-    return tables.read(spark, d, "supplier").select(k.alias("request_id"), k.alias("at"), F.lit(LOOP_M).alias("target_m"), (k * 13).alias("seed"), F.expr(search.NO_KEYS).alias("used"))
-
-
-def town_loops(spark, d):
-    """For each supplier whether what was found from there, if anything, is a closed walk without gaps and reversals, with the length and error stated."""
-    net = town_net(spark, d)
-    asked = town_requests(spark, d)
-    loops = graph.settled(search.precise_loops(asked, net, tables.grid_nodes(spark, d), 3), "town-loops")
-    steps = search.steps_of(loops.select(F.col("request_id").alias("route_id"), "path"), net)
-    checks = routes.route_checks(steps).join(routes.no_reversal(steps), "route_id").join(routes.route_summary(steps).select("route_id", "distance_m"), "route_id")
-    ok = loops.join(checks, F.col("request_id") == F.col("route_id"))
-    sound = F.col("contiguous") & F.col("closed") & F.col("clean") & (F.abs(F.col("distance_m") - F.col("distance")) < 1e-3) & (F.abs(F.abs(F.col("distance") - LOOP_M) - F.col("error_m")) < 1e-3)
-    return asked.select("request_id").join(ok.select("request_id", sound.alias("sound")), "request_id", "left").select("request_id", F.coalesce("sound", F.lit(True)).alias("sound"))
-
-
 def route_choice(spark, d):
     """The rule that picks among a precise loop, one by the trails, laps and the base; a customer's first four orders stand for them."""
     c = tables.order_candidates(spark, d).where("i < 4").withColumn("place", F.col("i").cast("int"))
@@ -105,7 +88,7 @@ def seeded_draws(spark, d):
     return tables.read(spark, d, "orders").select("o_orderkey", F.round(u, 9).alias("u"))
 
 
-QUERIES = {f.__name__: f for f in (town_turns, town_split, trail_clusters, dead_ends, bridge_links, start_distances, town_loops, route_choice, route_arrows, route_points_kept, route_track, route_thumbnails, seeded_draws)}
+QUERIES = {f.__name__: f for f in (town_turns, town_split, trail_clusters, dead_ends, bridge_links, start_distances, route_choice, route_arrows, route_points_kept, route_track, route_thumbnails, seeded_draws)}
 
 TOWN = f"""
 {NODES},
@@ -212,7 +195,6 @@ walk as (
   select s_suppkey as request_id, s_suppkey as node_id, 0::double as metres from supplier
   union all select request_id, to_id, metres + distance from walk join directed on from_id = node_id where metres + distance <= {NEAR_M})
 select request_id, node_id, round(min(metres), 2) as metres from walk group by 1, 2""",
-    "town_loops": "select s_suppkey as request_id, true as sound from supplier",
     "route_choice": """
 with c as (
   select o_custkey as request_id, row_number() over (partition by o_custkey order by o_orderkey) - 1 as place, ((o_orderkey * 37) % 400)::double as error_m, (o_orderkey * 13) % 80 as turns,
