@@ -10,8 +10,8 @@ from loopmill.plans.sql import brg, hav
 from loopmill.plans.town import LOW32, TOWN, product32, town_net
 from loopmill.sources import tables
 
-#: Metres walked, wanted of a return, and wanted of a loop.
-WALK_M, RETURN_M, LOOP_M = 700.0, 650.0, 900.0
+#: Metres walked, wanted of a return, and wanted of a loop; the cost at which a search for a path gives up.
+WALK_M, RETURN_M, LOOP_M, MOST_COST = 700.0, 650.0, 900.0, 1500.0
 
 
 def starts(spark, d):
@@ -35,8 +35,8 @@ def town_walks(spark, d):
 
 
 def town_paths(spark, d):
-    """The path of least cost from each supplier to a node two rows up and three columns on."""
-    s = starts(spark, d).select(F.col("request_id").alias("walker"), "at", (F.col("at") + 2 * side(spark, d) + 3).alias("goal"), "used")
+    """The path of least cost from each supplier to a node two rows up and three columns on, if there is one up to MOST_COST."""
+    s = starts(spark, d).select(F.col("request_id").alias("walker"), "at", (F.col("at") + 2 * side(spark, d) + 3).alias("goal"), "used", F.lit(MOST_COST).alias("most_cost"))
     found = search.shortest_paths(s, town_net(spark, d))
     return found.select(F.col("walker").alias("request_id"), joined("path").alias("path"), F.round("distance", 2).alias("distance"))
 
@@ -147,7 +147,7 @@ labels as (
   from (
     select l.walker, e.key, l.cost + t.weight as cost, list_append(l.path, e.key) as path, l.walked + e.distance as walked, e.to_id, l.goal,
            {{'c': round(l.cost + t.weight, 6), 'p': list_append(l.path, e.key)}} as rank
-    from labels l join turns t on t.k1 = l.key and not t.back join net e on e.key = t.k2 where l.to_id <> l.goal) n
+    from labels l join turns t on t.k1 = l.key and not t.back join net e on e.key = t.k2 where l.to_id <> l.goal and l.cost + t.weight <= {MOST_COST}) n
   left join (select walker, min(cost) as most from recurring.labels where to_id = goal group by walker) b on b.walker = n.walker
   left join recurring.labels o on o.walker = n.walker and o.key = n.key
   where n.cost <= coalesce(b.most, n.cost) and (o.cost is null or n.rank < {{'c': round(o.cost, 6), 'p': o.path}}) group by n.walker, n.key, n.to_id, n.goal)
