@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loopmill.functions import geo, text, weights
 from loopmill.functions import tags as T
 from loopmill.operators import backbone, bridges, choice, folds, graph, network, places, requests, routes, spatial
-from loopmill.plans import searches, town
+from loopmill.plans import searches, town, trails
 from loopmill.plans.sql import NODES, REFS, STEPS, brg, hav
 from loopmill.sources import tables
 from loopmill.streaming import history, live
@@ -368,5 +368,5 @@ select request_id, unnest(list_reduce(r, lambda a, x: case when not (a.within_to
     "debounced_queries": f"{RESULTS}, b as (select *, sum(case when ts - before <= interval 1 hour then 0 else 1 end) over (partition by key order by ts, seq) as burst from (select *, lag(ts) over (partition by key order by ts, seq) as before from results)) select key, count(*) as bursts, round(sum(v), 3) as total from (select key, burst, arg_max(error_m, struct_pack(t := ts, s := seq)) as v from b group by 1, 2) group by 1",
 }
 ORACLE["located_requests"] = f"select g.request_id, case when g.request_id % 8 = 0 then 1.0 else lat end::double as lat, case when g.request_id % 8 = 0 then 2.0 else lon end::double as lon, case when g.request_id % 8 = 0 then 'picked' when lat is not null then 'geocoded' else 'none' end as source from ({ORACLE['geocoded_requests']}) g"
-QUERIES = {f.__name__: f for f in (network_edges, network_nodes, network_summary, turn_table, tag_rules, geo_scalars, nearest_nodes, text_rules, route_summary, route_reversals, route_passes, route_checks, route_segments, route_render, route_cues, route_boxes, route_gpx, route_elevation, recent_results, best_results, debounced_queries, geocoded_requests, address_suggestions, route_point_elevation, route_runs, route_tcx, snapped_points, split_streets, seeds_compared, elevation_choice, regenerated_routes, search_stats, route_laps, step_weights, legal_steps, valid_requests, repeated_requests, located_requests, near_ways, near_nodes, hull_corners, trail_edge_counts, trail_targets, session_history)} | town.QUERIES | searches.QUERIES
-ORACLE |= town.ORACLE | searches.ORACLE
+QUERIES = {f.__name__: f for f in (network_edges, network_nodes, network_summary, turn_table, tag_rules, geo_scalars, nearest_nodes, text_rules, route_summary, route_reversals, route_passes, route_checks, route_segments, route_render, route_cues, route_boxes, route_gpx, route_elevation, recent_results, best_results, debounced_queries, geocoded_requests, address_suggestions, route_point_elevation, route_runs, route_tcx, snapped_points, split_streets, seeds_compared, elevation_choice, regenerated_routes, search_stats, route_laps, step_weights, legal_steps, valid_requests, repeated_requests, located_requests, near_ways, near_nodes, hull_corners, trail_edge_counts, trail_targets, session_history)} | town.QUERIES | searches.QUERIES | trails.QUERIES
+ORACLE |= town.ORACLE | searches.ORACLE | trails.ORACLE

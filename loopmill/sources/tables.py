@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,15 @@ def read_osm(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes.select("node_id", "n.*"), ways
 
 
+def written_text(rows: DataFrame, key: str) -> str:
+    """The folder to which rows(key, value) are written as text on the shared folder, one file a key."""
+    from loopmill.operators.graph import shared_root
+
+    path = f"{shared_root(rows.sparkSession)}/text-{uuid.uuid4().hex}"
+    rows.repartition(key).write.partitionBy(key).text(path)
+    return path
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
