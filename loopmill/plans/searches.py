@@ -5,9 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loopmill.operators import graph, search
+from loopmill.operators import backbone, graph, search
 from loopmill.plans.sql import brg, hav
-from loopmill.plans.town import LOW32, TOWN, product32, town_net
+from loopmill.plans.town import LOW32, TOWN, product32, town_net, trails
 from loopmill.sources import tables
 
 #: Metres walked, wanted of a return, and wanted of a loop; the cost at which a search for a path gives up.
@@ -59,7 +59,21 @@ def town_loops(spark, d):
     return asked.select("request_id").join(loops, "request_id", "left").select("request_id", F.col("path").isNotNull().alias("found"), joined("path").alias("path"), F.round("distance", 2).alias("distance"), F.round("error_m", 2).alias("error_m"))
 
 
-QUERIES = {f.__name__: f for f in (town_walks, town_paths, town_returns, town_loops)}
+def town_waypoints(spark, d):
+    """Each supplier's loop by way of the trails most worth it within 0.4 of the length: found or not, its edges, length and error."""
+    net, places = town_net(spark, d), tables.grid_nodes(spark, d)
+    own = graph.settled(trails(spark, d), "town-trails")
+    members = graph.components(own)
+    size = own.join(members, own["u"] == members["node_id"]).groupBy("cluster_id").agg(F.round(F.sum("distance"), 6).alias("trail_m"))
+    reach = search.WAYPOINT_REACH * LOOP_M
+    far = graph.network_distances(starts(spark, d).select("request_id", F.col("at").alias("node_id")), tables.town_edges(spark, d), reach).withColumn("metres", F.round("metres", 6))
+    asked = town_requests(spark, d).withColumn("seed", F.col("seed") + search.WAYPOINT_SEED)
+    targets = graph.settled(backbone.pick_target_cluster(asked.select("request_id", F.lit(reach).alias("reach")), size, members, far), "town-targets")
+    loops = graph.settled(search.waypoint_loops(asked, net, places, targets), "town-waypoints")
+    return asked.select("request_id").join(loops, "request_id", "left").select("request_id", F.col("path").isNotNull().alias("found"), joined("path").alias("path"), F.round("distance", 2).alias("distance"), F.round("error_m", 2).alias("error_m"))
+
+
+QUERIES = {f.__name__: f for f in (town_walks, town_paths, town_returns, town_loops, town_waypoints)}
 
 #: The town's directed edges with all that a step's cost needs, and the turn table: what the second edge costs after the first, if unused.
 NET = f"""{TOWN},
@@ -87,25 +101,25 @@ drawn2 as (select seed, n, t, (t + {product32('xor(t, t >> 7)', '(t | 61)')}) {L
 draws as materialized (select seed, n, (xor(xor(t, m), xor(t, m) >> 14) {LOW32}) / 4294967296.0 as u from drawn2)"""
 
 
-#: CTE walked(walker, here, path, distance) of walkers(walker, here, target, seed, drawn), by replaying every step.
+#: CTE walked(walker, here, path, distance) of walkers(walker, here, target, seed, drawn, used), by replaying every step.
 WALK = """
 walks as (
-  select walker, here, target, seed, drawn, []::varchar[] as path, [{'n': here, 'm': 0::double}] as seen, 0::double as distance, null::varchar as last, 0 as step from walkers
+  select walker, here, target, seed, drawn, used, []::varchar[] as path, [{'n': here, 'm': 0::double}] as seen, 0::double as distance, null::varchar as last, 0 as step from walkers
   union all
-  select walker, to_id, target, seed, drawn + 1, list_append(path, key), case when len(list_filter(seen, lambda v: v.n = to_id)) > 0 then seen else list_append(seen, {'n': to_id, 'm': distance + metres}) end,
+  select walker, to_id, target, seed, drawn + 1, list_append(used, key), list_append(path, key), case when len(list_filter(seen, lambda v: v.n = to_id)) > 0 then seen else list_append(seen, {'n': to_id, 'm': distance + metres}) end,
          distance + metres, key, step + 1
   from (
     select *, row_number() over (partition by walker order by upto < u * total, case when upto < u * total then -seq else seq end) as place
     from (
       select *, sum(1 / cost) over (partition by walker order by seq) as upto, sum(1 / cost) over (partition by walker) as total
       from (
-        select w.*, e.seq, e.key, e.to_id, e.distance as metres, d.u, coalesce(t.weight, e.base) * pow(2.3, len(list_filter(w.path, lambda k: k = e.key))) as cost
+        select w.*, e.seq, e.key, e.to_id, e.distance as metres, d.u, coalesce(t.weight, e.base) * pow(2.3, len(list_filter(w.used, lambda k: k = e.key))) as cost
         from walks w join net e on e.from_id = w.here left join turns t on t.k1 = w.last and t.k2 = e.key join draws d on d.seed = w.seed and d.n = w.drawn + 1
-        where w.distance < w.target and w.step < 500 and (w.last is null or t.k1 is not null) and not list_contains(w.path, e.reverse)
-          and len(list_filter(w.path, lambda k: k = e.key)) < 2
+        where w.distance < w.target and w.step < 500 and (w.last is null or t.k1 is not null) and not list_contains(w.used, e.reverse)
+          and len(list_filter(w.used, lambda k: k = e.key)) < 2
           and len(list_filter(w.seen, lambda v: v.n = e.to_id and w.distance + e.distance - v.m < 160.9344)) = 0)))
   where place = 1),
-walked as materialized (select walker, arg_max(here, step) as here, arg_max(path, step) as path, max(distance) as distance from walks group by walker)"""
+walked as materialized (select walker, arg_max(here, step) as here, arg_max(path, step) as path, arg_max(used, step) as used, max(distance) as distance from walks group by walker)"""
 
 #: CTE returned(walker, path, walked) of homeward(walker, here, goal, used, remaining): buckets in order, the cheapest label of a node and bucket goes on.
 RETURN = f"""
@@ -132,27 +146,39 @@ returned as materialized (
   select walker, path, walked from (select l.walker, l.path, l.walked, l.cost, abs(l.walked - h.remaining) as error from labels l join homes h on h.walker = l.walker where home)
   qualify row_number() over (partition by walker order by case when error <= 10 then 0 else round(error, 6) end, round(cost, 6), path) = 1)"""
 
-ORACLE = {
-    "town_walks": f"""
-with recursive {NET},
-walkers as (select s_suppkey as walker, s_suppkey as here, {WALK_M}::double as target, s_suppkey * 13 as seed, 0 as drawn from supplier), {drawing('walkers', 60)}, {WALK}
-select walker as request_id, here as ended_at, len(path)::integer as n_steps, array_to_string(path, ' ') as path, round(distance, 2) as distance from walked""",
-    "town_paths": f"""
-with recursive {NET},
-asked as (select s_suppkey as walker, s_suppkey as here, s_suppkey + 2 * w + 3 as goal from supplier, side),
-labels as (
+#: CTE paths: of asked(walker, here, goal) the least-cost label of each edge; a path ends at its goal.
+PATHS = f"""
+paths using key (walker, key) as (
   select a.walker, e.key, e.base as cost, [e.key] as path, e.distance as walked, e.to_id, a.goal from asked a join net e on e.from_id = a.here
   union
   select n.walker, n.key, arg_min(n.cost, n.rank), arg_min(n.path, n.rank), arg_min(n.walked, n.rank), n.to_id, n.goal
   from (
     select l.walker, e.key, l.cost + t.weight as cost, list_append(l.path, e.key) as path, l.walked + e.distance as walked, e.to_id, l.goal,
            {{'c': round(l.cost + t.weight, 6), 'p': list_append(l.path, e.key)}} as rank
-    from labels l join turns t on t.k1 = l.key and not t.back join net e on e.key = t.k2 where l.to_id <> l.goal and l.cost + t.weight <= {MOST_COST}) n
-  left join (select walker, min(cost) as most from recurring.labels where to_id = goal group by walker) b on b.walker = n.walker
-  left join recurring.labels o on o.walker = n.walker and o.key = n.key
-  where n.cost <= coalesce(b.most, n.cost) and (o.cost is null or n.rank < {{'c': round(o.cost, 6), 'p': o.path}}) group by n.walker, n.key, n.to_id, n.goal)
+    from paths l join turns t on t.k1 = l.key and not t.back join net e on e.key = t.k2 where l.to_id <> l.goal and l.cost + t.weight <= {MOST_COST}) n
+  left join (select walker, min(cost) as most from recurring.paths where to_id = goal group by walker) b on b.walker = n.walker
+  left join recurring.paths o on o.walker = n.walker and o.key = n.key
+  where n.cost <= coalesce(b.most, n.cost) and (o.cost is null or n.rank < {{'c': round(o.cost, 6), 'p': o.path}}) group by n.walker, n.key, n.to_id, n.goal)"""
+
+#: The best of loops(request_id, i, walker, path, distance) that run no edge against an earlier one, for each supplier.
+BEST = f"""steps as (select walker, unnest(path) as key, generate_subscripts(path, 1) as pos from loops),
+reversed as (select distinct x.walker from steps x join net e on e.key = x.key join steps y on y.walker = x.walker and y.key = e.reverse and y.pos < x.pos),
+best as (
+  select request_id, path, distance, abs(distance - {LOOP_M}) as error_m from loops where walker not in (select walker from reversed)
+  qualify row_number() over (partition by request_id order by abs(distance - {LOOP_M}) > 0.4 * 80.4672, case when abs(distance - {LOOP_M}) <= 0.4 * 80.4672 then 0 else round(abs(distance - {LOOP_M}), 6) end, i) = 1)
+select s_suppkey as request_id, path is not null as found, array_to_string(path, ' ') as path, round(distance, 2) as distance, round(error_m, 2) as error_m
+from supplier left join best on best.request_id = s_suppkey"""
+
+ORACLE = {
+    "town_walks": f"""
+with recursive {NET},
+walkers as (select s_suppkey as walker, s_suppkey as here, {WALK_M}::double as target, s_suppkey * 13 as seed, 0 as drawn, []::varchar[] as used from supplier), {drawing('walkers', 60)}, {WALK}
+select walker as request_id, here as ended_at, len(path)::integer as n_steps, array_to_string(path, ' ') as path, round(distance, 2) as distance from walked""",
+    "town_paths": f"""
+with recursive {NET},
+asked as (select s_suppkey as walker, s_suppkey as here, s_suppkey + 2 * w + 3 as goal from supplier, side), {PATHS}
 select walker as request_id, array_to_string(arg_min(path, {{'c': round(cost, 6), 'p': path}}), ' ') as path, round(arg_min(walked, {{'c': round(cost, 6), 'p': path}}), 2) as distance
-from labels where to_id = goal group by walker""".replace("labels as (", "labels using key (walker, key) as (", 1),
+from paths where to_id = goal group by walker""",
     "town_returns": f"""
 with recursive {NET},
 homeward as (select s_suppkey as walker, s_suppkey + w + 1 as here, s_suppkey as goal, []::varchar[] as used, {RETURN_M}::double as remaining from supplier, side), {RETURN}
@@ -161,15 +187,31 @@ select walker as request_id, array_to_string(path, ' ') as path, round(walked, 2
 with recursive {NET},
 sweeps as (select s_suppkey as request_id, i, s_suppkey * 64 + i as walker, s_suppkey * 13 + i * 104729 as seed from supplier, range(0, 10) r(i)), {drawing('sweeps', 60)},
 walkers as (
-  select walker, request_id as here, {LOOP_M} * (0.32 + i / 9.0::double * 0.4 + (u - 0.5) * 0.05) as target, s.seed, 1 as drawn from sweeps s join draws d on d.seed = s.seed and d.n = 1), {WALK},
+  select walker, request_id as here, {LOOP_M} * (0.32 + i / 9.0::double * 0.4 + (u - 0.5) * 0.05) as target, s.seed, 1 as drawn, []::varchar[] as used from sweeps s join draws d on d.seed = s.seed and d.n = 1), {WALK},
 homeward as (select k.walker, k.here, s.request_id as goal, k.path as used, {LOOP_M} - k.distance as remaining from walked k join sweeps s using (walker) where len(k.path) > 0), {RETURN},
 loops as (
   select s.request_id, s.i, s.walker, list_concat(k.path, r.path) as path, k.distance + r.walked as distance from returned r join walked k using (walker) join sweeps s using (walker)),
-steps as (select walker, unnest(path) as key, generate_subscripts(path, 1) as pos from loops),
-reversed as (select distinct x.walker from steps x join net e on e.key = x.key join steps y on y.walker = x.walker and y.key = e.reverse and y.pos < x.pos),
-best as (
-  select request_id, path, distance, abs(distance - {LOOP_M}) as error_m from loops where walker not in (select walker from reversed)
-  qualify row_number() over (partition by request_id order by abs(distance - {LOOP_M}) > 0.4 * 80.4672, case when abs(distance - {LOOP_M}) <= 0.4 * 80.4672 then 0 else round(abs(distance - {LOOP_M}), 6) end, i) = 1)
-select s_suppkey as request_id, path is not null as found, array_to_string(path, ' ') as path, round(distance, 2) as distance, round(error_m, 2) as error_m
-from supplier left join best on best.request_id = s_suppkey""",
+{BEST}""",
+    "town_waypoints": f"""
+with recursive {NET},
+strolls as (
+  select s_suppkey as request_id, s_suppkey as node_id, 0::double as metres from supplier
+  union all select request_id, to_id, metres + distance from strolls join directed on from_id = node_id where metres + distance <= {0.4 * LOOP_M}),
+far as (select request_id, node_id, round(min(metres), 6) as metres from strolls group by 1, 2),
+size as (select cluster_id, round(sum(distance), 6) as trail_m from trails join cluster on node = u group by 1),
+entry as (select request_id, cluster_id, node_id, metres from far join cluster on node = node_id qualify row_number() over (partition by request_id, cluster_id order by metres, node_id) = 1),
+targets as materialized (
+  select request_id, node_id from entry join size using (cluster_id) where trail_m > 0
+  qualify row_number() over (partition by request_id order by trail_m / (1 + metres / 400) desc, cluster_id) = 1),
+asked as (select request_id as walker, request_id as here, node_id as goal from targets where node_id <> request_id), {PATHS},
+led as materialized (
+  select walker as request_id, arg_min(path, {{'c': round(cost, 6), 'p': path}}) as before, arg_min(walked, {{'c': round(cost, 6), 'p': path}}) as out_m from paths where to_id = goal group by walker
+  union all select request_id, [], 0 from targets where node_id = request_id),
+sweeps as materialized (
+  select request_id, i, request_id * 64 + i as walker, request_id * 13 + 999 + i * 50021 as seed, node_id, before, out_m from led join targets using (request_id), range(0, 3) r(i) where out_m < {LOOP_M}), {drawing('sweeps', 60)},
+walkers as (
+  select walker, node_id as here, ({LOOP_M} - out_m) * (0.25 + i / 2.0::double * 0.4 + (u - 0.5) * 0.05) as target, s.seed, 1 as drawn, before as used from sweeps s join draws d on d.seed = s.seed and d.n = 1), {WALK},
+homeward as (select k.walker, k.here, s.request_id as goal, k.used, {LOOP_M} - s.out_m - k.distance as remaining from walked k join sweeps s using (walker) where len(k.path) > 0), {RETURN},
+loops as (select s.request_id, s.i, s.walker, list_concat(k.used, r.path) as path, s.out_m + k.distance + r.walked as distance from returned r join walked k using (walker) join sweeps s using (walker)),
+{BEST}""",
 }
