@@ -23,7 +23,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", ["network_summary", "turn_table", "route_summary", "route_checks", "nearest_nodes", "best_results", "geocoded_requests", "address_suggestions", "route_tcx", "snapped_points", "split_streets", "seeds_compared", "elevation_choice", "search_stats", "route_laps", "town_turns", "town_split", "trail_clusters", "dead_ends", "bridge_links", "start_distances", "town_loops", "route_choice", "route_arrows", "route_points_kept", "route_track", "route_thumbnails", "seeded_draws", "route_gpx"])
+@pytest.mark.parametrize("name", ["network_summary", "turn_table", "route_summary", "route_checks", "nearest_nodes", "best_results", "geocoded_requests", "address_suggestions", "route_tcx", "snapped_points", "split_streets", "seeds_compared", "elevation_choice", "search_stats", "route_laps", "town_turns", "town_split", "trail_clusters", "dead_ends", "bridge_links", "start_distances", "town_walks", "town_paths", "town_returns", "town_loops", "town_waypoints", "town_targets", "town_edge_sets", "town_edge_counts", "town_hulls", "town_payload", "crossing_tags", "route_choice", "route_arrows", "route_points_kept", "route_track", "route_thumbnails", "seeded_draws", "route_gpx"])
 def test_against_sql(spark, con, name):
     got, want = registry.QUERIES[name](spark, DATA).toPandas(), con.sql(registry.ORACLE[name]).df()
     key = lambda d: sorted((tuple(None if v is None or v != v else round(float(v), 4) if isinstance(v, float) else str(v) for v in r) for r in d[sorted(d.columns)].itertuples(index=False)), key=str)
