@@ -49,7 +49,7 @@ def suggest(queries: DataFrame, features: DataFrame) -> DataFrame:
 def elevation_lookup(points: DataFrame, elevation: DataFrame, per_degree: int = 1000) -> DataFrame:
     """points(lat, lon, ...) with elev of their cell, null where unknown. elevation(cell_lat, cell_lon, elev).
 
-    Distinct cells are looked up, so that a busy park is read once; the few columns of a cell come back to the points.
+    Each point is joined to its cell's one row; a cell of very many points is left to the splitting of skewed joins.
     """
     p = points.withColumns({"cell_lat": F.round(F.col("lat") * per_degree).cast("long"), "cell_lon": F.round(F.col("lon") * per_degree).cast("long")})
     known = elevation.groupBy("cell_lat", "cell_lon").agg(F.max("elev").alias("elev"))

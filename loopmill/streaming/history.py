@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loopmill.streaming.live import keep_until
+
 #: Fixed value.
 KEPT = 8
 
@@ -23,17 +25,23 @@ def history(results: DataFrame) -> DataFrame:
     return ranked.where((F.col("_run") == F.col("_last")) & (F.col("place") <= KEPT)).select("key", "place", "seq", "error_m")
 
 
-def history_stream(results: DataFrame) -> DataFrame:
-    """(key, place, seq, error_m) of each session after a trigger that had results for it. At most eight results are kept."""
+def history_stream(results: DataFrame, idle_s: float | None = None) -> DataFrame:
+    """(key, place, seq, error_m) of each session after a trigger that had results for it. At most eight results are kept; with
+    idle_s none once the watermark, which results must then have, is so many seconds past the session's last."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         request, seqs, errors = state.get if state.exists else (None, [], [])
         seqs, errors = list(seqs), list(errors)
-        for row in pd.concat(list(batches)).sort_values(["ts", "seq"]).itertuples():
+        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
+        for row in rows.itertuples():
             if seqs and row.request != request:
                 seqs, errors = [], []
             request, seqs, errors = row.request, [row.seq, *seqs][:KEPT], [row.error_m, *errors][:KEPT]
         state.update((request, seqs, errors))
+        keep_until(state, rows["ts"], idle_s)
         yield pd.DataFrame({"key": [key[0]] * len(seqs), "place": range(1, len(seqs) + 1), "seq": seqs, "error_m": errors})
 
-    return results.groupBy("key").applyInPandasWithState(update, "key long, place int, seq long, error_m double", "request string, seqs array<long>, errors array<double>", "update", "NoTimeout")
+    return results.groupBy("key").applyInPandasWithState(update, "key long, place int, seq long, error_m double", "request string, seqs array<long>, errors array<double>", "update", "NoTimeout" if idle_s is None else "EventTimeTimeout")
