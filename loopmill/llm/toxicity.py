@@ -31,11 +31,9 @@ FIRST, LAST = 0, 27
 LONGEST = 40
 #: Documented bounds of the sample that the model is fitted on: labelled texts a class, words a class.
 TRAIN_ROWS, TRAIN_WORDS, LANDMARKS = 2500, 12_000, 240
-#: A word starts as toxic if its number of toxic texts times the log of its lift reaches this (else chance will do).
-EVIDENCE = 8.0
-#: Part of the difference in log-odds between sample and labels that scores follow: 0 weighs a missed and a wrongly flagged share
-#: alike, 1 a missed and a wrongly flagged document.
-PRIOR_SHARE = 0.5
+#: A word starts as toxic if its number of toxic texts times the log of its lift reaches this (else chance will do). Chosen by
+#: the log loss of four folds of the rows that op10 may learn from.
+EVIDENCE = 32.0
 #: Words of a portion and of each of the two tables of scores that a process keeps.
 MAX_WORDS = 100_000
 SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][\s.*_-]{1,3}){3,}[^\W\d_](?!\w)")
@@ -273,9 +271,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
     rows = found.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
     model = fit_in_task(rows.repartition(1).sortWithinPartitions("doc_id", "toxic"), trained, Model)
-    if model:  # the sample may hold the classes in other shares than all labels do
+    if model:  # the sample may hold the classes in other shares than all labels do: scores follow those of the labels
         shares = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
-        model.logistic[-1] += PRIOR_SHARE * (np.log(shares[1] / shares[0]) - np.log(min(shares[1], TRAIN_ROWS) / min(shares[0], TRAIN_ROWS)))
+        model.logistic[-1] += np.log(shares[1] / shares[0]) - np.log(min(shares[1], TRAIN_ROWS) / min(shares[0], TRAIN_ROWS))
     return model
 
 

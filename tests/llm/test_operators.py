@@ -31,6 +31,24 @@ def test_quality(docs, none):
     assert quality.judge(none).count() == 0
 
 
+def test_quality_rejects_hosts_that_mostly_fail(spark):
+    """Two hosts of nine failing documents in ten: their sound documents go too; a host of one document isn't rejected for it."""
+    sound, symbols = " ".join(f"word{i}" for i in range(40)), " ".join(f"#w{i}$" for i in range(40))
+    lines = "\n".join(["the same line of words again"] * 3 + [f"line {i} says something else {i * 7}" for i in range(4)])
+    rows = [(i, sound, f"good{i % 7}") for i in range(700)]
+    rows += [(1000 + i, sound if i % 10 == 0 else symbols, "signs") for i in range(60)]
+    rows += [(2000 + i, sound if i % 10 == 0 else lines, None) for i in range(60)]  # without a host: a host of its own
+    rows += [(3000, symbols, "once"), (3001, "# " * 100_000 + sound, "good1"), (3002, None, "good1"), (3002, None, "good1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"n_words": F.lit("x"), "host": F.lit("good0"), "kept": F.lit(0)})
+    got = quality.judge(df)
+    by_id = {r.doc_id: r for r in got.collect()}
+    assert got.count() == len(rows)
+    assert not any(by_id[i].kept for i in by_id if 1000 <= i < 3000) and all(by_id[i].host_rejected for i in by_id if 1000 <= i < 3000)
+    assert not by_id[1000].base_failed and not by_id[2000].base_failed  # sound by themselves
+    assert by_id[3000].kept and all(by_id[i].kept for i in range(700))
+    assert by_id[3001].base_failed and by_id[3001].n_words == 100_040 and by_id[3002].base_failed and not by_id[3002].host_rejected
+
+
 def test_repeat_words_against_brute_force(spark):
     random.seed(1)
     rows = [(i, " ".join(random.choice("ab") for _ in range(random.randint(0, 40)))) for i in range(60)]
@@ -309,6 +327,34 @@ def test_toxicity(spark, docs, none):
     assert toxicity.fit(none, lab.limit(0)) is None
 
 
+def gap_weighted(a: str, b: str) -> float:
+    """The exact kernel of two words between their marks, by dynamic programming over prefixes."""
+    a, b, d = f"<{a}>", f"<{b}>", toxicity.DECAY
+    inner = [[1.0] * (len(b) + 1) for _ in range(len(a) + 1)]  # of subsequences shorter by one, weighed to the prefixes' ends
+    for _ in range(toxicity.ORDER - 1):
+        new = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                met = d * d * inner[i - 1][j - 1] if a[i - 1] == b[j - 1] else 0.0
+                new[i][j] = met + d * new[i - 1][j] + d * new[i][j - 1] - d * d * new[i - 1][j - 1]
+        inner = new
+    return sum(d * d * inner[i][j] for i in range(len(a)) for j in range(len(b)) if a[i] == b[j])
+
+
+def test_toxicity_kernel_against_dynamic_programming():
+    rng = random.Random(8)
+    # with its marks a word of five letters fills the widest span, so no subsequence of it is left out
+    found = ["".join(rng.choices("abc", k=n)) for n in (2, 3, 4, 5) for _ in range(25)]
+    feature, dense = toxicity.Subsequences(), np.zeros((len(found), 1 << toxicity.HASH_BITS), np.float32)
+    for i, w in enumerate(found):
+        code, value = feature([w])
+        np.add.at(dense[i], code[0], value[0])
+    got = dense @ dense.T
+    own = [gap_weighted(w, w) for w in found]
+    want = np.array([[gap_weighted(a, b) / np.sqrt(own[i] * own[j]) for j, b in enumerate(found)] for i, a in enumerate(found)])
+    assert np.abs(got - want).max() < 1e-5 and (want > 0.1).sum() > len(found)
+
+
 def test_toxicity_scores_beyond_the_word_table(monkeypatch):
     weights = np.random.default_rng(1).normal(size=1 << toxicity.HASH_BITS).astype(np.float32)
     vocabulary = ["alpha", "bravo", "charlie", "delta", "echoes", "foxtrot", "golfer", "hotel", "india", "juliet", "kilogram"]
