@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loopmill.functions import geo
 from loopmill.functions.tags import RUNNABLE_HIGHWAYS, tag
+from loopmill.operators.graph import settled
 from loopmill.operators.spatial import METRES_PER_DEGREE
 
 #: Degrees; a request lies in every cell of its disc's box, a segment in every cell of its own.
@@ -83,3 +84,48 @@ def runnable(ways: DataFrame, highways: list[str] = RUNNABLE_HIGHWAYS) -> DataFr
     """Ways of the given classes whose `area` tag doesn't hold the text yes."""
     t = F.col("tags")
     return ways.where(tag(t, "highway").isin(highways) & ~tag(t, "area").contains("yes"))
+
+
+#: Metres by which a cell's corners must lie inside a disc for the whole cell to do so: its sides aren't quite straight.
+MARGIN_M = 1.0
+
+
+def covered_cells(around: DataFrame) -> DataFrame:
+    """Distinct (cy, cx) of the cells of discs() that lie wholly inside one disc."""
+    corner = lambda dy, dx: geo.haversine(F.col("lat"), F.col("lon"), (F.col("cy") + dy) * CELL, (F.col("cx") + dx) * CELL)
+    farthest = F.greatest(*(corner(dy, dx) for dy in (0, 1) for dx in (0, 1)))
+    return around.where(farthest <= F.col("radius") - MARGIN_M).select("cy", "cx").distinct()
+
+
+def region_network(requests: DataFrame, ways: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The runnable ways within the rounded `radius` of any of requests(request_id, lat, lon, radius), and all their nodes, those farther off too.
+
+    ways(way_id, refs, tags), nodes(node_id, lat, lon, ...). One network serves all requests, whatever their discs share: a way with a node in a cell
+    that one disc covers is kept by that cell alone; only the segments of the others are measured, until one disc is near. A segment
+    is as near as its foot or the nearer end; a reference without a node breaks the line there. A way comes once, a node too.
+    """
+    around = discs(requests.withColumn("radius", F.floor(F.col("radius") + 0.5).cast("double")))
+    places = nodes.select(F.col("node_id").alias("ref"), "lat", "lon")
+    own = runnable(ways)
+    refs = own.select("way_id", F.posexplode("refs").alias("pos", "ref")).join(places, "ref")
+    points = refs.groupBy("way_id").agg(F.sort_array(F.collect_list(F.struct("pos", "lat", "lon"))).alias("p"))
+
+    def segment(x: Column, i: Column) -> Column:
+        y = F.get("p", i + 1)
+        on = F.coalesce(y["pos"] == x["pos"] + 1, F.lit(False))
+        return F.struct(x["lat"].alias("lat1"), x["lon"].alias("lon1"), F.when(on, y["lat"]).otherwise(x["lat"]).alias("lat2"), F.when(on, y["lon"]).otherwise(x["lon"]).alias("lon2"))
+
+    lines = settled(points.select("way_id", F.explode(F.transform("p", segment)).alias("s")).select("way_id", "s.*"), "region-lines")
+    # every node begins a segment, if only one to itself
+    at = lines.select("way_id", F.floor(F.col("lat1") / CELL).alias("cy"), F.floor(F.col("lon1") / CELL).alias("cx")).distinct()
+    inside = settled(at.join(covered_cells(around), ["cy", "cx"], "left_semi").select("way_id").distinct(), "region-inside")
+    lat, lon = (F.least("lat1", "lat2"), F.greatest("lat1", "lat2")), (F.least("lon1", "lon2"), F.greatest("lon1", "lon2"))
+    rest = spread(lines.join(inside, "way_id", "left_anti"), lat, lon, "s").alias("s")
+    r = around.alias("r")
+    of = [F.col(c) for c in ("r.lat", "r.lon", "s.lat1", "s.lon1", "s.lat2", "s.lon2")]
+    metres = F.least(geo.project_to_segment(*of)["dist"], geo.haversine(*of[:4]), geo.haversine(*of[:2], *of[4:]))
+    same = (F.col("s.cy") == F.col("r.cy")) & (F.col("s.cx") == F.col("r.cx"))
+    near = rest.join(r, same & (F.round(metres, 6) <= F.col("r.radius")), "left_semi").select("way_id").distinct()
+    kept = settled(own.join(inside.unionByName(near), "way_id", "left_semi").dropDuplicates(["way_id"]), "region-ways")
+    used = kept.select(F.explode("refs").alias("node_id")).distinct()
+    return kept, nodes.join(used, "node_id", "left_semi")

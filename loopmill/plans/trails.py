@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loopmill.functions import geo, tags
 from loopmill.operators import backbone, bridges, graph, requests
-from loopmill.plans.sql import hav
+from loopmill.plans.sql import NODES, REFS, hav
 from loopmill.plans.town import NEAR_M, ORACLE as TOWN_ORACLE, TOWN, trails
 from loopmill.sources import tables
 
@@ -86,7 +86,19 @@ def crossing_tags(spark, d):
     return tables.read(spark, d, "part").select("p_partkey", tags.has_safe_crossing(F.when(p % 13 > 0, t)).alias("safe"))
 
 
-QUERIES = {f.__name__: f for f in (town_targets, town_edge_sets, town_edge_counts, town_hulls, town_payload, crossing_tags)}
+def region_elements(spark, d):
+    """The runnable ways near the suppliers' places west of the grid, one network for all of them: kept ways, and all their nodes."""
+    k, w, t = F.col("s_suppkey"), F.col("way_id"), F.col("tags")
+    at = (39.95 + (k % 101) * 0.00053).alias("lat"), (-75.172 + (k % 7) * 0.001).alias("lon"), (900.5 + (k % 5) * 120.4).alias("radius")
+    around = tables.read(spark, d, "supplier").select(k.alias("request_id"), *at)
+    other = F.transform_values(t, lambda key, v: F.when((key == "highway") & (w % 17 == 0), "motorway").otherwise(v))
+    area = F.when(w % 13 == 0, "yes").when(w % 13 == 1, "not yes").when(w % 13 == 2, "no")
+    own = tables.order_ways(spark, d).withColumn("tags", F.map_concat(other, F.create_map(F.lit("area"), area)))
+    ways, nodes = requests.region_network(around, own, tables.grid_nodes(spark, d))
+    return ways.select(F.lit("way").alias("type"), w.alias("id"), F.size("refs").alias("n_refs")).unionByName(nodes.select(F.lit("node").alias("type"), F.col("node_id").alias("id"), F.lit(0).alias("n_refs")))
+
+
+QUERIES = {f.__name__: f for f in (region_elements, town_targets, town_edge_sets, town_edge_counts, town_hulls, town_payload, crossing_tags)}
 
 #: The CTEs of bridges and of their far sides, as in the SQL of bridge_links.
 BRIDGES = TOWN_ORACLE["bridge_links"].split(f"{TOWN},", 1)[1].rsplit("\nselect", 1)[0]
@@ -104,6 +116,21 @@ flags as (
   from directed where is_trail)"""
 
 ORACLE = {
+    "region_elements": f"""
+with {NODES}, {REFS},
+asked as materialized (select 39.95 + (s_suppkey % 101) * 0.00053 as lat, -75.172 + (s_suppkey % 7) * 0.001 as lon, floor(901 + (s_suppkey % 5) * 120.4) as radius from supplier),
+own as materialized (select way_id, refs from refs where way_id % 17 <> 0 and way_id % 13 not in (0, 1)),
+steps as (select way_id, refs[i] as a, refs[least(i + 1, len(refs))] as b from (select way_id, refs, unnest(range(1, len(refs) + 1)) as i from own)),
+lines as materialized (
+  select way_id, x.lat as lat1, x.lon as lon1, y.lat as lat2, y.lon as lon2, cos(radians((x.lat + y.lat) / 2)) as k
+  from steps join nodes x on x.node_id = a join nodes y on y.node_id = b),
+pairs as (select *, (lon2 - lon1) * k as dx, lat2 - lat1 as dy from asked, lines),
+feet as (select *, case when dx * dx + dy * dy = 0 then 0 else least(1, greatest(0, ((lon - lon1) * k * dx + (lat - lat1) * dy) / (dx * dx + dy * dy))) end as t from pairs),
+kept as materialized (
+  select distinct way_id from feet where round(least({hav('lat', 'lon', '(lat1 + t * (lat2 - lat1))', '(lon1 + t * (lon2 - lon1))')},
+    {hav('lat', 'lon', 'lat1', 'lon1')}, {hav('lat', 'lon', 'lat2', 'lon2')}), 6) <= radius)
+select 'way' as type, way_id as id, len(refs)::integer as n_refs from own semi join kept using (way_id)
+union all select distinct 'node', unnest(refs), 0 from own semi join kept using (way_id)""",
     "town_targets": f"""
 with recursive {TOWN},
 walk as (

@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 from datetime import datetime, timedelta
@@ -14,10 +15,10 @@ from loopmill.streaming import history
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["step_weights", "legal_steps", "valid_requests", "repeated_requests", "located_requests", "near_ways", "near_nodes", "session_history"])
+@pytest.mark.parametrize("name", ["step_weights", "legal_steps", "valid_requests", "repeated_requests", "located_requests", "near_ways", "near_nodes", "region_elements", "session_history"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("part", "orders", "lineitem", "customer", "events"):
+    for t in ("part", "orders", "lineitem", "customer", "events", "supplier"):
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     got, want = registry.QUERIES[name](spark, DATA).toPandas(), con.sql(registry.ORACLE[name]).df()
     key = lambda d: sorted((tuple(None if v is None or v != v else round(float(v), 4) if isinstance(v, float) else str(v) for v in r) for r in d[sorted(d.columns)].itertuples(index=False)), key=str)
@@ -84,6 +85,44 @@ def test_target_cluster(spark):
     assert [(r.request_id, r.cluster_id, r.node_id) for r in backbone.pick_target_cluster(req, clusters, members, dist).collect()] == [(1, 7, 70)]
 
 
+def test_region_network_against_all_pairs(spark):
+    """Overlapping discs with cells wholly inside them, ways with missing, repeated and no nodes, against measuring every pair."""
+    rng = random.Random(12)
+    nodes = {i: (40 + rng.uniform(-0.08, 0.08), -75 + rng.uniform(-0.08, 0.08)) for i in range(600)}
+    ways = []
+    for i in range(400):
+        at = rng.randrange(600)
+        near = sorted(nodes, key=lambda n: math.dist(nodes[n], nodes[at]))[:12]
+        ways.append((i, [rng.choice([*near, 5000]) for _ in range(rng.randrange(5))], {"highway": rng.choice(["path", "service", "trunk"])}))
+    ways += [(900, [1, 5000, 2], {"highway": "path"}), (901, [5000], {"highway": "path"}), (902, None, {"highway": "path"}), (903, [3, 3], {"highway": "path", "area": "yes"})]
+    asked = [(1, 40.0, -75.0, 3000.4), (2, 40.001, -75.002, 3000.4), (3, 40.03, -75.03, 400.0), (4, None, -75.0, 9000.0), (5, 40.0, -75.0, None)]
+    f = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    r, w = f(asked, "request_id long, lat double, lon double, radius double"), f(ways, "way_id long, refs array<long>, tags map<string,string>")
+    n = f([(i, *p) for i, p in nodes.items()], "node_id long, lat double, lon double")
+    found, used = requests.region_network(r, w.unionByName(w.limit(50)), n)
+
+    def hav(a, b, c, e):
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(e - b) / 2) ** 2
+        return 2 * 6371000.0 * math.asin(math.sqrt(h))
+
+    def away(p, x, y):
+        k = math.cos(math.radians((x[0] + y[0]) / 2))
+        dx, dy = (y[1] - x[1]) * k, y[0] - x[0]
+        t = 0 if dx == dy == 0 else min(1, max(0, ((p[1] - x[1]) * k * dx + (p[0] - x[0]) * dy) / (dx * dx + dy * dy)))
+        return min(hav(*p, x[0] + t * dy, x[1] + t * (y[1] - x[1])), hav(*p, *x), hav(*p, *y))
+
+    want = set()
+    for i, refs, t in ways:
+        lines = [(nodes[a], nodes.get(b, nodes[a])) for a, b in zip(refs or [], [*(refs or [])[1:], None], strict=False) if a in nodes]
+        if t["highway"] != "trunk" and "area" not in t and any(away((la, lo), x, y) <= round(m) for _, la, lo, m in asked[:3] for x, y in lines):
+            want.add(i)
+    assert {x.way_id for x in found.collect()} == want and found.count() == len(want) and 20 < len(want) < 350
+    of = {n for i, refs, _ in ways if i in want for n in refs if n in nodes}
+    assert sorted(x.node_id for x in used.collect()) == sorted(of)
+    assert requests.covered_cells(requests.discs(r)).count() > 4
+    assert requests.region_network(r.limit(0), w, n)[0].count() == 0
+
+
 def test_runnable_and_weights(spark):
     w = spark.createDataFrame([(1, {"highway": "path"}), (2, {"highway": "motorway"}), (3, {"highway": "pedestrian", "area": "yes"}), (4, None)], "way_id long, tags map<string,string>")
     assert [r.way_id for r in requests.runnable(w).collect()] == [1] and len(tags.RUNNABLE_HIGHWAYS) == 16
