@@ -2,8 +2,9 @@
 
 Coarse centroids and codebooks are fitted on a bounded sample; every vector is indexed. A query visits the
 cells whose centroids it agrees with most, as many as hold RECALL of its own nearest vectors of the sample (few where vectors cluster, many
-where they don't) and ENOUGH times as many other vectors as it needs; asymmetric distance tables rank a cell's codes, and the best RERANK of each block
-are ranked again by the exact product of the original vectors. Cells and the queries that visit them are cut into
+where they don't) and ENOUGH times as many other vectors as it needs, those of its nearest of the LONGEST vectors, and the cell it lies in itself; asymmetric distance tables bound the products with a cell's codes,
+as each vector keeps how far its code is off, and all vectors that the bounds leave open are ranked by the exact product of the
+original vectors: codes never lose a neighbour, however alike vectors are. Cells and the queries that visit them are cut into
 blocks, so that no group outgrows a task, however many vectors are alike.
 """
 
@@ -21,11 +22,16 @@ from .common import fit_in_task, join_small, materialize, process_cache, share,
 
 #: Documented bound of the sample the index is fitted on, and of the number of cells; vectors a cell.
 TRAIN_ROWS, MIN_CELLS, MAX_CELLS, CELL_ROWS = 20_000, 16, 4096, 3000
+#: The longest vectors, which many queries agree with most and a sample may miss: so many of them show queries the cells to visit.
+LONGEST = 4096
 #: Each query visits so many cells that they hold this share of its nearest vectors of the sample, and so many times k others in all.
 RECALL, ENOUGH = 0.96, 4
 #: Bytes of a code, and centroids of each.
 PARTS, CENTROIDS = 16, 256
+#: Vectors that are left open after the bounds are ranked at once if no more than this; else by a matrix product first.
 RERANK = 128
+#: Share of the norms by which products in single and in double precision may be off.
+SINGLE, DOUBLE = 1e-5, 1e-12
 #: Vectors, and queries, of one group.
 BLOCK = 4096
 
@@ -49,11 +55,13 @@ def assign(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    def __init__(self, sample: np.ndarray, ids: np.ndarray, cells: int, seed: int = 2):
+    def __init__(self, sample: np.ndarray, ids: np.ndarray, cells: int, long: np.ndarray | None = None, long_ids: np.ndarray | None = None, seed: int = 2):
         rng = np.random.default_rng(seed)
         self.width = sample.shape[1]
         self.coarse = kmeans(sample, cells, 8, rng)
         self.sample, self.sample_ids, self.sample_cells = sample.astype(np.float32), ids, assign(sample, self.coarse)
+        self.long, self.long_ids = (sample[:0], ids[:0]) if long is None else (long, long_ids)
+        self.long_cells, self.long = assign(self.long, self.coarse), self.long.astype(np.float32)
         rest = self.split(sample - self.coarse[self.sample_cells])
         self.books = [kmeans(rest[:, m], CENTROIDS, 6, rng) for m in range(PARTS)]
 
@@ -61,10 +69,14 @@ class Index:
         pad = -x.shape[1] % PARTS
         return np.pad(x, ((0, 0), (0, pad))).reshape(len(x), PARTS, -1).astype(np.float32)
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cells, codes, and how far each code is off its vector at most, single precision included."""
         cell = assign(x, self.coarse)
         rest = self.split(x - self.coarse[cell])
-        return cell, np.stack([assign(rest[:, m], self.books[m]) for m in range(PARTS)], 1).astype(np.uint8)
+        code = np.stack([assign(rest[:, m], self.books[m]) for m in range(PARTS)], 1).astype(np.uint8)
+        decoded = np.stack([self.books[m][code[:, m]] for m in range(PARTS)], 1).astype(float)
+        norm = lambda y: np.sqrt((y * y).sum((1, 2)))
+        return cell, code, norm(rest - decoded) + SINGLE * (norm(decoded) + norm(rest.astype(float)))
 
     def ranking(self, q: np.ndarray) -> np.ndarray:
         """The cells, those a query agrees with most first."""
@@ -90,7 +102,15 @@ class Index:
                 place[np.take_along_axis(agree, near, 1) == -np.inf] = 0
                 least = np.sort(place, axis=1)[:, int(RECALL * n) if n > 1 else 0] + 1
             held = np.cumsum(counts[order], axis=1) < (own[at : at + 256] + ENOUGH * k)[:, None]
-            out += [o[:n] for o, n in zip(order, np.maximum(least, held.sum(1) + 1), strict=True)]
+            home = assign(part, self.coarse)  # vectors like the query may be missing in the sample
+            also = home[:, None]
+            if len(self.long):
+                agree = part.astype(np.float32) @ self.long.T
+                agree[who[:, None] == self.long_ids] = -np.inf
+                n = min(k, agree.shape[1])
+                also = np.hstack((also, self.long_cells[np.argpartition(-agree, n - 1, axis=1)[:, :n]]))
+            visited = [o[:n] for o, n in zip(order, np.maximum(least, held.sum(1) + 1), strict=True)]
+            out += [v if fixed else np.concatenate((v, np.setdiff1d(a, v))) for v, a in zip(visited, also, strict=True)]
         return out
 
     def tables(self, q: np.ndarray) -> np.ndarray:
@@ -113,13 +133,12 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.vstack(column.to_numpy()) if len(column) else np.zeros((0, 1))
 
 
-def top(scores: np.ndarray, k: int) -> np.ndarray:
-    """Indexes of the k largest, ties to the smaller index."""
-    if len(scores) <= k:
-        return np.arange(len(scores))
-    least = np.partition(scores, len(scores) - k)[len(scores) - k]
-    over = np.flatnonzero(scores > least)
-    return np.concatenate((over, np.flatnonzero(scores == least)[: k - len(over)]))
+def open_rows(about: np.ndarray, slack: np.ndarray, k: int) -> np.ndarray:
+    """Indexes of all that may be among the k largest, where each is at most `slack` off `about`."""
+    if len(about) <= k:
+        return np.arange(len(about))
+    least = np.partition(about - slack, len(about) - k)[len(about) - k]
+    return np.flatnonzero(~(about + slack < least))
 
 
 def neighbours(vectors: DataFrame, k: int, is_query, probes: int | None = None) -> DataFrame:
@@ -135,30 +154,36 @@ def neighbours(vectors: DataFrame, k: int, is_query, probes: int | None = None)
     if n == 0:
         return spark.createDataFrame([], schema)
     every = -(-n // TRAIN_ROWS)
-    sample = data.where(F.pmod(F.xxhash64("vec_id"), F.lit(every)) == 0).orderBy(F.xxhash64("vec_id")).limit(TRAIN_ROWS).select("vec_id", "v")
+    sample = data.where(F.pmod(F.xxhash64("vec_id"), F.lit(every)) == 0).orderBy(F.xxhash64("vec_id")).limit(TRAIN_ROWS).select("vec_id", "v", F.lit(False).alias("long"))
+    size = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    longest = data.orderBy(F.desc(size), "vec_id").limit(LONGEST).select("vec_id", "v", F.lit(True).alias("long"))
     cells = max(MIN_CELLS, min(MAX_CELLS, n // CELL_ROWS))
 
     def trained(rows) -> Index | None:
-        part = [(r["vec_id"], r["v"]) for r in rows]
-        return Index(np.array([v for _, v in part]), np.array([i for i, _ in part]), cells) if part else None
+        part: dict[bool, list] = {False: [], True: []}
+        for r in rows:
+            part[r["long"]].append((r["vec_id"], r["v"]))
+        # a hash that leaves no vector in the sample leaves the longest
+        fit, long = (([i for i, _ in p], [v for _, v in p]) for p in (part[False] or part[True], part[True]))
+        return Index(np.array(fit[1]), np.array(fit[0]), cells, np.array(long[1]), np.array(long[0])) if part[True] else None
 
     name = f"ann {uuid.uuid4().hex}"
-    shared = share(spark, fit_in_task(sample, trained, Index) or fit_in_task(data.limit(1).select("vec_id", "v"), trained, Index))
+    shared = share(spark, fit_in_task(sample.unionByName(longest), trained, Index))
 
     def model() -> Index:
         return process_cache(name, shared)
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            cell, code = model().encode(matrix(pdf["v"]))
-            yield pd.DataFrame({"cell": cell.astype("int32"), "vec_id": pdf["vec_id"], "v": pdf["v"], "code": [c.tobytes() for c in code]})
+            cell, code, off = model().encode(matrix(pdf["v"]))
+            yield pd.DataFrame({"cell": cell.astype("int32"), "vec_id": pdf["vec_id"], "v": pdf["v"], "code": [c.tobytes() for c in code], "off": off})
 
     def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             cells = model().probes(matrix(pdf["v"]), pdf["vec_id"].to_numpy(), pdf["own"].to_numpy(), k, counts, probes) if len(pdf) else []
             yield pd.DataFrame({"cell": [c.astype("int32") for c in cells], "query_id": pdf["vec_id"], "_q": pdf["_q"], "q": pdf["v"]}).explode("cell").astype({"cell": "int32"})
 
-    index = materialize(data.mapInPandas(encoded, "cell int, vec_id long, v array<double>, code binary"), "ann-index")
+    index = materialize(data.mapInPandas(encoded, "cell int, vec_id long, v array<double>, code binary, off double"), "ann-index")
     counts = np.zeros(MAX_CELLS, np.int64)  # at most MAX_CELLS rows
     for r in index.groupBy("cell").count().collect():
         counts[r["cell"]] = r["count"]
@@ -169,7 +194,7 @@ def neighbours(vectors: DataFrame, k: int, is_query, probes: int | None = None)
     # numbers of blocks by cell: at most MAX_CELLS rows each
     cuts = index.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).join(visits.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks")), "cell")
     cuts = F.broadcast(cuts)
-    left = index.join(cuts, "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1))).select("cell", "block", "q_block", "vec_id", "v", "code")
+    left = index.join(cuts, "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1))).select("cell", "block", "q_block", "vec_id", "v", "code", "off")
     right = visits.join(cuts, "cell").withColumn("q_block", F.pmod(F.xxhash64("_q"), F.col("q_blocks")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "block", "q_block", "query_id", "_q", "q")
 
     def ranked(key: tuple, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
@@ -178,6 +203,7 @@ def neighbours(vectors: DataFrame, k: int, is_query, probes: int | None = None)
             rows = rows.sort_values("vec_id", kind="stable")
             ids, x = rows["vec_id"].to_numpy(), matrix(rows["v"])
             code = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(-1, PARTS)
+            off, size = rows["off"].to_numpy(), np.sqrt((x * x).sum(1))
             who, row, q = queries["query_id"].to_numpy(), queries["_q"].to_numpy(), matrix(queries["q"])
             for at in range(0, len(q), 256):
                 part = q[at : at + 256]
@@ -186,8 +212,11 @@ def neighbours(vectors: DataFrame, k: int, is_query, probes: int | None = None)
                 for m in range(PARTS if len(code) > max(RERANK, k) else 0):
                     about += tables[:, m][:, code[:, m]]
                 for i in range(len(part)):
-                    others = np.flatnonzero(ids != who[at + i])
-                    found = others[top(about[i, others], max(RERANK, k))]
+                    found, long = np.flatnonzero(ids != who[at + i]), np.sqrt((part[i] * part[i]).sum())
+                    if len(code) > max(RERANK, k):
+                        found = found[open_rows(about[i, found].astype(float), long * off[found], k)]
+                    if len(found) > max(RERANK, k):
+                        found = found[open_rows(x[found] @ part[i], DOUBLE * long * size[found], k)]
                     score = (x[found] * part[i]).sum(1)
                     best = np.lexsort((ids[found], -score))[:k]
                     out += zip([who[at + i]] * len(best), [row[at + i]] * len(best), ids[found][best].tolist(), score[best].tolist(), strict=True)

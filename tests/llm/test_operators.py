@@ -401,3 +401,25 @@ def test_salted_join(spark, monkeypatch):
     small = spark.createDataFrame([("a", 1), (None, 2), ("b", 3)], "k string, v int")
     got = Counter((r.k, r.v) for r in common.join_small(big, small, "k").collect())
     assert got == {("a", 1): 50, (None, 2): 1, ("z", None): 1}
+
+
+def test_ann_finds_neighbours_in_tight_clusters_and_among_long_vectors(spark):
+    rng = np.random.default_rng(5)
+    tight = rng.normal(size=(6, 64))[rng.integers(6, size=6000)] + 0.01 * rng.normal(size=(6000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(tight)], "vec_id long, embedding array<double>")
+    got = ann.neighbours(df, 20, F.col("vec_id") % 50 == 0).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    share = []
+    for i, ids in found.items():
+        agree = tight @ tight[i]
+        agree[i] = -np.inf
+        share.append(len(ids & set(np.argsort(-agree)[:20].tolist())) / 20)
+    assert len(share) == 120 and np.mean(share) > 0.99
+    # a long vector that the sample lacks shows its cell
+    long = np.zeros((1, 8)); long[0, 0] = 90.0
+    x = rng.normal(size=(400, 8))
+    index = ann.Index(x, np.arange(400), 16, long, np.array([999]))
+    seen = index.probes(x[:50], np.arange(50), np.ones(50, int), 1, np.full(16, 1000), None)
+    assert all(index.long_cells[0] in cells for cells in seen)
