@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loopmill.functions import geo
+from loopmill.operators.requests import nodes_around, places_asked
 
 # Hull nodes kept, least and relative reach, metres at which a trail counts half.
 HULL_NODES, LEAST_REACH_M, REACH_SHARE, HALF_M = 10, 500.0, 0.5, 400.0
-#: Groups into which a request's nodes are dealt before their hulls are joined.
-PARTS = 32
 
 
 def turns_left(o: tuple, a: tuple, b: tuple) -> bool:
@@ -19,8 +21,9 @@ def turns_left(o: tuple, a: tuple, b: tuple) -> bool:
 
 
 def outline(points: list[tuple]) -> list[tuple]:
-    """Hull of (x, y, id), counter-clockwise from the least point, without points inside an edge; under three: as they are."""
+    """Hull of (x, y, id), counter-clockwise from the least point, without points inside an edge; of several in one place the least id counts; under three: as they are."""
     points = sorted(points)
+    points = [p for i, p in enumerate(points) if i == 0 or p[:2] != points[i - 1][:2]]
     if len(points) < 3:
         return points
     halves = []
@@ -41,15 +44,33 @@ def hull_of(group: pd.DataFrame) -> pd.DataFrame:
     return out[["request_id", "seq", "node_id", "lat", "lon"]]
 
 
+def partial_hulls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The corners of each request's nodes in a batch."""
+    for pdf in batches:
+        pdf = pdf.sort_values("request_id", kind="stable", ignore_index=True)
+        who = pdf["request_id"].to_numpy()
+        points = list(zip(pdf["lon"].tolist(), pdf["lat"].tolist(), pdf["node_id"].tolist()))
+        cuts = [0, *(np.flatnonzero(who[1:] != who[:-1]) + 1).tolist(), len(who)] if len(who) else []
+        rows = [(int(who[a]), n, y, x) for a, b in zip(cuts, cuts[1:]) for x, y, n in outline(points[a:b])]
+        yield pd.DataFrame(rows, columns=["request_id", "node_id", "lat", "lon"]).astype({"request_id": "int64", "node_id": "int64", "lat": "float64", "lon": "float64"})
+
+
 def convex_hull(nodes: DataFrame) -> DataFrame:
     """(request_id, seq, node_id, lat, lon) of nodes(request_id, node_id, lat, lon); of several in one place the least id counts.
 
-    Hulls of PARTS groups a request are found first: only their corners meet in one task.
+    The nodes of a batch are cut to their corners, once where they are met and once where requests come together; only those meet in one group a request.
     """
-    schema = "request_id long, seq long, node_id long, lat double, lon double"
-    one = nodes.groupBy("request_id", "lat", "lon").agg(F.min("node_id").alias("node_id"))
-    parts = one.withColumn("part", F.pmod(F.xxhash64("lat", "lon"), F.lit(PARTS)))
-    return parts.groupBy("request_id", "part").applyInPandas(hull_of, schema).groupBy("request_id").applyInPandas(hull_of, schema)
+    own = nodes.select(F.col("request_id").cast("long").alias("request_id"), F.col("node_id").cast("long").alias("node_id"), "lat", "lon")
+    corners = "request_id long, node_id long, lat double, lon double"
+    near = own.mapInPandas(partial_hulls, corners).repartition("request_id").sortWithinPartitions("request_id").mapInPandas(partial_hulls, corners)
+    return near.groupBy("request_id").applyInPandas(hull_of, "request_id long, seq long, node_id long, lat double, lon double")
+
+
+def hulls_around(requests: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(request_id, nodes) as of hull_nodes, of the nodes within `radius` metres of requests(request_id, lat, lon, radius); one hull for all requests of one place and radius."""
+    asked, who = places_asked(requests)
+    hulls = hull_nodes(convex_hull(nodes_around(asked, nodes)), asked)
+    return who.hint("merge").join(hulls.withColumnRenamed("request_id", "place_id"), "place_id").select("request_id", "nodes")
 
 
 def hull_nodes(hull: DataFrame, starts: DataFrame) -> DataFrame:

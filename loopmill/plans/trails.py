@@ -57,7 +57,7 @@ def town_hulls(spark, d):
     """The corners of the hull around each supplier's start, at most ten, beginning with the one nearest the start."""
     nodes = scattered(spark, d)
     at = starts(spark, d).join(nodes, "node_id").withColumn("radius", backbone.hull_reach(F.lit(900.0)))
-    return backbone.hull_nodes(backbone.convex_hull(requests.nodes_around(at, nodes)), at).select("request_id", F.posexplode("nodes").alias("place", "node_id"))
+    return backbone.hulls_around(at, nodes).select("request_id", F.posexplode("nodes").alias("place", "node_id"))
 
 
 def town_payload(spark, d):

@@ -180,3 +180,12 @@ def test_requests_are_never_broadcast_with_their_cells(spark):
     nodes = spark.createDataFrame([(1, 39.955, -75.155)], "node_id long, lat double, lon double")
     near = R.nodes_around(asked, nodes)
     assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString() and near.count() == 1
+
+
+def test_hulls_meet_in_few_groups_and_are_shared(spark):
+    """One group a request (the parts' hulls need none), the least id of one place, one hull for requests of one place."""
+    nodes = spark.createDataFrame([(i, 39.95 + i % 7 * 1e-4, -75.16 + i // 7 % 7 * 1e-4) for i in range(98)], "node_id long, lat double, lon double")
+    hull = backbone.convex_hull(nodes.select(F.lit(1).cast("long").alias("request_id"), "node_id", "lat", "lon"))
+    assert hull._jdf.queryExecution().analyzed().toString().count("FlatMapGroupsInPandas") == 1
+    asked = spark.createDataFrame([(4, 39.95, -75.16, 500.0), (6, 39.95, -75.16, 500.0)], "request_id long, lat double, lon double, radius double")
+    assert sorted((r.request_id, r.nodes) for r in backbone.hulls_around(asked, nodes).collect()) == [(i, [0, 42, 48, 6]) for i in (4, 6)]
