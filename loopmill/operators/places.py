@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loopmill.functions import geo, text
 from loopmill.operators.graph import settled
-from loopmill.operators.spatial import METRES_PER_DEGREE
+from loopmill.operators.spatial import METRES_PER_DEGREE, dealt, of_spots, spots
 
 # Rows a provider gives, suggestions shown, letters needed; shares of a segment that count as its ends.
 GEOCODED_ROWS, SUGGESTED, PROVIDER_ROWS, LEAST_LETTERS = 5, 5, 15, 3
@@ -63,7 +63,7 @@ def snap_to_network(points: DataFrame, segments: DataFrame, cell: float = 0.005)
     touches. A point looks around its own cell; one whose find is farther than the ring is wide looks again on wider
     cells. node_id is text: an end of the segment if the foot is near it, else snap:way:a:b.
     """
-    left, found = points.where("lat is not null and lon is not null").select("point_id", "lat", "lon"), None
+    (left, who), found = spots(points), None  # points of one place look once
     none = segments.isEmpty()
     while True:
         span = lambda x, y: F.sequence(F.floor(F.least(x, y) / cell), F.floor(F.greatest(x, y) / cell))
@@ -71,7 +71,7 @@ def snap_to_network(points: DataFrame, segments: DataFrame, cell: float = 0.005)
         near = F.sequence(F.lit(-1), F.lit(1))
         p = left.withColumn("_i", F.explode(near)).withColumn("_j", F.explode(near)).select("point_id", "lat", "lon", (F.floor(F.col("lat") / cell) + F.col("_i")).alias("cy"), (F.floor(F.col("lon") / cell) + F.col("_j")).alias("cx"))
         foot = geo.project_to_segment(*(F.col(c) for c in ("lat", "lon", "lat1", "lon1", "lat2", "lon2")))
-        on = p.join(s, ["cy", "cx"]).withColumn("f", foot)
+        on = dealt(p, s, ["cy", "cx"], "point_id").withColumn("f", foot)
         best = on.groupBy("point_id", "lat", "lon").agg(F.min(F.struct(F.round("f.dist", 4).alias("metres"), "way_id", "a", "b", F.col("f.t").alias("t"))).alias("s"))
         sure = F.col("s.metres") <= cell * METRES_PER_DEGREE * F.cos(F.radians(F.least(F.abs("lat") + cell, F.lit(89.0))))
         hit = settled(best.where(sure | F.lit(cell > 180)).select("point_id", "s.*"), "snap")
@@ -81,7 +81,7 @@ def snap_to_network(points: DataFrame, segments: DataFrame, cell: float = 0.005)
             break
         cell *= 4
     name = F.concat_ws(":", F.lit("snap"), F.col("way_id").cast("string"), F.col("a").cast("string"), F.col("b").cast("string"))
-    return found.withColumn("node_id", F.when(F.col("t") <= END_SHARE, F.col("a").cast("string")).when(F.col("t") >= 1 - END_SHARE, F.col("b").cast("string")).otherwise(name))
+    return of_spots(found, who).withColumn("node_id", F.when(F.col("t") <= END_SHARE, F.col("a").cast("string")).when(F.col("t") >= 1 - END_SHARE, F.col("b").cast("string")).otherwise(name))
 
 
 def split_segments(segments: DataFrame, snaps: DataFrame) -> DataFrame:

@@ -189,3 +189,16 @@ def test_hulls_meet_in_few_groups_and_are_shared(spark):
     assert hull._jdf.queryExecution().analyzed().toString().count("FlatMapGroupsInPandas") == 1
     asked = spark.createDataFrame([(4, 39.95, -75.16, 500.0), (6, 39.95, -75.16, 500.0)], "request_id long, lat double, lon double, radius double")
     assert sorted((r.request_id, r.nodes) for r in backbone.hulls_around(asked, nodes).collect()) == [(i, [0, 42, 48, 6]) for i in (4, 6)]
+
+
+def test_points_of_one_place_look_once(spark):
+    from loopmill.operators import places, spatial
+
+    points = spark.createDataFrame([(i, 39.95 + i % 3 * 1e-3, -75.16) for i in range(60)] + [(99, None, 1.0)], "point_id long, lat double, lon double")
+    spot, who = spatial.spots(points)
+    assert spot.count() == 3 and who.count() == 60
+    nodes = spark.createDataFrame([(1, 39.95, -75.16), (2, 39.952, -75.16)], "node_id long, lat double, lon double")
+    assert sorted((r.point_id, r.node_id) for r in spatial.nearest_node(points, nodes).collect()) == [(i, 2 if i % 3 == 2 else 1) for i in range(60)]
+    line = spark.createDataFrame([(7, 1, 2, 39.95, -75.16, 39.952, -75.16)], "way_id long, a long, b long, lat1 double, lon1 double, lat2 double, lon2 double")
+    got = places.snap_to_network(points, line).collect()
+    assert sorted((r.point_id, r.way_id, round(r.t, 3)) for r in got) == [(i, 7, round(i % 3 / 2, 3)) for i in range(60)]
