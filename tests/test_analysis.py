@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loopmill.functions import tags, weights
-from loopmill.operators import backbone, bridges, requests
+from loopmill.operators import backbone, bridges, graph, requests
 from loopmill.plans import registry
 from loopmill.streaming import history
 
@@ -202,3 +202,18 @@ def test_points_of_one_place_look_once(spark):
     line = spark.createDataFrame([(7, 1, 2, 39.95, -75.16, 39.952, -75.16)], "way_id long, a long, b long, lat1 double, lon1 double, lat2 double, lon2 double")
     got = places.snap_to_network(points, line).collect()
     assert sorted((r.point_id, r.way_id, round(r.t, 3)) for r in got) == [(i, 7, round(i % 3 / 2, 3)) for i in range(60)]
+
+
+def test_components_and_bridges_take_few_jobs_and_no_broadcast(spark):
+    # a chain whose labels would creep along it, and a ladder with a tail, searched whole and by levels
+    chain = [(i, 1000 - (i * 37) % 200, 1000 - ((i + 1) * 37) % 200) for i in range(199)]
+    ladder = [(500 + i, 2000 + i, 2001 + i) for i in range(6)] + [(600 + i, 2000 + i, 2006 - i) for i in range(3)] + [(700, 2006, 2007), (701, 2006, 2007), (702, 2007, 2010)]
+    df = spark.createDataFrame(chain + ladder, "way_id long, u long, v long")
+    spark.sparkContext.setJobGroup("components", "")
+    assert {r.cluster_id for r in graph.components(df).collect()} == {801, 2000}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("components")
+    spark.sparkContext.setJobGroup("rest", "")
+    assert len(jobs) < 120
+    small = sorted(map(tuple, bridges.bridges(df.where("way_id >= 500")).collect()))
+    assert small == sorted(map(tuple, bridges.bridges(df.where("way_id >= 500"), 0).collect())) == [(702, 2007, 2010, 2010, 2007, False)]
+    assert "Broadcast" not in bridges.bridges(df)._jdf.queryExecution().executedPlan().toString()
