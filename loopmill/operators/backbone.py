@@ -97,8 +97,8 @@ def pick_target_cluster(requests: DataFrame, clusters: DataFrame, members: DataF
     requests(request_id, reach), clusters(cluster_id, trail_m), members(cluster_id, node_id), distances(request_id, node_id,
     metres) along the network. Each cluster is entered at its nearest node; ties go to the smaller node and cluster.
     """
-    near = distances.join(members, "node_id").groupBy("request_id", "cluster_id").agg(F.min(F.struct("metres", "node_id")).alias("a"))
-    scored = near.join(requests.select("request_id", "reach"), "request_id").where("a.metres <= reach").join(clusters.where("trail_m > 0"), "cluster_id")
+    near = distances.hint("merge").join(members, "node_id").groupBy("request_id", "cluster_id").agg(F.min(F.struct("metres", "node_id")).alias("a"))
+    scored = near.hint("merge").join(requests.select("request_id", "reach"), "request_id").where("a.metres <= reach").hint("merge").join(clusters.where("trail_m > 0"), "cluster_id")
     score = F.col("trail_m") / (1 + F.col("a.metres") / HALF_M)
     best = scored.groupBy("request_id").agg(F.min(F.struct((-score).alias("s"), "cluster_id", "a.node_id", "a.metres")).alias("b"))
     return best.select("request_id", "b.cluster_id", "b.node_id", "b.metres", (-F.col("b.s")).alias("score"))

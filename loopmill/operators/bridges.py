@@ -156,7 +156,7 @@ def edge_sets(edges: DataFrame, spurs: DataFrame, exempt: DataFrame) -> DataFram
     """edges with is_spur, is_exempt and is_excluded; spurs and exempt are (way_id, u, v) and hold for both directions."""
     low, high = F.least("from_id", "to_id"), F.greatest("from_id", "to_id")
     flag = lambda df, name: df.select("way_id", F.least("u", "v").alias("_u"), F.greatest("u", "v").alias("_v")).distinct().withColumn(name, F.lit(True))
-    e = edges.withColumns({"_u": low, "_v": high}).join(flag(spurs, "is_spur"), ["way_id", "_u", "_v"], "left").join(flag(exempt, "is_exempt"), ["way_id", "_u", "_v"], "left")
+    e = edges.withColumns({"_u": low, "_v": high}).hint("merge").join(flag(spurs, "is_spur"), ["way_id", "_u", "_v"], "left").hint("merge").join(flag(exempt, "is_exempt"), ["way_id", "_u", "_v"], "left")
     e = e.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("is_spur", "is_exempt")}).drop("_u", "_v")
     return e.withColumn("is_excluded", F.col("is_spur") & ~F.col("is_exempt"))
 

@@ -23,7 +23,7 @@ def town_targets(spark, d):
     """For each supplier's start the trails most worth the way, within NEAR_M along the streets."""
     own = graph.settled(trails(spark, d), "town-trails")
     members = graph.components(own)
-    size = own.join(members, own["u"] == members["node_id"]).groupBy("cluster_id").agg(F.round(F.sum("distance"), 6).alias("trail_m"))
+    size = own.hint("merge").join(members, own["u"] == members["node_id"]).groupBy("cluster_id").agg(F.round(F.sum("distance"), 6).alias("trail_m"))
     far = graph.network_distances(starts(spark, d), tables.town_edges(spark, d), NEAR_M).withColumn("metres", F.round("metres", 6))
     best = backbone.pick_target_cluster(starts(spark, d).select("request_id", F.lit(NEAR_M).alias("reach")), size, members, far)
     return best.select("request_id", "cluster_id", "node_id", F.round("metres", 2).alias("metres"), F.round("score", 3).alias("score"))
