@@ -91,11 +91,20 @@ def render_segments(steps: DataFrame) -> DataFrame:
     return m.select("route_id", "step", "pass", a["lat"].alias("lat1"), a["lon"].alias("lon1"), b["lat"].alias("lat2"), b["lon"].alias("lon2"))
 
 
+def turned() -> Column:
+    """The side of a measured step's turn."""
+    return F.when(geo.signed_turn(F.col("before"), F.col("bearing")) < 0, "Left").otherwise("Right")
+
+
+def turn_notes(side: Column, name: Column) -> Column:
+    return F.concat(F.lit("Turn "), side, F.lit(" onto "), name)
+
+
 def course_cues(steps: DataFrame) -> DataFrame:
     """Start, every turn with its side and the next street, Finish."""
     m = measured(steps)
-    turns = m.where(F.col("turn").isin("turn", "sharp")).select("route_id", F.col("step").alias("seq"), F.when(geo.signed_turn(F.col("before"), F.col("bearing")) < 0, "Left").otherwise("Right").alias("kind"), F.col("so_far") - F.col("distance"), "name")
-    turns = turns.toDF("route_id", "seq", "kind", "at_m", "name").withColumn("notes", F.concat(F.lit("Turn "), F.lower("kind"), F.lit(" onto "), F.col("name"))).drop("name")
+    turns = m.where(F.col("turn").isin("turn", "sharp")).select("route_id", F.col("step").alias("seq"), turned().alias("kind"), F.col("so_far") - F.col("distance"), "name")
+    turns = turns.toDF("route_id", "seq", "kind", "at_m", "name").withColumn("notes", turn_notes(F.lower("kind"), F.col("name"))).drop("name")
     ends = m.groupBy("route_id").agg(F.max("step").alias("last"), F.max("so_far").alias("total"))
     start = ends.select("route_id", F.lit(-1).alias("seq"), F.lit("Start").alias("kind"), F.lit(0.0).alias("at_m"), F.lit("Start").alias("notes"))
     finish = ends.select("route_id", (F.col("last") + 1).alias("seq"), F.lit("Finish").alias("kind"), F.col("total").alias("at_m"), F.lit("Finish").alias("notes"))
@@ -163,22 +172,22 @@ def position(tag: str, lat: str, lon: str) -> Column:
 def to_tcx(steps: DataFrame) -> DataFrame:
     """(route_id, document): a course with a lap, a track point for each node and a course point for each cue.
 
-    Track and cue texts are made a row each and put together by route in step order.
+    Track and cue texts are made a row each, of one pass over the measured steps, and put together by route in step order.
     """
     m = measured(steps)
     point = lambda place, metres: F.concat(F.lit("<Trackpoint>"), place, F.format_string("<DistanceMeters>%.1f</DistanceMeters></Trackpoint>", metres))
-    ends = m.groupBy("route_id").agg(F.max("so_far").alias("total"), F.min_by(position("BeginPosition", "lat1", "lon1"), "step").alias("begin"), F.max_by(position("EndPosition", "lat2", "lon2"), "step").alias("end"), F.min_by("name", "step").alias("name"), F.min_by(point(position("Position", "lat1", "lon1"), F.lit(0.0)), "step").alias("first"), F.sort_array(F.collect_list(F.struct("step", point(position("Position", "lat2", "lon2"), F.col("so_far")).alias("x")))).alias("t"))
+    cue = lambda kind, place, notes: F.concat(F.lit("<CoursePoint><Name>"), text.xml_escape(F.substring(notes, 1, COURSE_NAME_CHARS)), F.lit("</Name>"), place, F.lit("<PointType>"), kind, F.lit("</PointType><Notes>"), text.xml_escape(notes), F.lit("</Notes></CoursePoint>"))
     # a cue stands where its step begins; the last one where the route ends
-    at = m.select("route_id", F.col("step").alias("seq"), position("Position", "lat1", "lon1").alias("at"))
-    bounds = m.groupBy("route_id").agg(F.min_by(position("Position", "lat1", "lon1"), "step").alias("at0"), F.max_by(position("Position", "lat2", "lon2"), "step").alias("at1"))
-    cues = course_cues(steps).join(at, ["route_id", "seq"], "left").join(bounds, "route_id")
-    place = F.when(F.col("kind") == "Start", F.col("at0")).when(F.col("kind") == "Finish", F.col("at1")).otherwise(F.col("at"))
-    kind = F.when(F.col("kind").isin("Left", "Right"), F.col("kind")).otherwise("Generic")
-    one = F.concat(F.lit("<CoursePoint><Name>"), text.xml_escape(F.substring("notes", 1, COURSE_NAME_CHARS)), F.lit("</Name>"), place, F.lit("<PointType>"), kind, F.lit("</PointType><Notes>"), text.xml_escape(F.col("notes")), F.lit("</Notes></CoursePoint>"))
-    cued = cues.groupBy("route_id").agg(F.sort_array(F.collect_list(F.struct("seq", one.alias("x")))).alias("c"))
+    begin, end = position("Position", "lat1", "lon1"), position("Position", "lat2", "lon2")
+    side, notes = turned(), turn_notes(F.lower(turned()), F.col("name"))
+    at_turn = F.when(F.col("turn").isin("turn", "sharp"), F.struct("step", cue(side, begin, notes).alias("x")))
+    ends = m.groupBy("route_id").agg(
+        F.max("so_far").alias("total"), F.min_by(position("BeginPosition", "lat1", "lon1"), "step").alias("begin"), F.max_by(position("EndPosition", "lat2", "lon2"), "step").alias("end"), F.min_by("name", "step").alias("name"), F.min_by(point(begin, F.lit(0.0)), "step").alias("first"),
+        F.min_by(begin, "step").alias("at0"), F.max_by(end, "step").alias("at1"), F.sort_array(F.collect_list(F.struct("step", point(end, F.col("so_far")).alias("x")))).alias("t"), F.sort_array(F.collect_list(at_turn)).alias("c"))
+    start, finish = (cue(F.lit("Generic"), F.col(place), F.lit(word)) for place, word in (("at0", "Start"), ("at1", "Finish")))
     head = '<?xml version="1.0" encoding="UTF-8"?><TrainingCenterDatabase xmlns="http://www.garmin.com/xmlschemas/TrainingCenterDatabase/v2"><Courses><Course><Name>'
     lap = F.concat(F.lit("<Lap><TotalTimeSeconds>0</TotalTimeSeconds>"), F.format_string("<DistanceMeters>%.1f</DistanceMeters>", "total"), F.col("begin"), F.col("end"), F.lit("</Lap><Track>"))
-    return ends.join(cued, "route_id").select("route_id", F.concat(F.lit(head), text.xml_escape(F.col("name")), F.lit("</Name>"), lap, F.col("first"), F.concat_ws("", "t.x"), F.lit("</Track>"), F.concat_ws("", "c.x"), F.lit("</Course></Courses></TrainingCenterDatabase>")).alias("document"))
+    return ends.select("route_id", F.concat(F.lit(head), text.xml_escape(F.col("name")), F.lit("</Name>"), lap, F.col("first"), F.concat_ws("", "t.x"), F.lit("</Track>"), start, F.concat_ws("", "c.x"), finish, F.lit("</Course></Courses></TrainingCenterDatabase>")).alias("document"))
 
 
 def elevation_totals(profile: DataFrame) -> DataFrame:
