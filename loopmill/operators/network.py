@@ -38,5 +38,20 @@ def build_nodes(segments: DataFrame, edges: DataFrame, nodes: DataFrame) -> Data
     return nodes.join(used, "node_id", "left_semi").join(out, "node_id", "left").withColumns({"degree": F.coalesce("degree", F.lit(0)), "has_busy_road": F.coalesce("has_busy_road", F.lit(False))})
 
 
+def transition_counts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(highway, n, u_turns, unsafe) over every two of edges that meet, by the first's highway, without making the pairs: edges are counted by node.
+
+    edges as of build_edges, where every edge has its reverse, so each turns back in one way; nodes(node_id, has_signal), of which each end is one. Crossing
+    a node with a busy road and no signal is unless on a busy road before or after.
+    """
+    end = lambda node, came: F.struct(F.col(node).alias("node_id"), F.lit(came).alias("came"))
+    ends = edges.select("highway", "is_busy", F.explode(F.array(end("to_id", 1), end("from_id", 0))).alias("e"))
+    by_road = ends.groupBy("e.node_id", "highway").agg(F.sum("e.came").alias("came"), F.sum(F.when(F.col("is_busy"), 0).otherwise(F.col("e.came"))).alias("calm"), F.sum(1 - F.col("e.came")).alias("left"), F.count_if(F.col("is_busy") & (F.col("e.came") == 0)).alias("busy"))
+    at = by_road.groupBy("node_id").agg(F.sum("left").alias("left"), F.sum("busy").alias("busy"), F.collect_list(F.struct("highway", "came", "calm")).alias("roads"))
+    at = at.hint("merge").join(nodes.select("node_id", "has_signal"), "node_id").select("left", "busy", "has_signal", F.inline("roads")).where("came > 0 and left > 0")
+    unsafe = F.when((F.col("busy") > 0) & ~F.col("has_signal"), F.col("calm") * (F.col("left") - F.col("busy"))).otherwise(0)
+    return at.groupBy("highway").agg(F.sum(F.col("came") * F.col("left")).alias("n"), F.sum("came").alias("u_turns"), F.sum(unsafe).alias("unsafe"))
+
+
 def summary(edges: DataFrame) -> DataFrame:
     return edges.groupBy("highway", "is_trail", "is_busy").agg(F.count("*").alias("n_edges"), F.round(F.sum("distance"), 1).alias("metres"))
