@@ -17,12 +17,17 @@ def way_segments(ways: DataFrame) -> DataFrame:
     return kept.select("way_id", "name", "is_trail", "is_busy", "highway", F.posexplode(pairs).alias("pos", "s")).select("*", "s.a", "s.b").drop("s")
 
 
-def build_edges(segments: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Both directions of every segment of at least half a metre whose ends are known; the first of a key stays."""
+def measured(segments: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Segments of at least half a metre whose ends are known, with their distance."""
     a = nodes.select(F.col("node_id").alias("a"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
     b = nodes.select(F.col("node_id").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
     long = segments.join(a, "a").join(b, "b").withColumn("distance", geo.haversine(*(F.col(c) for c in ("lat1", "lon1", "lat2", "lon2"))))
-    long = long.where((F.col("lat1") != F.col("lat2")) | (F.col("lon1") != F.col("lon2"))).where("distance >= 0.5")
+    return long.where((F.col("lat1") != F.col("lat2")) | (F.col("lon1") != F.col("lon2"))).where("distance >= 0.5")
+
+
+def build_edges(segments: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Both directions of every segment of at least half a metre whose ends are known; the first of a key stays."""
+    long = measured(segments, nodes)
     end = lambda x, y, turn: F.struct(F.col(x).alias("from_id"), F.col(y).alias("to_id"), (2 * F.col("pos") + turn).alias("adj_seq"))
     both = long.select("way_id", "name", "is_trail", "is_busy", "highway", "distance", F.explode(F.array(end("a", "b", 0), end("b", "a", 1))).alias("e")).select("*", "e.*").drop("e")
     first = Window.partitionBy("way_id", "from_id", "to_id").orderBy("adj_seq")
@@ -31,6 +36,13 @@ def build_edges(segments: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.withColumns({"edge_key": key("from_id", "to_id"), "reverse_key": key("to_id", "from_id")})
 
 
+def lengths(long: DataFrame) -> DataFrame:
+    """(way_id, from_id, to_id, is_trail, distance) of the edges that build_edges makes of segments as of measured(): the first of a key stays."""
+    end = lambda x, y, turn: F.struct(F.col(x).alias("from_id"), F.col(y).alias("to_id"), (2 * F.col("pos") + turn).alias("adj_seq"))
+    both = long.select("way_id", "is_trail", "distance", F.explode(F.array(end("a", "b", 0), end("b", "a", 1))).alias("e"))
+    return both.groupBy("way_id", "e.from_id", "e.to_id", "is_trail").agg(F.min_by("distance", "e.adj_seq").alias("distance"))
+
+
 def build_nodes(segments: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Every known node that a kept way refers to, with its degree and whether a busy road leaves it."""
     used = segments.select(F.explode(F.array("a", "b")).alias("node_id")).distinct()

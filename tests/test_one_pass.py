@@ -14,6 +14,31 @@ def test_lines_are_read_once(spark, name):
     assert sum("Relation [" in line and "l_orderkey" in line for line in plan.splitlines()) == 1
 
 
+@pytest.mark.parametrize("name", ["trail_edge_counts"])
+def test_lines_are_read_once_over_all_jobs(spark, monkeypatch, name):
+    from loopmill.operators import graph
+
+    read, settled = [], graph.settled
+
+    def lines_of(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        return sum("Relation [" in line and "l_orderkey" in line for line in plan.splitlines())
+
+    def seen(df, *args, **kwargs):
+        read.append(lines_of(df))
+        return settled(df, *args, **kwargs)
+
+    monkeypatch.setattr(graph, "settled", seen)
+    found = registry.QUERIES[name](spark, SMALL)
+    assert sum(read) + lines_of(found) == 1
+
+
+def test_edges_made_of_steps_are_those_of_ways(spark):
+    every = {(e.way_id, e.from_id, e.to_id): (e.is_trail, e.distance) for e in registry.parts(spark, SMALL)[2].collect()}
+    trails = {(e.way_id, e.from_id, e.to_id): (e.is_trail, e.distance) for e in registry.trail_edges(spark, SMALL).collect()}
+    assert trails == {k: v for k, v in every.items() if v[0]} and trails
+
+
 def test_transitions_are_counted_as_pairs_are(spark):
     nodes = spark.createDataFrame([(k, 40.0 + 0.001 * k, -75.0 + 0.002 * (k % 3), k == 2) for k in range(6)], "node_id long, lat double, lon double, has_signal boolean")
     # repeated segments, a busy road over a signal and over none, a lonely way
