@@ -124,11 +124,12 @@ def links(distinct: DataFrame) -> DataFrame:
 
     Buckets of up to BLOCK fingerprints are one group. A larger bucket is cut into blocks by the hash of the
     fingerprint, every two blocks are a group, so that no group exceeds 2 * BLOCK or so and none is dropped.
+    A fingerprint has some sixty keys, which Spark's guess of a size leaves out, so neither side is broadcast.
     """
     keyed = distinct.select("fp", F.explode(F.array(*chain_keys(F.col("fp")))).alias("key"))
     counts = keyed.groupBy("key").count().where("count > 1")
     counts = counts.select(F.col("key").alias("k"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    keyed = keyed.join(counts, F.col("key") == F.col("k")).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    keyed = keyed.hint("merge").join(counts, F.col("key") == F.col("k")).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, F.col("block")) * F.col("blocks") + F.greatest(j, F.col("block")))
     groups = keyed.select("key", F.explode(pair).alias("pair"), "fp")
 
@@ -166,7 +167,7 @@ def links(distinct: DataFrame) -> DataFrame:
 def members(distinct: DataFrame) -> DataFrame:
     """(fp, component) from distinct values of fp; a component is named by its least fingerprint."""
     found = components(links(distinct), "simhash-cc")
-    return distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"))
+    return distinct.hint("merge").join(found, distinct["fp"] == found["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"))
 
 
 def classes(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -178,9 +179,9 @@ def classes(docs: DataFrame, keep: list[str]) -> DataFrame:
     """
     prints = materialize(fingerprints(docs, without(keep, "component_id long")), "simhash")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    member = members(distinct.select("fp")).join(distinct, "fp")
+    member = members(distinct.select("fp")).hint("merge").join(distinct, "fp")
     least = member.groupBy("component").agg(F.min("first").alias("component_id"))
-    of = member.join(least, "component").select("fp", "component_id")
+    of = member.hint("merge").join(least, "component").select("fp", "component_id")
     return spread(prints, of)
 
 
@@ -195,9 +196,9 @@ def one_of_each(docs: DataFrame, keep: list[str]) -> DataFrame:
     prints = materialize(fingerprints(rows, [*without(keep, "fp long"), "_row"]), "simhash")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_row")).alias("best")
     distinct = materialize(prints.groupBy("fp").agg(best), "simhash-distinct")
-    first = members(distinct.select("fp")).join(distinct, "fp").groupBy("component").agg(F.min(F.struct("best", "fp")).alias("first"))
+    first = members(distinct.select("fp")).hint("merge").join(distinct, "fp").groupBy("component").agg(F.min(F.struct("best", "fp")).alias("first"))
     first = materialize(first.select(F.col("first.fp").alias("fp"), F.col("first.best._row").alias("_row")), "simhash-first")
-    return prints.join(first, ["fp", "_row"], "left_semi").dropDuplicates(["fp", "_row"]).drop("fp", "_row")
+    return prints.hint("merge").join(first, ["fp", "_row"], "left_semi").dropDuplicates(["fp", "_row"]).drop("fp", "_row")
 
 
 def spread(prints: DataFrame, of: DataFrame) -> DataFrame:
@@ -205,7 +206,7 @@ def spread(prints: DataFrame, of: DataFrame) -> DataFrame:
     salts = 16
     left = prints.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     right = of.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, ["fp", "_salt"], "left").drop("_salt")
+    return left.hint("merge").join(right, ["fp", "_salt"], "left").drop("_salt")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

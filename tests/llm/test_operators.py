@@ -423,3 +423,15 @@ def test_ann_finds_neighbours_in_tight_clusters_and_among_long_vectors(spark):
     index = ann.Index(x, np.arange(400), 16, long, np.array([999]))
     seen = index.probes(x[:50], np.arange(50), np.ones(50, int), 1, np.full(16, 1000), None)
     assert all(index.long_cells[0] in cells for cells in seen)
+
+
+def test_no_table_of_fingerprints_or_salted_rows_is_broadcast(spark, monkeypatch):
+    """Spark takes exploded rows for as few as they were before: a fingerprint's sixty keys, a small table once for each salt."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    prints = common.materialize(spark.range(40).select(F.xxhash64("id").alias("fp")), "prints")
+    texts = common.materialize(spark.createDataFrame([(i, f"some words of text {i % 3} and more") for i in range(9)], "doc_id long, text string"), "texts")
+    small = common.materialize(spark.createDataFrame([(i, i) for i in range(3)], "doc_id long, v int"), "small")
+    made = [simhash.links(prints), simhash.classes(texts, ["doc_id"]), simhash.one_of_each(texts, ["doc_id", "text"]), common.join_small(texts, small, "doc_id")]
+    assert not any("Broadcast" in plan(df) for df in made)
+    assert [df.count() for df in made[1:]] == [9, 3, 9]
