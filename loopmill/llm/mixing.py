@@ -62,7 +62,8 @@ def thresholds(docs: DataFrame, goals: DataFrame) -> DataFrame:
         histogram = inside.groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("n"))
         pairs = histogram.withColumnRenamed("source", "s")
         along = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        seen = open_.join(pairs, open_["source"].eqNullSafe(pairs["s"]), "left").withColumn("sum", F.sum("n").over(along))
+        # up to 4,096 buckets a source, whatever Spark guesses, so not broadcast
+        seen = open_.hint("merge").join(pairs, open_["source"].eqNullSafe(pairs["s"]), "left").withColumn("sum", F.sum("n").over(along))
         fits = F.col("sum") <= F.col("room")
         # the end of the last bucket that fits as a whole is where the next level starts
         head = ["source", "source_size", "target", "passes", "room", "prefix"]

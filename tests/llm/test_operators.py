@@ -435,3 +435,12 @@ def test_no_table_of_fingerprints_or_salted_rows_is_broadcast(spark, monkeypatch
     made = [simhash.links(prints), simhash.classes(texts, ["doc_id"]), simhash.one_of_each(texts, ["doc_id", "text"]), common.join_small(texts, small, "doc_id")]
     assert not any("Broadcast" in plan(df) for df in made)
     assert [df.count() for df in made[1:]] == [9, 3, 9]
+
+
+def test_the_mix_broadcasts_no_histogram(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)  # the one table that is broadcast on purpose
+    docs = spark.createDataFrame([(i, f"some words of text {i}", f"s{i % 3}") for i in range(30)], "doc_id long, text string, source string")
+    slim = common.materialize(mixing.slim_rows(docs), "slim")
+    goals = slim.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("target", F.lit(60.0))
+    found = mixing.thresholds(slim.select("source", "size", "h"), goals)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 3
